@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, langid, neighbours, packing, token_counts, warc
+from . import byte_bpe, exact_dedup, langid, near_dedup, neighbours, packing, token_counts, warc
 from .common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,6 +54,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group_similar(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_neighbours": op3_neighbours,
@@ -62,6 +66,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
