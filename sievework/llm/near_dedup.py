@@ -183,7 +183,7 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
     nodes = stored(signed.filter("node IS NOT NULL AND __key IS NOT NULL").groupBy("node", "n", "registers").agg(F.min("__key").alias("first")), "nodes")
 
     bands = [F.xxhash64(F.substring("registers", 1 + 2 * BAND * i, 2 * BAND), F.lit(i)) for i in range(REGISTERS // BAND)]
-    banded = nodes.select("node", "first", F.explode(F.array(*bands)).alias("bucket"))
+    banded = nodes.select("node", "first", "n", F.array(*bands).alias("bands")).select("*", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     members = stored(banded.join(shared, "bucket"), "members")
     met = stored(nodes.join(members.select("node").distinct(), "node", "left_semi"), "met")
@@ -193,14 +193,18 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
     turn = 0
     while turn <= ROUNDS:
         now = members if roots is None else members.join(roots.withColumnRenamed("node", "first"), "first", "left")
-        now = now.select("bucket", "node", F.col("first").alias("group") if roots is None else F.coalesce("root", "first").alias("group"))
+        now = now.select("bucket", "node", "n", "bands", F.col("first").alias("group") if roots is None else F.coalesce("root", "first").alias("group"))
         drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "group"))
         centres = now.groupBy("bucket").agg(drawn.alias("c"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1")
         if turn < ROUNDS:
             met_by = now.join(centres.select("bucket", F.col("c.node").alias("other"), F.col("c.group").alias("its")), "bucket").filter("group <> its")
         else:  # what is left: all pairs of a bucket that are in different groups
-            open_ = stored(now.join(centres.select("bucket"), "bucket", "left_semi"), "open")
-            met_by = open_.join(open_.select("bucket", F.col("node").alias("other"), F.col("group").alias("its")), "bucket").filter("group < its")
+            open_ = now.join(centres.select("bucket"), "bucket", "left_semi")
+            its = open_.select("bucket", F.col("node").alias("other"), F.col("n").alias("its_n"), F.col("bands").alias("its_bands"), F.col("group").alias("its"))
+            fits = 100 * F.least("n", "its_n") >= percent * F.greatest("n", "its_n")
+            # a pair that shares several bands is taken in the first of them
+            first_shared = F.get(F.array_intersect("bands", "its_bands"), F.lit(0))
+            met_by = open_.alias("o").join(its.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("group") < F.col("its")) & fits & (first_shared == F.col("o.bucket")))
         pairs = met_by.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
         found = stored(_confirmed(pairs, met, sets, percent), "links")
