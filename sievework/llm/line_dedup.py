@@ -8,6 +8,7 @@ first and travel as hashes of their segments; the characters of those that have
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from .graph import components
 
 #: Edits that two lines may be apart, and the length from which lines are compared so; shorter ones must be equal.
 EDITS, LEAST_CHARS = 2, 24
+#: The bit of each of 63 residues of a character.
+BIT = np.int64(1) << np.arange(63, dtype=np.int64)
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -48,6 +51,11 @@ def probes(length: int, own: int, edits: int) -> Iterator[tuple[int, int, int]]:
             yield i, start, n
 
 
+@functools.lru_cache(maxsize=50_000)
+def places(length: int, own: int, edits: int) -> tuple[tuple[int, int, int], ...]:
+    return tuple(probes(length, own, edits))
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most `edits`: bit-parallel, in a band of 2 edits + 1 diagonals.
 
@@ -103,8 +111,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("__key", F.posexplode(F.split("__text", "\n")).alias("line_no", "line")).withColumn("id", F.xxhash64("line"))
 
 
-def _keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """key, id, letters, probe: a row for each segment and each probe of a line; letters says which characters occur an odd number of times.
+def _keys(docs: DataFrame, edits: int, least: int, probe: bool) -> DataFrame:
+    """key, id, letters: a row for each segment of a line, or for each probe; letters says which characters occur an odd number of times.
 
     letters has one of 63 bits for each character; an edit changes at most two.
     """
@@ -114,29 +122,32 @@ def _keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for start, stop in byte_slices(batch.column(1)):
-                rows: list[tuple[int, int, int, bool]] = []
+                key: list[int] = []
+                own_id: list[int] = []
+                letters: list[int] = []
+                each: list[int] = []
                 ids = batch.column(0).slice(start, stop - start).to_pylist()
                 for own, line in zip(ids, texts(batch.column(1), start, stop), strict=True):
-                    if len(line) < least or own in seen:
+                    if (size := len(line)) < least or own in seen:
                         continue
                     seen.add(own)
                     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-                    odd = np.bincount(codes % 63, minlength=63) & 1
-                    letters = int((odd << np.arange(63)).sum())
-                    for i, (at, n) in enumerate(segments(len(line), edits)):
-                        rows.append((digest(line[at : at + n], seed=len(line) * 16 + i), own, letters, False))
-                    for length in range(max(least, len(line) - edits), len(line) + 1):
-                        for i, at, n in probes(length, len(line), edits):
-                            rows.append((digest(line[at : at + n], seed=length * 16 + i), own, letters, True))
+                    before = len(key)
+                    if probe:
+                        for length in range(max(least, size - edits), size + 1):
+                            key += [digest(line[at : at + n], seed=length * 16 + i) for i, at, n in places(length, size, edits)]
+                    else:
+                        key += [digest(line[at : at + n], seed=size * 16 + i) for i, (at, n) in enumerate(segments(size, edits))]
+                    own_id.append(own)
+                    letters.append(int(np.bitwise_xor.reduce(BIT[codes % 63])))
+                    each.append(len(key) - before)
                 if len(seen) > 500_000:
                     seen.clear()
-                if rows:
-                    key, own, letters, probe = zip(*rows, strict=True)
-                    signed = np.array(key, np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(own, pa.int64()), pa.array(letters, pa.int64()), pa.array(probe, pa.bool_())], names=["key", "id", "letters", "probe"])
+                if key:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), *(pa.array(np.repeat(np.array(c, np.int64), each)) for c in (own_id, letters))], names=["key", "id", "letters"])
 
     lines = docs.select(F.explode(F.split("__text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
-    return lines.mapInArrow(keyed, "key long, id long, letters long, probe boolean")
+    return lines.mapInArrow(keyed, "key long, id long, letters long")
 
 
 def near_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -151,9 +162,8 @@ def near_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: in
     line each for equal numbers. An empty table gives no rows; columns not named are not read.
     """
     docs = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    keys = _keys(docs, edits, least)
-    left = keys.filter("probe").select("key", F.col("id").alias("x"), F.col("letters").alias("lx"))
-    right = keys.filter("NOT probe").select("key", F.col("id").alias("y"), F.col("letters").alias("ly"))
+    left = _keys(docs, edits, least, probe=True).select("key", F.col("id").alias("x"), F.col("letters").alias("lx"))
+    right = _keys(docs, edits, least, probe=False).select("key", F.col("id").alias("y"), F.col("letters").alias("ly"))
     close = F.bit_count(F.col("lx").bitwiseXOR(F.col("ly"))) <= 2 * edits
     meet = left.join(right, (left["key"] == right["key"]) & (F.col("x") != F.col("y")) & close)
     pairs = stored(meet.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
