@@ -1,4 +1,9 @@
 """All queries and oracles of the library."""
 
+from . import evidence
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (evidence,):
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
