@@ -1,9 +1,9 @@
 """All queries and oracles of the library."""
 
-from . import evidence
+from . import evidence, ledger
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (evidence,):
+for _part in (evidence, ledger):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)
