@@ -79,9 +79,9 @@ class Codec:
         unspell = {c: b for b, c in enumerate(letters)}
         self.bytes_of = [bytes(unspell[c] for c in self.model.id_to_piece(i)) for i in range(len(self.ranks))]
         self.words: dict[str, list[int]] = {}
-        self.memo = Chunks(self._chunks)
+        self.memo = Chunks(self._chunks, most=350_000, most_chars=12_000_000)
 
-    def _chunks(self, chunks: list[str], most: int = 400_000) -> tuple[list[int], list[int], list[int]]:
+    def _chunks(self, chunks: list[str], most: int = 280_000) -> tuple[list[int], list[int], list[int]]:
         """The ids of each chunk; a pre-token that is a token is that token, the others are merged."""
         if len(self.words) > most:
             self.words.clear()
