@@ -34,21 +34,21 @@ def saturating_path(df: DataFrame, key: str, at: str, order: str, delta: str, st
     A stretch of steps is x -> min(h, max(l, x + a)), and such functions compose into one of their kind. So the steps of
     a date are composed first, and only dates are folded in order: a hot key is as long as its dates, not its rows.
     """
-    steps = df.groupBy(key, at).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(delta).cast("int").alias("d")))).alias("s"), F.count("*").alias("k"))
+    steps = df.groupBy(key, at).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(delta).cast("int").alias("d")))).alias("s"), F.count("*").alias("__k"))
     hold = lambda x, lo, hi: F.greatest(lo, F.least(hi, x))
     unit = F.struct(F.lit(0).alias("a"), F.lit(-(10**6)).alias("l"), F.lit(10**6).alias("h"))
 
     def then(f: Column, a: Column, lo: Column, hi: Column) -> Column:
         return F.struct((f["a"] + a).alias("a"), hold(f["l"] + a, lo, hi).alias("l"), hold(f["h"] + a, lo, hi).alias("h"))
 
-    dates = steps.select(key, at, "k", F.aggregate("s", unit, lambda f, x: then(f, x["d"], F.lit(low), F.lit(high))).alias("f"))
-    series = dates.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), "k", "f"))).alias("dates"))
+    dates = steps.select(key, at, "__k", F.aggregate("__s", unit, lambda f, x: then(f, x["d"], F.lit(low), F.lit(high))).alias("f"))
+    series = dates.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), "__k", "f"))).alias("dates"))
     empty = F.array().cast("array<struct<at:date,score:int,n:bigint>>")
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         value = hold(F.coalesce(last["score"], F.lit(start)) + x["f"]["a"], x["f"]["l"], x["f"]["h"])
-        return F.concat(acc, F.array(F.struct(x["at"].alias("at"), value.cast("int").alias("score"), (F.coalesce(last["n"], F.lit(0)) + x["k"]).alias("n"))))
+        return F.concat(acc, F.array(F.struct(x["at"].alias("at"), value.cast("int").alias("score"), (F.coalesce(last["n"], F.lit(0)) + x["__k"]).alias("n"))))
 
     return series.select(key, F.explode(F.aggregate("dates", empty, step)).alias("p")).select(key, F.col("p.at").alias(at), F.col("p.score").alias("score"), F.col("p.n").alias("n"))
 
