@@ -34,7 +34,7 @@ def saturating_path(df: DataFrame, key: str, at: str, order: str, delta: str, st
     A stretch of steps is x -> min(h, max(l, x + a)), and such functions compose into one of their kind. So the steps of
     a date are composed first, and only dates are folded in order: a hot key is as long as its dates, not its rows.
     """
-    steps = df.groupBy(key, at).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(delta).cast("int").alias("d")))).alias("s"), F.count("*").alias("__k"))
+    steps = df.groupBy(key, at).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(delta).cast("int").alias("d")))).alias("__s"), F.count("*").alias("__k"))
     hold = lambda x, lo, hi: F.greatest(lo, F.least(hi, x))
     unit = F.struct(F.lit(0).alias("a"), F.lit(-(10**6)).alias("l"), F.lit(10**6).alias("h"))
 
