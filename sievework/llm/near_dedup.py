@@ -8,8 +8,10 @@ confirmed on their full sets.
 
 Documents with one set are one node. The nodes of a band's bucket are never paired with each other at once: in each
 round every node meets one node of its bucket, drawn anew, and what is found to be linked is joined. When rounds find
-nothing more, the pairs of a bucket that are still in different groups are all confirmed. Pairs within a group need no
-confirmation, so a large group of copies costs about as many pairs as it has members, and no link between groups is lost.
+nothing more, only buckets whose nodes are still in different groups are open. Those of a few nodes are paired. Larger
+ones are cut into blocks, and each two blocks are compared by a product of their incidence matrices, from which only the
+links that join groups come out: rows stand for a node in a block, never for a pair. Buckets that have nodes in common
+are compared as one where this moves less. So a large group of copies costs few rows, and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
 BAND = 4
 #: Rounds of single meetings before the remaining pairs are confirmed.
 ROUNDS = 6
+#: Nodes of an open bucket that are paired; more are compared in blocks.
+FEW = 16
+#: Nodes of a block (growing with the root of their number, so that rows grow by a power of 1.5), hashes of a block, columns of a matrix.
+BLOCK, LARGEST_BLOCK, BLOCK_HASHES, COLUMNS = 128, 2048, 2_000_000, 4096
 #: A pair is left out when its likelihood speaks against the threshold by so many standard deviations.
 DEVIATIONS = 6.0
 
@@ -168,6 +174,78 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
     return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of the links (a[i], b[i]) that join what those before have not joined."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (to := up.get(x, x)) != x:
+            up[x] = up.get(to, to)
+            x = to
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := root(x)) != (y := root(y)):
+            up[x] = y
+            out.append(i)
+    return out
+
+
+def shared_counts(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many hashes each row of `left` has in common with each of `right`; hash i is in row row[i], once."""
+    _, code, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    many = count[code] > 1
+    row, code = row[many], (np.cumsum(count > 1) - 1)[code[many]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out = np.zeros((len(left), len(right)))
+    n = int(max(left.max(), right.max())) + 1
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        low, high = np.searchsorted(code, (at, at + COLUMNS))
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[row[low:high], code[low:high] - at] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join the groups of nodes with a bucket in common. open_: bucket, node, first, n, group."""
+    in_bucket = stored(open_, "open")
+    own = in_bucket.groupBy("node").agg(F.min("bucket").alias("one"))
+    roots = components(in_bucket.join(own, "node").select("one", "bucket"), "one", "bucket")
+    in_bucket = in_bucket.join(roots.select(F.col("node").alias("bucket"), "root"), "bucket", "left").withColumn("root", F.coalesce("root", "bucket"))
+
+    m = F.count("*")
+    nodes_each = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.sqrt(m) * (BLOCK / 48)))
+    blocks = F.greatest(F.ceil(m / nodes_each), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
+    by_bucket = in_bucket.groupBy("root", "bucket").agg(blocks.alias("blocks"), m.alias("m"))
+    apart = by_bucket.groupBy("root").agg(F.sum(F.col("m") * F.col("blocks")).alias("rows_apart"))
+    once = in_bucket.dropDuplicates(["root", "node"])
+    by_root = once.groupBy("root").agg(blocks.alias("blocks"), m.alias("m")).join(apart, "root").withColumn("joint", F.col("m") * F.col("blocks") <= F.col("rows_apart"))
+    joint = once.join(by_root.filter("joint").select("root", "blocks"), "root").withColumn("unit", F.col("root"))
+    single = in_bucket.join(by_bucket.join(by_root.filter("NOT joint").select("root"), "root", "left_semi").select("bucket", "blocks"), "bucket").withColumn("unit", F.col("bucket"))
+    columns = ("unit", "node", "first", "n", "group", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    placed = joint.select(*columns).union(single.select(*columns)).join(sets, "node")
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "first", "n", "group", "hashes")
+
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
+        first, n, group, block = (rows.column(c).to_numpy() for c in ("first", "n", "group", "block"))
+        left, right = (np.flatnonzero(block == k.as_py()) for k in key[1:])
+        a = b = np.empty(0, np.int64)
+        if len(left) and len(right) and (group != group[0]).any():
+            lists = rows.column("hashes").combine_chunks()
+            shared = shared_counts(lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n), left, right)
+            x, y = np.nonzero((100 * shared >= percent * (n[left][:, None] + n[right][None, :] - shared)) & (group[left][:, None] != group[right][None, :]))
+            x, y = left[x], right[y]
+            kept = _forest(group[x], group[y])
+            a, b = first[x[kept]], first[y[kept]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.groupBy("unit", "i", "j").applyInArrow(joined, "a long, b long")
+
+
 def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """key, n_shingles long, component_id, kept boolean for every row.
 
@@ -183,7 +261,7 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
     nodes = stored(signed.filter("node IS NOT NULL AND __key IS NOT NULL").groupBy("node", "n", "registers").agg(F.min("__key").alias("first")), "nodes")
 
     bands = [F.xxhash64(F.substring("registers", 1 + 2 * BAND * i, 2 * BAND), F.lit(i)) for i in range(REGISTERS // BAND)]
-    banded = nodes.select("node", "first", "n", F.array(*bands).alias("bands")).select("*", F.explode("bands").alias("bucket"))
+    banded = nodes.select("node", "first", "n", F.explode(F.array(*bands)).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     members = stored(banded.join(shared, "bucket"), "members")
     met = stored(nodes.join(members.select("node").distinct(), "node", "left_semi"), "met")
@@ -193,21 +271,25 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
     turn = 0
     while turn <= ROUNDS:
         now = members if roots is None else members.join(roots.withColumnRenamed("node", "first"), "first", "left")
-        now = now.select("bucket", "node", "n", "bands", F.col("first").alias("group") if roots is None else F.coalesce("root", "first").alias("group"))
+        now = now.select("bucket", "node", "first", "n", F.col("first").alias("group") if roots is None else F.coalesce("root", "first").alias("group"))
         drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "group"))
-        centres = now.groupBy("bucket").agg(drawn.alias("c"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1")
+        centres = now.groupBy("bucket").agg(F.count("*").alias("size"), drawn.alias("c"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1")
+        in_blocks = None
         if turn < ROUNDS:
             met_by = now.join(centres.select("bucket", F.col("c.node").alias("other"), F.col("c.group").alias("its")), "bucket").filter("group <> its")
         else:  # what is left: all pairs of a bucket that are in different groups
-            open_ = now.join(centres.select("bucket"), "bucket", "left_semi")
-            its = open_.select("bucket", F.col("node").alias("other"), F.col("n").alias("its_n"), F.col("bands").alias("its_bands"), F.col("group").alias("its"))
+            centres = stored(centres.select("bucket", "size"), "open-buckets")
+            few = now.join(centres.filter(F.col("size") <= FEW).select("bucket"), "bucket", "left_semi")
+            its = few.select("bucket", F.col("node").alias("other"), F.col("n").alias("its_n"), F.col("group").alias("its"))
             fits = 100 * F.least("n", "its_n") >= percent * F.greatest("n", "its_n")
-            # a pair that shares several bands is taken in the first of them
-            first_shared = F.get(F.array_intersect("bands", "its_bands"), F.lit(0))
-            met_by = open_.alias("o").join(its.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("group") < F.col("its")) & fits & (first_shared == F.col("o.bucket")))
+            met_by = few.alias("o").join(its.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("group") < F.col("its")) & fits)
+            many = centres.filter(F.col("size") > FEW).select("bucket")
+            if not many.isEmpty():
+                in_blocks = _block_links(now.join(many, "bucket", "left_semi"), sets, percent)
         pairs = met_by.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
-        found = stored(_confirmed(pairs, met, sets, percent), "links")
+        found = _confirmed(pairs, met, sets, percent)
+        found = stored(found if in_blocks is None else found.union(in_blocks), "links")
         tested = pairs if tested is None else tested.union(pairs)
         if found.isEmpty():  # meetings have found nothing more: on to the pairs that are left, or done
             turn = max(turn + 1, ROUNDS)

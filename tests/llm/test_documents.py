@@ -70,6 +70,37 @@ def test_near_groups_equal_brute_force(spark):
     assert got == {k: (len(sets[k]), root[k], root[k] == k) for k in sets}
 
 
+def test_large_open_buckets_are_compared_in_blocks(spark, monkeypatch):
+    rnd = random.Random(17)
+    base = prose(rnd, 90).split()
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for at in rnd.sample(range(90), rnd.randint(0, 4)):
+            copy[at] = prose(rnd, 1) + str(i)
+        rows.append((i, " ".join(copy), "x"))
+    sets = {k: shingle_set(t) for k, t, _ in rows}
+    edges = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = {k: k for k in sets}
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    for block in (128, 9):
+        for hashes in (2_000_000, 900):
+            monkeypatch.setattr(near_dedup, "BLOCK", block)
+            monkeypatch.setattr(near_dedup, "BLOCK_HASHES", hashes)
+            monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+            got = {r.doc_id: r.component_id for r in near_dedup.group_similar(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+            assert len(set(root.values())) > 1 and got == root
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(18)
+    sets = [np.unique(rng.integers(0, 6000, 5000)) for _ in range(12)]
+    got = near_dedup.shared_counts(np.concatenate(sets), np.repeat(np.arange(12), [len(s) for s in sets]), np.arange(5), np.arange(5, 12))
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+
+
 def test_sketches_merge(spark):
     rnd = random.Random(8)
     a, b = near_dedup.shingles(prose(rnd, 300)), near_dedup.shingles(prose(rnd, 200))
