@@ -214,7 +214,8 @@ def _block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     in_bucket = stored(open_, "open")
     own = in_bucket.groupBy("node").agg(F.min("bucket").alias("one"))
     roots = components(in_bucket.join(own, "node").select("one", "bucket"), "one", "bucket")
-    in_bucket = in_bucket.join(roots.select(F.col("node").alias("bucket"), "root"), "bucket", "left").withColumn("root", F.coalesce("root", "bucket"))
+    rooted = in_bucket.join(roots.select(F.col("node").alias("bucket"), "root"), "bucket", "left").withColumn("root", F.coalesce("root", "bucket"))
+    in_bucket = stored(rooted, "rooted")  # read four times below
 
     m = F.count("*")
     nodes_each = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.sqrt(m) * (BLOCK / 48)))
