@@ -4,6 +4,8 @@ A line of which at most EDITS characters are edited keeps one of EDITS + 1 segme
 segments, keyed by its length and the segment's number, and probes the lengths up to its own with the substrings that can
 start where the segment would be. What meets is verified by a banded bit-parallel edit distance. Lines are deduplicated
 first and travel as hashes of their segments; the characters of those that have met are fetched for the verification.
+Before they are, each line is held against two broadcast tables of residues of the hashes that have met, of at most
+RESIDUES rows each, so that text of other lines hardly moves. What passes by chance is left out by the join that follows.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from .graph import components
 
 #: Edits that two lines may be apart, and the length from which lines are compared so; shorter ones must be equal.
 EDITS, LEAST_CHARS = 2, 24
-#: The bit of each of 63 residues of a character.
-BIT = np.int64(1) << np.arange(63, dtype=np.int64)
+#: The bit of each of 31 residues of a character.
+BIT = np.int32(1) << np.arange(31, dtype=np.int32)
+#: Residues of a hash: the most rows of a table that is broadcast.
+RESIDUES = 1 << 20
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -114,7 +118,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _keys(docs: DataFrame, edits: int, least: int, probe: bool) -> DataFrame:
     """key, id, letters: a row for each segment of a line, or for each probe; letters says which characters occur an odd number of times.
 
-    letters has one of 63 bits for each character; an edit changes at most two.
+    letters has one of 31 bits for each character; an edit changes at most two.
     """
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,15 +143,24 @@ def _keys(docs: DataFrame, edits: int, least: int, probe: bool) -> DataFrame:
                     else:
                         key += [digest(line[at : at + n], seed=size * 16 + i) for i, (at, n) in enumerate(segments(size, edits))]
                     own_id.append(own)
-                    letters.append(int(np.bitwise_xor.reduce(BIT[codes % 63])))
+                    letters.append(int(np.bitwise_xor.reduce(BIT[codes % 31])))
                     each.append(len(key) - before)
                 if len(seen) > 500_000:
                     seen.clear()
                 if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), *(pa.array(np.repeat(np.array(c, np.int64), each)) for c in (own_id, letters))], names=["key", "id", "letters"])
+                    columns = np.array(key, np.uint64).view(np.int64), np.repeat(np.array(own_id, np.int64), each), np.repeat(np.array(letters, np.int32), each)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "letters"])
 
     lines = docs.select(F.explode(F.split("__text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
-    return lines.mapInArrow(keyed, "key long, id long, letters long")
+    return lines.mapInArrow(keyed, "key long, id long, letters int")
+
+
+def _of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines whose id is one of ids; few others are shuffled as long as ids are few beside RESIDUES."""
+    for shift in (0, 20):
+        residue = F.pmod(F.shiftright("id", shift), F.lit(RESIDUES))
+        lines = lines.join(F.broadcast(ids.select(residue.alias("residue")).distinct()), residue == F.col("residue"), "left_semi")
+    return lines.join(ids, "id", "left_semi")
 
 
 def near_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -168,7 +181,7 @@ def near_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: in
     meet = left.join(right, (left["key"] == right["key"]) & (F.col("x") != F.col("y")) & close)
     pairs = stored(meet.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    lines = stored(_lines(docs).select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "met-lines")
+    lines = stored(_of_ids(_lines(docs).select("id", "line"), ids).dropDuplicates(["id"]), "met-lines")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
