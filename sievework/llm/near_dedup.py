@@ -192,6 +192,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
+def _joined_groups(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after further links (a, b): only the groups that these join are walked again."""
+    group = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(group("a"), "a", "left").join(group("b"), "b", "left")
+    step = components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = roots.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(moved.union(step.join(roots, "node", "left_anti").select("node", "root")), "groups")
+
+
 def shared_counts(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many hashes each row of `left` has in common with each of `right`; hash i is in row row[i], once."""
     _, code, count = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -268,7 +277,7 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
     met = stored(nodes.join(members.select("node").distinct(), "node", "left_semi"), "met")
     sets = stored(_sets(docs, met), "sets")
 
-    edges = tested = roots = None
+    tested = roots = None
     turn = 0
     while turn <= ROUNDS:
         now = members if roots is None else members.join(roots.withColumnRenamed("node", "first"), "first", "left")
@@ -296,8 +305,7 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
             turn = max(turn + 1, ROUNDS)
             continue
         turn += 1
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges)
+        roots = components(found) if roots is None else _joined_groups(roots, found)
 
     grouped = nodes.select("node", F.col("first").alias("component_id")) if roots is None else nodes.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("root", "first").alias("component_id"))
     rows = signed.join(grouped, "node", "left")  # a hot node's rows are split among tasks as a skewed join
