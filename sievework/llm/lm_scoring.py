@@ -1,28 +1,40 @@
 """Cross-entropy difference of two matched n-gram models.
 
-A target and a background bigram model share one vocabulary, one order and one smoothing. Words enter the vocabulary,
-and bigrams the tables, by their share of the whole corpus, so both have a proven size however much the corpus holds
-(1 / VOCABULARY_SHARE words and 2 / BIGRAM_SHARE bigrams); all other words are one unknown word, and all other bigrams
-fall back on their words. All counts are over all documents.
+A target and a background bigram model share one vocabulary, one order and one smoothing. Words and bigrams that occur
+LEAST times in the whole corpus are kept, however large it is; all other words are one unknown word, and all other
+bigrams fall back on their words. All counts are over all documents and stay Spark tables. Documents are scored by a join
+of their bigrams with those tables.
+
+A word is known by a 64-bit hash: two of 5e8 different words share one with a chance of 0.7 %, and would count as one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import byte_slices, stored, texts
 
-#: Least share of all words, or of one model's bigrams, that a word or bigram needs.
-VOCABULARY_SHARE, BIGRAM_SHARE = 4e-6, 2e-6
+#: Least count of a word in the vocabulary, and of a bigram in the tables, at every size of the corpus.
+LEAST = 2
 #: Weight of the bigram estimate where its first word is known.
 BIGRAM_WEIGHT = 0.7
+#: Bigrams with this share of all words are also sent to all workers, which so score them without a join; at most
+#: 1 / HOT_SHARE of them. It changes no result.
+HOT_SHARE = 2e-6
+#: Parts that the bigrams of one word are dealt into where they meet its counts.
+SALTS = 4
+#: Numbers that no word has: the unknown word, a document's start, the row that stands for a document.
+UNKNOWN, START, HEAD = 0, 1, 2
+#: Most different words that a worker remembers at once.
+MEMO = 500_000
 
 
 def words(text: str) -> list[str]:
@@ -30,51 +42,78 @@ def words(text: str) -> list[str]:
     return text.lower().split()
 
 
+class Numbers(dict):
+    """Small numbers of words in order of their first use; `hashes` gives the hash of each."""
+
+    def __init__(self):
+        self.hashes = [START]
+
+    def __missing__(self, word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+        self.hashes.append(h if h not in (UNKNOWN, START, HEAD) else h + 3)
+        self[word] = len(self.hashes) - 1
+        return len(self.hashes) - 1
+
+    def pairs(self, text: str) -> np.ndarray:
+        """The bigrams of a text, its start included, each as two small numbers in one."""
+        ids = np.array([0, *map(self.__getitem__, words(text))], np.int64)
+        return ids[:-1] << 32 | ids[1:]
+
+    def both(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = np.array(self.hashes, np.int64)
+        return h[pairs >> 32], h[pairs & 0xFFFFFFFF]
+
+
+@dataclass
 class Model:
-    """Vocabulary and counts of both models; columns 0 are the background's, 1 the target's."""
-
-    def __init__(self, vocabulary: list[str], pairs: np.ndarray, pair_n: np.ndarray, word_n: np.ndarray, context_n: np.ndarray):
-        self.numbers = {w: i for i, w in enumerate(vocabulary, 1)}  # 0 is the unknown word
-        self.size = len(vocabulary) + 2  # the last number is a document's start
-        self.pairs, self.pair_n, self.context_n = pairs, pair_n, context_n
-        self.unigram = (word_n + 1.0) / (word_n.sum(0) + self.size)
-
-    def ids(self, text: str) -> np.ndarray:
-        get = self.numbers.get
-        return np.array([self.size - 1, *(get(w, 0) for w in words(text))], np.int64)
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Negative log-probabilities of each word, a column for each model."""
-        p = self.unigram[ids[1:]]
-        if len(self.pairs):
-            key = ids[:-1] * self.size + ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            n = self.pair_n[at] * (self.pairs[at] == key)[:, None]
-            before = self.context_n[ids[:-1]]
-            p = np.where(before > 0, BIGRAM_WEIGHT * n / np.maximum(before, 1) + (1 - BIGRAM_WEIGHT) * p, p)
-        return -np.log(p)
-
-
-def _vocabulary(docs: DataFrame) -> list[str]:
-    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter[str] = Counter()
+    """Tables of both models; columns 0 are the background's, 1 the target's.
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
+    words: w, n0, n1 (as a word), c0, c1 (as the first of a bigram). pairs: a, b, n0, p0, p1, the last two the losses.
+    """
 
-        for batch in batches:
-            for start, stop in byte_slices(batch.column(0)):
-                for t in texts(batch.column(0), start, stop):
-                    own.update(words(t))
-                if len(own) > 300_000:
-                    yield out()
-                    own.clear()
-        yield out()
+    corpus: tuple[DataFrame, str]
+    words: DataFrame
+    rare: DataFrame
+    totals: dict[str, int]
+    pairs: DataFrame
+
+    def priced(self, pairs: DataFrame) -> DataFrame:
+        """Losses of different bigrams (a, b, n0, n1) that the corpus need not hold."""
+        return _priced(_met(pairs, self.words), self.rare, self.totals)
 
-    counts = stored(docs.select("__text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.filter((F.col("n") >= 2) & (F.col("n") >= F.lit(total * VOCABULARY_SHARE))).select("word")
-    return sorted(r[0] for r in kept.toLocalIterator())
+
+def _salted(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join with a table of one row for each key, where a key may have very many rows on the left."""
+    dealt = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int")).join(dealt.hint("shuffle_hash"), [*on, "__salt"], "left").drop("__salt")
+
+
+def _met(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Bigrams with the counts of both words, null where a word is unknown."""
+    first = found.filter((F.col("n0") >= LEAST) | (F.col("w") == START)).select(F.col("w").alias("a"), "c0", "c1")
+    second = found.filter((F.col("n0") >= LEAST) & (F.col("w") != START)).select(F.col("w").alias("b"), F.col("n0").alias("w0"), F.col("n1").alias("w1"))
+    return _salted(_salted(pairs, first, ["a"]), second, ["b"])
+
+
+def _known(met: DataFrame) -> DataFrame:
+    """Bigrams with an unknown word, under what both models take them for: ka, kb."""
+    rows = met.filter("c0 IS NULL OR w0 IS NULL")
+    return rows.withColumn("ka", F.when(F.col("c0").isNull(), F.lit(UNKNOWN)).otherwise(F.col("a"))).withColumn("kb", F.when(F.col("w0").isNull(), F.lit(UNKNOWN)).otherwise(F.col("b")))
+
+
+def _priced(met: DataFrame, rare: DataFrame, totals: dict[str, int]) -> DataFrame:
+    size = totals["size"]
+
+    def loss(i: int) -> Column:
+        n = F.when(F.col("m0") >= LEAST, F.col(f"m{i}")).otherwise(0)
+        before = F.coalesce(f"c{i}", F.lit(totals[f"c{i}"]))
+        p = (F.coalesce(f"w{i}", F.lit(totals[f"w{i}"])) + 1.0) / float(totals[f"n{i}"] + size)
+        return -F.log(F.when(before > 0, BIGRAM_WEIGHT * n / before + (1 - BIGRAM_WEIGHT) * p).otherwise(p))
+
+    plain = met.filter("c0 IS NOT NULL AND w0 IS NOT NULL").withColumns({"m0": F.col("n0"), "m1": F.col("n1")})
+    mapped = _salted(_known(met), rare, ["ka", "kb"]).withColumns({m: F.coalesce(m, F.lit(0)) for m in ("m0", "m1")})
+    columns = ["a", "b", "n0", loss(0).alias("p0"), loss(1).alias("p1")]
+    return plain.select(*columns).unionByName(mapped.select(*columns))
 
 
 def train(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
@@ -85,56 +124,46 @@ def train(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     """
     docs = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     marks = targets.select(F.col(key).alias("__key")).filter("__key IS NOT NULL").distinct().withColumn("__target", F.lit(True))
-    vocabulary = _vocabulary(docs)
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary) + 2
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.empty(0, np.int64)
-        model = Model(sent.value, empty, np.empty((0, 2)), np.zeros((size, 2)), np.zeros((size, 2)))
-        held: list[list[np.ndarray]] = [[], []]
-        n = 0
+        numbers, held, n = Numbers(), ([], []), 0
 
         def out() -> pa.RecordBatch:
-            both = [np.unique(np.concatenate(h) if h else empty, return_counts=True) for h in held]
-            pairs = np.union1d(both[0][0], both[1][0])
-            columns = []
-            for own, c in both:
-                column = np.zeros(len(pairs), np.int64)
-                column[np.searchsorted(pairs, own)] = c
-                columns.append(column)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), *map(pa.array, columns)], names=["pair", "n0", "n1"])
+            every, own = (np.unique(np.concatenate(h or [np.empty(0, np.int64)]), return_counts=True) for h in held)
+            n1 = np.zeros(len(every[0]), np.int64)
+            n1[np.searchsorted(every[0], own[0])] = own[1]
+            return pa.RecordBatch.from_arrays([*map(pa.array, numbers.both(every[0])), pa.array(every[1].astype(np.int64)), pa.array(n1)], names=["a", "b", "n0", "n1"])
 
         for batch in batches:
             for start, stop in byte_slices(batch.column(0)):
                 for t, target in zip(texts(batch.column(0), start, stop), batch.column(1).slice(start, stop - start).to_pylist(), strict=True):
-                    ids = model.ids(t)
-                    pairs = ids[:-1] * size + ids[1:]
+                    pairs = numbers.pairs(t)
                     n += len(pairs)
                     held[0].append(pairs)
                     if target:
                         held[1].append(pairs)
-                if n > 3_000_000:
+                if n > 3_000_000 or len(numbers) > MEMO:
                     yield out()
-                    held, n = [[], []], 0
+                    numbers, held, n = Numbers(), ([], []), 0
         yield out()
 
     marked = docs.join(marks, "__key", "left").select("__text", F.coalesce("__target", F.lit(False)).alias("__target"))
     sums = [F.sum(c).alias(c) for c in ("n0", "n1")]
-    counts = stored(marked.mapInArrow(counted, "pair long, n0 long, n1 long").groupBy("pair").agg(*sums), "bigrams")
+    pairs = stored(marked.mapInArrow(counted, "a long, b long, n0 long, n1 long").groupBy("a", "b").agg(*sums), "bigrams")
 
-    def column_sums(by) -> np.ndarray:  # at most a row for each word of the vocabulary
-        out = np.zeros((size, 2))
-        for r in counts.groupBy(by.cast("long").alias("w")).agg(*sums).toLocalIterator():
-            out[r["w"]] = r["n0"], r["n1"]
-        return out
+    none = F.lit(0).cast("long")
+    ends = pairs.select(F.col("b").alias("w"), "n0", "n1", none.alias("c0"), none.alias("c1"))
+    starts = pairs.select(F.col("a").alias("w"), none.alias("n0"), none.alias("n1"), F.col("n0").alias("c0"), F.col("n1").alias("c1"))
+    counts = ("n0", "n1", "c0", "c1")
+    found = stored(ends.unionByName(starts).groupBy("w").agg(*(F.sum(c).alias(c) for c in counts)), "words")
+    known, unknown = F.col("n0") >= LEAST, (F.col("n0") < LEAST) & (F.col("w") != START)
+    one = found.agg(F.count_if(known).alias("size"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *(F.sum(F.when(unknown, F.col(c))).alias(t) for c, t in zip(counts, ("w0", "w1", "c0", "c1"), strict=True))).first()
+    totals = {k: v or 0 for k, v in one.asDict().items()}
+    totals["size"] += 2
 
-    word_n, context_n = column_sums(F.col("pair") % size), column_sums(F.floor(F.col("pair") / F.lit(size)))
-    totals = word_n.sum(0)
-    common = (F.col("n0") >= float(max(2, totals[0] * BIGRAM_SHARE))) | (F.col("n1") >= float(max(2, totals[1] * BIGRAM_SHARE)))
-    kept = counts.filter(common).toPandas().sort_values("pair")
-    return Model(vocabulary, kept["pair"].to_numpy(np.int64), kept[["n0", "n1"]].to_numpy(float), word_n, context_n)
+    met = stored(_met(pairs, found), "met")
+    rare = stored(_known(met).groupBy("ka", "kb").agg(F.sum("n0").alias("m0"), F.sum("n1").alias("m1")), "rare")
+    return Model((df, text), found, rare, totals, _priced(met, rare, totals))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,24 +171,61 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
     Losses are means of nats for each word of the whole text; the smaller the difference, the more a text is like the
     target. Texts without words, null ones included, have 0 words and losses of 0. Repeated rows and null keys stay as
-    they are; an empty table gives no rows; columns not named are not read.
+    they are; an empty table gives no rows; columns not named are not read. Sums are of doubles in no fixed order, so
+    losses can differ in their last digits from run to run.
     """
-    fields = [df.schema[key], T.StructField("n_words", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "difference")]
-    schema = T.StructType(fields)
-    vocabulary = sorted(model.numbers, key=model.numbers.get)
-    sent = df.sparkSession.sparkContext.broadcast((vocabulary, model.pairs, model.pair_n, model.unigram, model.context_n))
-
-    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(sent.value[0], sent.value[1], sent.value[2], np.zeros((1, 2)), sent.value[4])
-        own.unigram = sent.value[3]
+    spark = df.sparkSession
+    hot = model.pairs.filter(F.col("n0") >= float(max(LEAST, model.totals["n0"] * HOT_SHARE))).select("a", "b", "p0", "p1").toPandas()
+
+    def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a * np.int64(0x1E3779B97F4A7C15) ^ b
+
+    own_a, own_b = (hot[c].to_numpy(np.int64) for c in "ab")
+    order = np.argsort(mixed(own_a, own_b))
+    sent = spark.sparkContext.broadcast((own_a[order], own_b[order], hot[["p0", "p1"]].to_numpy(float)[order]))
+    kind = df.schema[key].dataType.simpleString()
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_a, hot_b, losses = sent.value
+        mix = mixed(hot_a, hot_b)
+        row, numbers = TaskContext.get().partitionId() << 33, Numbers()
         for batch in batches:
             for start, stop in byte_slices(batch.column(1)):
-                rows = []
-                for t in texts(batch.column(1), start, stop):
-                    lost = own.losses(own.ids(t))
-                    background, target = lost.mean(0).tolist() if len(lost) else (0.0, 0.0)
-                    rows.append((len(lost), target, background, target - background))
-                n, target, background, difference = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (target, background, difference))], names=schema.names)
-
-    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(scored, schema)
+                if len(numbers) > MEMO:
+                    numbers = Numbers()
+                found = [np.unique(numbers.pairs(t), return_counts=True) for t in texts(batch.column(1), start, stop)]
+                docs = len(found)
+                at = np.repeat(np.arange(docs), [len(p) for p, _ in found])
+                n = np.concatenate([c for _, c in found]).astype(np.int64)
+                a, b = numbers.both(np.concatenate([p for p, _ in found]))
+                n_words = np.bincount(at, n, docs).astype(np.int64)
+                summed = np.zeros((docs, 2))
+                if len(mix):
+                    place = np.minimum(np.searchsorted(mix, mixed(a, b)), len(mix) - 1)
+                    is_hot = (hot_a[place] == a) & (hot_b[place] == b)
+                    for i in (0, 1):
+                        summed[:, i] = np.bincount(at[is_hot], n[is_hot] * losses[place[is_hot], i], docs)
+                    at, n, a, b = (x[~is_hot] for x in (at, n, a, b))
+                heads, rest = row + np.arange(docs), len(at)
+                columns = [
+                    pa.array(np.concatenate([heads, row + at])),
+                    pa.array(np.concatenate([heads * np.int64(0x1E3779B97F4A7C15), a])),
+                    pa.array(np.concatenate([np.full(docs, HEAD), b])),
+                    pa.array(np.concatenate([n_words, n])),
+                    pa.concat_arrays([batch.column(0).slice(start, docs), pa.nulls(rest, batch.column(0).type)]),
+                    *(pa.concat_arrays([pa.array(summed[:, i]), pa.nulls(rest, pa.float64())]) for i in (0, 1)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "a", "b", "n", "key", "l0", "l1"])
+                row += docs
+
+    # a row for each document and one for each of its other bigrams; both come of one scan, so their row numbers agree
+    parts = df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(split, f"row long, a long, b long, n long, key {kind}, l0 double, l1 double")
+    pairs = model.pairs.select("a", "b", "p0", "p1")
+    if model.corpus[0] is not df or model.corpus[1] != text:
+        unseen = parts.filter(F.col("b") != HEAD).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        zero = F.lit(0).cast("long")
+        pairs = pairs.unionByName(model.priced(unseen.select("a", "b", zero.alias("n0"), zero.alias("n1"))).select("a", "b", "p0", "p1"))
+    lost = [F.sum(F.coalesce(f"l{i}", F.col("n") * F.col(f"p{i}"))).alias(f"l{i}") for i in (0, 1)]
+    rows = parts.join(pairs.hint("shuffle_hash"), ["a", "b"], "left").groupBy("row").agg(F.first("key", True).alias(key), F.sum(F.when(F.col("b") == HEAD, F.col("n"))).alias("n_words"), *lost)
+    target, background = (F.col(f"l{i}") / F.greatest("n_words", F.lit(1)) for i in (1, 0))
+    return rows.select(key, "n_words", target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("difference"))

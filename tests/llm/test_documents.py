@@ -215,6 +215,31 @@ def test_lm_scores_equal_brute_force(spark):
     assert np.mean([got[i].difference for i in range(1, 30, 2)]) < np.mean([got[i].difference for i in range(0, 30, 2)])
 
 
+def test_lm_keeps_rare_words_of_a_large_corpus(spark, monkeypatch):
+    common = " ".join(["to be"] * 100_000)
+    rows = [(i, common, "x") for i in range(6)] + [(10, "rare pair here", "x"), (11, "rare pair there", "x"), (12, "to rare be once", "x"), (None, "to be", "x"), (12, " ".join(f"own{i}" for i in range(20)), "x")]
+    df, target = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(10,), (0,)], "doc_id long")
+    total = 6 * 200_000 + 3 + 3 + 4 + 2 + 20
+    model = lm_scoring.train(df, target)
+    got = {r.doc_id: r for r in lm_scoring.score(df, model).filter("doc_id IN (10, 11)").collect()}
+    # known: to, be, rare, pair; "rare pair" occurs twice after "rare", which stands before a word three times
+    unigram = lambda n: (n + 1) / (total + 6)
+    ones = 23  # here, there, once and the invented words, each once
+    want = [0.3 * unigram(3) + 0.7 * 2 / 11, 0.7 * 2 / 3 + 0.3 * unigram(2), 0.7 * 2 / 2 + 0.3 * unigram(ones)]
+    assert got[10].background_loss == pytest.approx(-np.log(want).sum() / 3)
+    before = sorted(map(tuple, lm_scoring.score(df, model).collect()), key=str)
+    monkeypatch.setattr(lm_scoring, "HOT_SHARE", 2.0)
+    for other in (df, spark.createDataFrame(rows, SCHEMA).repartition(3)):
+        after = sorted(map(tuple, lm_scoring.score(other, model).collect()), key=str)
+        assert [r[:2] for r in after] == [r[:2] for r in before]
+        assert np.allclose([r[2:] for r in after], [r[2:] for r in before])
+    held_out = spark.createDataFrame([(1, "pair be unseen", "x")], SCHEMA)
+    n_unknown = [0.3 * unigram(2), 0.3 * unigram(600_002), 0.3 * unigram(ones)]
+    assert lm_scoring.score(held_out, model).first().background_loss == pytest.approx(-np.log(n_unknown).sum() / 3)
+    empty = df.limit(0)
+    assert lm_scoring.score(empty, lm_scoring.train(empty, target)).count() == 0
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(14)
     vectors = {i: rng.normal(size=16).astype(np.float32).tolist() for i in range(200)}
