@@ -14,10 +14,16 @@ LEAST_SCORE = 0.05
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language. The classifier learns from a bounded sample of the labelled ones."""
+    """Documents whose text has a language. The classifier learns from a bounded sample of the labelled ones.
+
+    Where no document is labelled there is nothing to judge by, and all stay.
+    """
     others = tuple(c for c in docs.columns if c != "doc_id")
     named = docs.select("doc_id", *(F.col(c).alias(f"doc_{c}") for c in others))
-    scored = langid.predict(named, langid.train(docs), text="doc_text", keep=tuple(f"doc_{c}" for c in others))
+    model = langid.train(docs)
+    if not model.languages:
+        return docs
+    scored = langid.predict(named, model, text="doc_text", keep=tuple(f"doc_{c}" for c in others))
     kept = scored.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return kept.select("doc_id", *(F.col(f"doc_{c}").alias(c) for c in others)).select(docs.columns)
 

@@ -21,8 +21,10 @@ from .common import byte_slices, texts
 
 #: Places of the presence vectors, and the lengths of n-grams.
 PLACES, LENGTHS = 1 << 15, (1, 2, 3, 4)
-#: Bounds of the training sample: rows for each language, languages, landmarks in all, ridge penalty.
-ROWS_EACH, MOST_LANGUAGES, LANDMARKS, PENALTY = 400, 64, 256, 1e-3
+#: Bounds of the training sample: rows for each language and, with very many languages, in all, though never fewer than
+#: LEAST_ROWS for each; landmarks in all, or LANDMARKS_EACH for each language if that is more; ridge penalty.
+ROWS_EACH, ROWS_IN_ALL, LEAST_ROWS = 400, 25_600, 8
+LANDMARKS, LANDMARKS_EACH, PENALTY = 256, 4, 1e-3
 UNDETERMINED = "und"
 
 
@@ -69,34 +71,45 @@ class Model:
 def fit(rows: list[tuple[str, bytes]]) -> Model:
     """rows: language and packed presence bits; landmarks are taken evenly from the rows, in their order."""
     languages = sorted({language for language, _ in rows})
-    x = np.unpackbits(np.frombuffer(b"".join(bits for _, bits in rows), np.uint8).reshape(len(rows), -1), axis=1)
-    marks = x[np.linspace(0, len(rows) - 1, min(LANDMARKS, len(rows))).astype(int)].astype(np.float32)
+    if not languages:
+        return Model([], np.zeros((PLACES, 0), np.float32))
+    number = {language: i for i, language in enumerate(languages)}
+    own = np.array([number[language] for language, _ in rows])
+    bits = np.frombuffer(b"".join(bits for _, bits in rows), np.uint8).reshape(len(rows), -1)
+    most = max(LANDMARKS, LANDMARKS_EACH * len(languages))
+    marks = np.unpackbits(bits[np.linspace(0, len(rows) - 1, min(most, len(rows))).astype(int)], axis=1).astype(np.float32)
     marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
-    blocks = [x[i : i + 128].astype(np.float32) for i in range(0, len(rows), 128)]
-    k_nm = np.concatenate([(b @ marks.T) / np.sqrt(np.maximum(b.sum(1, keepdims=True), 1)) for b in blocks]).astype(np.float64)
-    k_mm = (marks @ marks.T).astype(np.float64)
-    y = np.array([[float(language == own) for own in languages] for language, _ in rows])
-    weight = (1.0 / np.maximum(y.sum(0), 1))[y.argmax(1)][:, None] * len(rows) / len(languages)
-    normal = k_nm.T @ (weight * k_nm) + PENALTY * len(rows) * k_mm + 1e-8 * np.eye(len(k_mm))
-    alpha = np.linalg.solve(normal, k_nm.T @ (weight * y))
+    weight = len(rows) / len(languages) / np.bincount(own)[own]
+    normal = PENALTY * len(rows) * (marks @ marks.T).astype(np.float64) + 1e-8 * np.eye(len(marks))
+    aim = np.zeros((len(marks), len(languages)))
+    for at in range(0, len(rows), 128):
+        part = slice(at, at + 128)
+        x = np.unpackbits(bits[part], axis=1).astype(np.float32)
+        k = ((x @ marks.T) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))).astype(np.float64)
+        normal += k.T @ (weight[part, None] * k)
+        aim += k.T @ (weight[part, None] * (own[part, None] == np.arange(len(languages))))
+    alpha = np.linalg.solve(normal, aim)
     return Model(languages, (marks.T @ alpha).astype(np.float32))
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
-    """A model from at most ROWS_EACH rows for each of the MOST_LANGUAGES most frequent languages, chosen by a hash of the key.
+    """A model of every language, from at most ROWS_EACH rows for each, chosen by a hash of the key.
 
-    Rows with null text or label teach nothing. Texts become presence bits on the executors; only those reach the driver.
+    Rows with null text or label teach nothing; without any other, the model has no languages. Texts become presence
+    bits on the executors; only those reach the driver.
     """
     rows = df.select(F.col(key).cast("string").alias("__key"), F.col(text).cast("string").alias("__text"), F.col(label).cast("string").alias("__label")).filter("__text IS NOT NULL AND __label IS NOT NULL")
     rows = rows.withColumn("__hash", F.xxhash64("__key", F.lit("landmark")))
-    counts = rows.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("__label").count().collect()
     if not counts:
-        raise ValueError("no labelled rows to learn from")
+        return fit([])
+    each = max(LEAST_ROWS, min(ROWS_EACH, ROWS_IN_ALL // len(counts)))
     # each language is thinned by its count before its first rows in hash order are taken, so that no task gathers a language
-    share = F.create_map(*[F.lit(v) for c in counts for v in (c["__label"], min(1.0, 3.0 * ROWS_EACH / c["count"]))])
-    thin = rows.filter((F.pmod("__hash", F.lit(1 << 20)) / float(1 << 20)) < F.try_element_at(share, F.col("__label")))
+    shares = [(c["__label"], min(1.0, 3.0 * ROWS_EACH / c["count"])) for c in counts]
+    share = F.broadcast(df.sparkSession.createDataFrame(shares, "__label string, __share double"))
+    thin = rows.join(share, "__label").filter((F.pmod("__hash", F.lit(1 << 20)) / float(1 << 20)) < F.col("__share"))
     first = Window.partitionBy("__label").orderBy("__hash", "__key", F.sha2("__text", 256))
-    chosen = thin.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= ROWS_EACH)
+    chosen = thin.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= each)
 
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +117,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
                 packed = np.packbits(presence(texts(batch.column(2), start, stop))[0].astype(np.uint8), axis=1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in (0, 1)), pa.array([r.tobytes() for r in packed], pa.binary())], names=["label", "n", "bits"])
 
-    # thinning can leave a language without rows only if it has very few; then all of its rows have a share of 1
+    # a language with few rows has a share of 1, and one with many keeps hundreds, so thinning leaves none out
     found = chosen.select(F.col("__label").alias("label"), F.col("__n").cast("long").alias("n"), "__text").mapInArrow(bits, "label string, n long, bits binary")
     taken = sorted((r["n"], r["label"], bytes(r["bits"])) for r in found.toLocalIterator())
     return fit([(label, packed) for _, label, packed in taken])
@@ -114,12 +127,12 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """key, keep, lang_pred string, score double for every row, from its whole text alone.
 
     lang_pred is a learned language, the first in order on ties, or `und` with score 0 where text is null or has no
-    letter. score is the regression's value for it, held to 0 to 1. Repeated rows and null keys stay as they are; an
+    letter, or the model no languages. score is the regression's value for it, held to 0 to 1. Repeated rows and null keys stay as they are; an
     empty table gives no rows; other columns are not read.
     """
     names = [key, *keep]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    sent = df.sparkSession.sparkContext.broadcast((model.languages, model.weights))  # PLACES x MOST_LANGUAGES numbers at most
+    sent = df.sparkSession.sparkContext.broadcast((model.languages, model.weights))  # PLACES numbers for each language
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
@@ -127,6 +140,8 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             column = batch.column(len(names))
             for start, stop in rows_at_most(byte_slices(column, 1 << 18), 64):
                 s, letters = own.scores(texts(column, start, stop))
+                if not own.languages:
+                    s, letters = np.zeros((stop - start, 1)), np.zeros(stop - start, bool)
                 best = s.argmax(1)
                 top = np.clip(s[np.arange(len(s)), best], 0, 1).astype(float)
                 pred = [own.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]

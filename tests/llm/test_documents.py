@@ -169,6 +169,26 @@ def test_languages(spark):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_every_label_is_learned(spark):
+    rnd = random.Random(20)
+    alphabets = ["".join(chr(0x4E00 + 40 * i + j) for j in range(20)) for i in range(70)]
+    rows = [(100 * i + j, prose(rnd, 30, alphabets[i]), f"l{i:02}") for i in range(70) for j in range(3 if i == 69 else 4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.train(df)).collect()}
+    assert got == {k: lang for k, _, lang in rows}
+
+
+def test_languages_without_labels(spark):
+    import corpus_pipeline
+
+    for rows in ([], [(1, "some text", None), (None, None, None), (2, None, "x")]):
+        df = spark.createDataFrame(rows, SCHEMA)
+        got = langid.predict(df, langid.train(df)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(((k, "und", 0.0) for k, _, _ in rows), key=str)
+        kept = corpus_pipeline.identify_language(spark, df, "")
+        assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     from sievework.llm.queries import op7_language_id
 
