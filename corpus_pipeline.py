@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import exact_dedup, langid, near_dedup, packing
@@ -28,16 +30,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select("doc_id", *(F.col(f"doc_{c}").alias(c) for c in others)).select(docs.columns)
 
 
+def _best_rows(docs: DataFrame, group: Callable[[DataFrame], DataFrame], best: Callable[[Column], Column]) -> DataFrame:
+    """The best row of each group. Rows are told apart by a number of their own, so doc_ids may be null or repeated."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    grouped = group(rows).join(rows.select("__row", "doc_id"), "__row")
+    kept = grouped.groupBy("__group").agg(best(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))["__row"].alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the largest doc_id."""
-    kept = exact_dedup.group_equal(docs).filter("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of equal texts, that with the largest doc_id; one without doc_id only where none has one."""
+    largest = lambda c: F.max(F.struct((~c["no_id"]).alias("has_id"), c["doc_id"].alias("doc_id"), c["__row"].alias("__row")))
+    return _best_rows(docs, lambda rows: exact_dedup.group_equal(rows, "__row").select("__row", F.col("keep_id").alias("__group")), largest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    kept = near_dedup.group_similar(docs).filter("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of near-duplicates, that with the smallest doc_id; one without doc_id only where none has one."""
+    return _best_rows(docs, lambda rows: near_dedup.group_similar(rows, "__row").select("__row", F.col("component_id").alias("__group")), F.min)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,6 +256,13 @@ def _block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("unit", "i", "j").applyInArrow(joined, "a long, b long")
 
 
+def _links_of_keys(signed: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """a, b: links between the nodes that have a key in common, each by its smallest key."""
+    held = signed.filter("node IS NOT NULL").join(repeated, "__key", "left_semi").select("__key", "node").distinct()
+    firsts = stored(held.join(nodes.select("node", "first"), "node").select("__key", "first").distinct(), "firsts")
+    return firsts.join(firsts.groupBy("__key").agg(F.min("first").alias("a")), "__key").select("a", F.col("first").alias("b"))
+
+
 def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """key, n_shingles long, component_id, kept boolean for every row.
 
@@ -277,7 +284,9 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
     met = stored(nodes.join(members.select("node").distinct(), "node", "left_semi"), "met")
     sets = stored(_sets(docs, met), "sets")
 
-    tested = roots = None
+    tested = None
+    repeated = stored(signed.filter("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("size")).filter("size > 1").select("__key"), "repeated-keys")
+    roots = None if repeated.isEmpty() else components(_links_of_keys(signed, nodes, repeated))
     turn = 0
     while turn <= ROUNDS:
         now = members if roots is None else members.join(roots.withColumnRenamed("node", "first"), "first", "left")
@@ -310,5 +319,8 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
     grouped = nodes.select("node", F.col("first").alias("component_id")) if roots is None else nodes.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("root", "first").alias("component_id"))
     rows = signed.join(grouped, "node", "left")  # a hot node's rows are split among tasks as a skewed join
     component = F.when(F.col("__key").isNotNull(), F.coalesce("component_id", "__key"))
-    # rows of one key have one component, whichever of its texts was linked
+    if not repeated.isEmpty():  # a row without shingles follows the other rows of its key
+        by_key = rows.join(repeated, "__key", "left_semi").groupBy("__key").agg(F.min("component_id").alias("of_key"))
+        rows = rows.join(by_key, "__key", "left")
+        component = F.when(F.col("__key").isNotNull(), F.coalesce("component_id", "of_key", "__key"))
     return rows.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

@@ -70,6 +70,17 @@ def test_near_groups_equal_brute_force(spark):
     assert got == {k: (len(sets[k]), root[k], root[k] == k) for k in sets}
 
 
+def test_near_groups_follow_shared_keys(spark):
+    rnd = random.Random(21)
+    a, b, c, d = (prose(rnd, 60) for _ in range(4))
+    near = " ".join(c.split()[:-1] + ["end"])
+    rows = [(1, a), (7, a), (7, b), (5, b), (5, None), (9, None), (20, c), (21, near), (21, d), (22, d), (None, a)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.group_similar(df).collect()), key=str)
+    root = {1: 1, 7: 1, 5: 1, 9: 9, 20: 20, 21: 20, 22: 20, None: None}
+    assert got == sorted(((k, root[k], k is not None and root[k] == k) for k, _ in rows), key=str)
+
+
 def test_large_open_buckets_are_compared_in_blocks(spark, monkeypatch):
     rnd = random.Random(17)
     base = prose(rnd, 90).split()

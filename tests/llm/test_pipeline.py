@@ -1,5 +1,7 @@
 """The pipeline's stages on small tables, each against what its operator says."""
 
+import random
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +24,19 @@ def test_stages_keep_columns_and_decide(spark):
     assert {r.doc_id for r in packed} == ids
 
 
+def test_null_and_repeated_doc_ids(spark):
+    rnd = random.Random(22)
+    a, b, c, d = (" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " end"
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(k, t, "x") for k, t in [(None, b), (None, b), (1, a), (1, a), (3, a), (3, c), (2, c), (4, c), (None, c), (None, d)]], schema)
+    exact = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()), key=str)
+    assert exact == sorted([(None, b), (3, a), (4, c), (None, d)], key=str)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in [(None, b), (None, b), (5, a), (5, near), (None, near), (5, d), (6, c), (6, None)]], schema)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=str)
+    assert len(got) == 5 and got[-1] == (None, b) and {(5, d), (6, c), (6, None)} < set(got) and sum(t in (a, near) for _, t in got) == 1
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
