@@ -23,7 +23,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").filter("quality = 1")
-    return lm_scoring.score(docs, lm_scoring.train(docs, good))
+    return lm_scoring.score_corpus(docs, good)
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -208,67 +209,69 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
 
 
-def test_lm_scores_equal_brute_force(spark):
-    from collections import Counter
-
-    rnd = random.Random(13)
-    words = [prose(rnd, 1) for _ in range(30)]
-    rows = [(i, " ".join(rnd.choice(words[:20] if i % 2 else words[10:]) for _ in range(30)), "x") for i in range(30)] + [(90, None, "x"), (91, " ", "x"), (92, "Never-Seen word", "x")]
-    df = spark.createDataFrame(rows, SCHEMA)
-    target = spark.createDataFrame([(i,) for i in range(1, 30, 2)] * 2 + [(None,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_scoring.score(df, lm_scoring.train(df, target)).collect()}
-    seen = Counter(w for _, t, _ in rows for w in (t or "").lower().split())
-    vocabulary = {w for w, n in seen.items() if n >= 2}
-    ids = {k: ["<s>", *(w if w in vocabulary else "?" for w in (t or "").lower().split())] for k, t, _ in rows}
-    size = len(vocabulary) + 2
-    losses = []
-    for keys in (set(ids), set(range(1, 30, 2))):
-        pairs = Counter(p for k in keys for p in zip(ids[k], ids[k][1:]))
-        one, before = Counter(), Counter()
-        for (a, b), n in pairs.items():
-            one[b] += n
-            before[a] += n
-        total = sum(one.values())
-        losses.append((pairs, one, before, total))
-    kept = {p for pairs, *_ in losses for p, n in pairs.items() if n >= 2}
-    for k, own in ids.items():
-        want = []
-        for pairs, one, before, total in losses:
+def lm_losses(rows, targets):
+    """doc_id -> words, background and target loss, from the definition; rows: doc_id, text."""
+    own = [(k, (t or "").lower().split()) for k, t in rows]
+    size = len({w for _, x in own for w in x}) + 1
+    models = []
+    for docs in (own, [x for x in own if x[0] in targets]):
+        pairs = Counter(p for _, x in docs for p in zip(["<s>", *x], x, strict=False))
+        one = Counter(w for _, x in docs for w in x)
+        models.append((pairs, one, {**one, "<s>": sum(bool(x) for _, x in docs)}, sum(one.values())))
+    kept, out = {p for p, n in models[0][0].items() if n >= 2}, []
+    for k, x in own:
+        losses = []
+        for pairs, one, before, total in models:
             loss = 0.0
-            for a, b in zip(own, own[1:]):
+            for a, b in zip(["<s>", *x], x, strict=False):
                 p = (one[b] + 1) / (total + size)
-                if before[a]:
+                if before.get(a):
                     p = 0.7 * (pairs[a, b] if (a, b) in kept else 0) / before[a] + 0.3 * p
                 loss -= np.log(p)
-            want.append(loss / max(1, len(own) - 1))
-        assert got[k].n_words == len(own) - 1
-        assert got[k].background_loss == pytest.approx(want[0]) and got[k].target_loss == pytest.approx(want[1])
-    assert np.mean([got[i].difference for i in range(1, 30, 2)]) < np.mean([got[i].difference for i in range(0, 30, 2)])
+            losses.append(loss / max(1, len(x)))
+        out.append((k, len(x), *losses))
+    return sorted(out, key=str)
+
+
+def test_lm_scores_equal_brute_force(spark, monkeypatch):
+    rnd = random.Random(13)
+    words = [prose(rnd, 1) for _ in range(30)]
+    rows = [(i, " ".join(rnd.choice(words[:20] if i % 2 else words[10:]) for _ in range(30)), "x") for i in range(30)] + [(90, None, "x"), (91, " ", "x"), (92, "Never-Seen word", "x"), (92, words[3], "x"), (None, "word word", "x")]
+    rows += [(100 + i, f"{prose(rnd, 40)} own{i} {words[i % 30]}", "x") for i in range(40)]  # mostly words that occur once
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    target = spark.createDataFrame([(i,) for i in range(1, 30, 2)] * 2 + [(None,)], "doc_id long")
+    want = lm_losses([r[:2] for r in rows], set(range(1, 30, 2)))
+    for block, part in ((1 << 21, 1 << 20), (50, 100), (200, 7)):
+        monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", block)
+        monkeypatch.setattr(lm_scoring, "RANGE_WORDS", part)
+        for scored in (lm_scoring.score_corpus(df, target), lm_scoring.score(df, lm_scoring.train(df, target))):
+            got = sorted(((r.doc_id, r.n_words, r.background_loss, r.target_loss) for r in scored.collect()), key=str)
+            assert [r[:2] for r in got] == [r[:2] for r in want]
+            assert np.allclose([r[2:] for r in got], [r[2:] for r in want])
+    got = {r.doc_id: r.difference for r in scored.collect()}
+    assert np.mean([got[i] for i in range(1, 30, 2)]) < np.mean([got[i] for i in range(0, 30, 2)])
 
 
 def test_lm_keeps_rare_words_of_a_large_corpus(spark, monkeypatch):
     common = " ".join(["to be"] * 100_000)
     rows = [(i, common, "x") for i in range(6)] + [(10, "rare pair here", "x"), (11, "rare pair there", "x"), (12, "to rare be once", "x"), (None, "to be", "x"), (12, " ".join(f"own{i}" for i in range(20)), "x")]
     df, target = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(10,), (0,)], "doc_id long")
-    total = 6 * 200_000 + 3 + 3 + 4 + 2 + 20
+    total, size = 6 * 200_000 + 3 + 3 + 4 + 2 + 20, 7 + 20 + 1  # to be rare pair here there once, the invented words, the unknown one
     model = lm_scoring.train(df, target)
-    got = {r.doc_id: r for r in lm_scoring.score(df, model).filter("doc_id IN (10, 11)").collect()}
-    # known: to, be, rare, pair; "rare pair" occurs twice after "rare", which stands before a word three times
-    unigram = lambda n: (n + 1) / (total + 6)
-    ones = 23  # here, there, once and the invented words, each once
-    want = [0.3 * unigram(3) + 0.7 * 2 / 11, 0.7 * 2 / 3 + 0.3 * unigram(2), 0.7 * 2 / 2 + 0.3 * unigram(ones)]
-    assert got[10].background_loss == pytest.approx(-np.log(want).sum() / 3)
-    before = sorted(map(tuple, lm_scoring.score(df, model).collect()), key=str)
-    monkeypatch.setattr(lm_scoring, "HOT_SHARE", 2.0)
-    for other in (df, spark.createDataFrame(rows, SCHEMA).repartition(3)):
-        after = sorted(map(tuple, lm_scoring.score(other, model).collect()), key=str)
-        assert [r[:2] for r in after] == [r[:2] for r in before]
-        assert np.allclose([r[2:] for r in after], [r[2:] for r in before])
+    unigram = lambda n: (n + 1) / (total + size)
+    # "rare pair" occurs twice after "rare", which occurs three times; 11 documents start, 2 with "rare"
+    want = [0.3 * unigram(3) + 0.7 * 2 / 11, 0.7 * 2 / 3 + 0.3 * unigram(2), 0.3 * unigram(1)]
+    whole = lm_scoring.score_corpus(df, target)
+    assert {r.doc_id: r for r in whole.collect()}[10].background_loss == pytest.approx(-np.log(want).sum() / 3)
+    monkeypatch.setattr(lm_scoring, "MOST_SENT", 1)
+    want, got = (sorted(map(tuple, x.collect()), key=str) for x in (whole, lm_scoring.score_corpus(df, target)))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want])
     held_out = spark.createDataFrame([(1, "pair be unseen", "x")], SCHEMA)
-    n_unknown = [0.3 * unigram(2), 0.3 * unigram(600_002), 0.3 * unigram(ones)]
-    assert lm_scoring.score(held_out, model).first().background_loss == pytest.approx(-np.log(n_unknown).sum() / 3)
+    want = [0.3 * unigram(2), 0.3 * unigram(600_002), 0.3 * unigram(0)]
+    assert lm_scoring.score(held_out, model).first().background_loss == pytest.approx(-np.log(want).sum() / 3)
     empty = df.limit(0)
-    assert lm_scoring.score(empty, lm_scoring.train(empty, target)).count() == 0
+    assert lm_scoring.score(empty, lm_scoring.train(empty, target)).count() == lm_scoring.score_corpus(empty, target).count() == 0
+    assert lm_scoring.score(held_out, lm_scoring.train(empty, target)).first().background_loss == 0  # one unknown word, of probability 1
 
 
 def test_neighbours_equal_brute_force(spark):
