@@ -33,7 +33,7 @@ LEAST = 2
 #: Weight of the bigram estimate where its first word is known.
 BIGRAM_WEIGHT = 0.7
 #: Words of a block, and words of the corpus for each range of hashes.
-BLOCK_WORDS, RANGE_WORDS = 1 << 20, 1 << 20
+BLOCK_WORDS, RANGE_WORDS = 3 << 18, 3 << 18
 #: Most target keys that are broadcast; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 #: Words and documents with words, of the background and of the target.
