@@ -39,6 +39,14 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what stored() has written for df, once nothing that is yet to run reads it."""
+    session = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = session._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def byte_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with about `limit` bytes each; a longer value is a range of its own."""
     size = at = 0

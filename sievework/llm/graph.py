@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the smallest node each node of `edges` reaches.
 
     Each round a node takes the smallest label around it and then that label's own label, so stars and chains shrink
-    by powers. Labels move as minima that are merged before the shuffle; nothing is gathered by node.
+    by powers. Labels move as minima that are merged before the shuffle; nothing is gathered by node. Links with a null
+    end and links of a node with itself count for nothing; repeated links count once; without links there are no rows.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     both = stored(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
@@ -21,7 +22,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         around = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
         nearer = labels.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jumped = nearer.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left")
-        new = stored(jumped.select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
-        labels = new.select("node", "root")
-        if new.filter("old <> root").isEmpty():
+        new = jumped.select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
+        moved = Observation()  # counted while the labels are written
+        written = stored(new.observe(moved, F.count_if(F.col("old") != F.col("root")).alias("n")).select("node", "root"), "labels")
+        discard(labels)
+        labels = written
+        if not moved.get["n"]:
+            discard(both)
             return labels

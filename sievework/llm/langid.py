@@ -1,9 +1,11 @@
 """Language ID: blended-spectrum n-gram presence kernels, Nyström landmarks and one-versus-rest kernel ridge regression.
 
-A text is the set of its character n-grams of lengths 1 to 4, hashed into a fixed number of places. The kernel of two
-texts is the share of n-grams they have in common, K(x, y) = |X and Y| / sqrt(|X| |Y|). Ridge regression against one
-column for each language is solved in the space that a bounded number of landmark texts spans. A batch of texts is
-scored by one product of its presence matrix with the landmarks' presence, already multiplied by the coefficients.
+A window of a text is the set of its character n-grams of lengths 1 to 4, hashed into a fixed number of places. The
+kernel of two windows is the share of n-grams they have in common, K(x, y) = |X and Y| / sqrt(|X| |Y|). Ridge regression
+against one column for each language is solved in the space that a bounded number of landmark windows spans. A batch of
+windows is scored by one product of its presence matrix with the landmarks' presence, already multiplied by the
+coefficients. A text's scores are the means of all its windows', weighted by their letters, so that a long text fills
+no more places than a short one.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import byte_slices, texts
 
-#: Places of the presence vectors, and the lengths of n-grams.
-PLACES, LENGTHS = 1 << 15, (1, 2, 3, 4)
+#: Places of the presence vectors, the lengths of n-grams, and characters of a window.
+PLACES, LENGTHS, WINDOW = 1 << 15, (1, 2, 3, 4), 8192
 #: Bounds of the training sample: rows for each language and, with very many languages, in all, though never fewer than
 #: LEAST_ROWS for each; landmarks in all, or LANDMARKS_EACH for each language if that is more; ridge penalty.
 ROWS_EACH, ROWS_IN_ALL, LEAST_ROWS = 400, 25_600, 8
@@ -34,26 +36,30 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def windows(text: str) -> list[str]:
+    """All of a text in windows; neighbours share three characters, so that no n-gram is lost."""
+    return [text[max(0, at - 3) : at + WINDOW] for at in range(0, len(text), WINDOW)]
+
+
 def presence(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A row for each text with 1.0 at the places of its n-grams, and whether it has a letter.
+    """A row for each window with 1.0 at the places of its n-grams, and its number of letters.
 
     Lower case; characters that are no letters count as one space.
     """
     out = np.zeros((len(batch), PLACES), np.float32)
-    letters = np.zeros(len(batch), bool)
+    letters = np.zeros(len(batch))
     for i, text in enumerate(batch):
-        for at in range(0, len(text), 1 << 20):  # neighbouring parts share three characters
-            codes = np.frombuffer(text[max(0, at - 3) : at + (1 << 20)].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-            letter = letter_table()[codes]
-            letters[i] |= letter.any()
-            codes = np.where(letter, codes, np.uint32(32))
-            grown = np.zeros(len(codes), np.uint32)
-            for n in LENGTHS:
-                if len(codes) < n:
-                    break
-                grown = (grown[: len(codes) - n + 1] + codes[n - 1 :]) * np.uint32(0x9E3779B1)
-                grown ^= grown >> np.uint32(15)
-                out[i, (grown * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 15)] = 1.0
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = letter_table()[codes]
+        letters[i] = letter.sum()
+        codes = np.where(letter, codes, np.uint32(32))
+        grown = np.zeros(len(codes), np.uint32)
+        for n in LENGTHS:
+            if len(codes) < n:
+                break
+            grown = (grown[: len(codes) - n + 1] + codes[n - 1 :]) * np.uint32(0x9E3779B1)
+            grown ^= grown >> np.uint32(15)
+            out[i, (grown * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 15)] = 1.0
     return out, letters
 
 
@@ -64,8 +70,16 @@ class Model:
         self.languages, self.weights = languages, weights
 
     def scores(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found, letters = presence(batch)
-        return (found @ self.weights) / np.sqrt(np.maximum(found.sum(1, keepdims=True), 1)), letters
+        """Of each text: a score for each language, and its number of letters."""
+        total, letters = np.zeros((len(batch), len(self.languages))), np.zeros(len(batch))
+        parts = [(i, w) for i, text in enumerate(batch) for w in windows(text)]
+        for at in range(0, len(parts), 64):
+            number = np.array([i for i, _ in parts[at : at + 64]])
+            found, n = presence([w for _, w in parts[at : at + 64]])
+            own = (found @ self.weights) / np.sqrt(np.maximum(found.sum(1, keepdims=True), 1))
+            np.add.at(total, number, own * n[:, None])
+            np.add.at(letters, number, n)
+        return total / np.maximum(letters, 1)[:, None], letters
 
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
@@ -95,8 +109,9 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """A model of every language, from at most ROWS_EACH rows for each, chosen by a hash of the key.
 
-    Rows with null text or label teach nothing; without any other, the model has no languages. Texts become presence
-    bits on the executors; only those reach the driver.
+    Of a text of several windows one teaches, by its row's place in that order. Rows with null text or label teach
+    nothing; without any other, the model has no languages. Windows become presence bits on the executors; only those
+    reach the driver.
     """
     rows = df.select(F.col(key).cast("string").alias("__key"), F.col(text).cast("string").alias("__text"), F.col(label).cast("string").alias("__label")).filter("__text IS NOT NULL AND __label IS NOT NULL")
     rows = rows.withColumn("__hash", F.xxhash64("__key", F.lit("landmark")))
@@ -114,7 +129,9 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in rows_at_most(byte_slices(batch.column(2), 1 << 18), 64):
-                packed = np.packbits(presence(texts(batch.column(2), start, stop))[0].astype(np.uint8), axis=1)
+                numbers = batch.column(1).slice(start, stop - start).to_pylist()
+                chosen = [w[n % len(w)] if (w := windows(t)) else "" for n, t in zip(numbers, texts(batch.column(2), start, stop), strict=True)]
+                packed = np.packbits(presence(chosen)[0].astype(np.uint8), axis=1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in (0, 1)), pa.array([r.tobytes() for r in packed], pa.binary())], names=["label", "n", "bits"])
 
     # a language with few rows has a share of 1, and one with many keeps hundreds, so thinning leaves none out
@@ -141,7 +158,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for start, stop in rows_at_most(byte_slices(column, 1 << 18), 64):
                 s, letters = own.scores(texts(column, start, stop))
                 if not own.languages:
-                    s, letters = np.zeros((stop - start, 1)), np.zeros(stop - start, bool)
+                    s, letters = np.zeros((stop - start, 1)), np.zeros(stop - start)
                 best = s.argmax(1)
                 top = np.clip(s[np.arange(len(s)), best], 0, 1).astype(float)
                 pred = [own.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]

@@ -7,8 +7,8 @@ likelihood of all registers of a pair, with both sizes known, leaves out pairs t
 confirmed on their full sets.
 
 Documents with one set are one node. The nodes of a band's bucket are never paired with each other at once: in each
-round every node meets one node of its bucket, drawn anew, and what is found to be linked is joined. When rounds find
-nothing more, only buckets whose nodes are still in different groups are open. Those of a few nodes are paired. Larger
+round every node meets a few nodes of its bucket, drawn anew, and what is found to be linked is joined. After the rounds
+only buckets whose nodes are still in different groups are open. Those of a few nodes are paired. Larger
 ones are cut into blocks, and each two blocks are compared by a product of their incidence matrices, from which only the
 links that join groups come out: rows stand for a node in a block, never for a pair. Buckets that have nodes in common
 are compared as one where this moves less. So a large group of copies costs few rows, and no link between groups is lost.
@@ -33,8 +33,8 @@ from .graph import components
 REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
 #: Registers in a band. At a similarity of 0.75 a pair misses all 32 bands of 4 once in about 190,000 times.
 BAND = 4
-#: Rounds of single meetings before the remaining pairs are confirmed.
-ROUNDS = 6
+#: Rounds of meetings before the remaining pairs are confirmed, and nodes of its bucket that a node meets in each.
+ROUNDS, CENTRES = 1, 5
 #: Nodes of an open bucket that are paired; more are compared in blocks.
 FEW = 16
 #: Nodes of a block (growing with the root of their number, so that rows grow by a power of 1.5), hashes of a block, columns of a matrix.
@@ -192,15 +192,6 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def _joined_groups(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """node, root after further links (a, b): only the groups that these join are walked again."""
-    group = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    between = links.join(group("a"), "a", "left").join(group("b"), "b", "left")
-    step = components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-    moved = roots.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return stored(moved.union(step.join(roots, "node", "left_anti").select("node", "root")), "groups")
-
-
 def shared_counts(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many hashes each row of `left` has in common with each of `right`; hash i is in row row[i], once."""
     _, code, count = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -284,25 +275,26 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
     met = stored(nodes.join(members.select("node").distinct(), "node", "left_semi"), "met")
     sets = stored(_sets(docs, met), "sets")
 
-    tested = None
     repeated = stored(signed.filter("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("size")).filter("size > 1").select("__key"), "repeated-keys")
-    roots = None if repeated.isEmpty() else components(_links_of_keys(signed, nodes, repeated))
-    turn = 0
-    while turn <= ROUNDS:
+    links = None if repeated.isEmpty() else stored(_links_of_keys(signed, nodes, repeated), "links")
+    roots = None if links is None else components(links)
+    tested = None
+    for turn in range(ROUNDS + 1):
         now = members if roots is None else members.join(roots.withColumnRenamed("node", "first"), "first", "left")
         now = now.select("bucket", "node", "first", "n", F.col("first").alias("group") if roots is None else F.coalesce("root", "first").alias("group"))
-        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "group"))
-        centres = now.groupBy("bucket").agg(F.count("*").alias("size"), drawn.alias("c"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1")
+        span = [F.count("*").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1")]
         in_blocks = None
         if turn < ROUNDS:
-            met_by = now.join(centres.select("bucket", F.col("c.node").alias("other"), F.col("c.group").alias("its")), "bucket").filter("group <> its")
+            drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + i)), "node", "group")).alias(f"c{i}") for i in range(CENTRES)]
+            centres = now.groupBy("bucket").agg(*span, *drawn).filter("g0 <> g1").select("bucket", F.array_distinct(F.array(*(F.struct(F.col(f"c{i}.node"), F.col(f"c{i}.group")) for i in range(CENTRES)))).alias("centres"))
+            met_by = now.join(centres, "bucket").select("node", "group", F.explode("centres").alias("c")).filter(F.col("group") != F.col("c.group")).select("node", F.col("c.node").alias("other"))
         else:  # what is left: all pairs of a bucket that are in different groups
-            centres = stored(centres.select("bucket", "size"), "open-buckets")
-            few = now.join(centres.filter(F.col("size") <= FEW).select("bucket"), "bucket", "left_semi")
+            open_ = stored(now.groupBy("bucket").agg(*span).filter("g0 <> g1").select("bucket", "size"), "open-buckets")
+            few = now.join(open_.filter(F.col("size") <= FEW).select("bucket"), "bucket", "left_semi")
             its = few.select("bucket", F.col("node").alias("other"), F.col("n").alias("its_n"), F.col("group").alias("its"))
             fits = 100 * F.least("n", "its_n") >= percent * F.greatest("n", "its_n")
             met_by = few.alias("o").join(its.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("group") < F.col("its")) & fits)
-            many = centres.filter(F.col("size") > FEW).select("bucket")
+            many = open_.filter(F.col("size") > FEW).select("bucket")
             if not many.isEmpty():
                 in_blocks = _block_links(now.join(many, "bucket", "left_semi"), sets, percent)
         pairs = met_by.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
@@ -310,13 +302,10 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
         found = _confirmed(pairs, met, sets, percent)
         found = stored(found if in_blocks is None else found.union(in_blocks), "links")
         tested = pairs if tested is None else tested.union(pairs)
-        if found.isEmpty():  # meetings have found nothing more: on to the pairs that are left, or done
-            turn = max(turn + 1, ROUNDS)
-            continue
-        turn += 1
-        roots = components(found) if roots is None else _joined_groups(roots, found)
+        links = found if links is None else links.union(found)
+        roots = components(links)
 
-    grouped = nodes.select("node", F.col("first").alias("component_id")) if roots is None else nodes.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("root", "first").alias("component_id"))
+    grouped = nodes.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("root", "first").alias("component_id"))
     rows = signed.join(grouped, "node", "left")  # a hot node's rows are split among tasks as a skewed join
     component = F.when(F.col("__key").isNotNull(), F.coalesce("component_id", "__key"))
     if not repeated.isEmpty():  # a row without shingles follows the other rows of its key

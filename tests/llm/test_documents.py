@@ -201,6 +201,33 @@ def test_languages_without_labels(spark):
         assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows, key=str)
 
 
+def test_languages_of_very_long_texts(spark):
+    rnd = random.Random(23)
+    parts = [[prose(rnd, 1, "abcdefghijklmnopqrstuvwxyz")[:3] for _ in range(60)] for _ in range(2)]
+    word = lambda own: "".join(rnd.choice(own) for _ in range(rnd.randint(1, 3)))
+    noise = lambda: prose(rnd, 1, "abcdefghijklmnopqrstuvwxyz")
+    text = lambda own, n: " ".join(noise() if i % 4 == 0 else word(own) for i in range(n))
+    rows = [(i, text(parts[i % 2], 80), "pq"[i % 2]) for i in range(100)]
+    model = langid.train(spark.createDataFrame(rows, SCHEMA))
+    long = spark.createDataFrame([(i, text(parts[i % 2], n), "") for i, n in enumerate((20_000, 20_000, 200_000, 200_000))], SCHEMA)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(long, model).collect()}
+    assert [got[i][0] for i in range(4)] == ["p", "q", "p", "q"] and all(s > 0.6 for _, s in got.values())
+
+
+def test_language_scores_equal_kernel_ridge_regression():
+    rnd = random.Random(24)
+    rows = [(("p", "q", "r")[i % 3], prose(rnd, 12, ("abcdef", "defghi", "ghijkl")[i % 3])) for i in range(21)]
+    sets = [{*np.flatnonzero(langid.presence([t])[0][0]).tolist()} for _, t in rows]
+    kernel = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y))
+    k = np.array([[kernel(x, y) for y in sets] for x in sets])  # every row is a landmark
+    y = np.array([[lang == other for other in "pqr"] for lang, _ in rows], float)
+    alpha = np.linalg.solve(k.T @ k + langid.PENALTY * len(rows) * k + 1e-8 * np.eye(len(rows)), k.T @ y)
+    model = langid.fit([(lang, np.packbits(langid.presence([t])[0][0].astype(np.uint8)).tobytes()) for lang, t in rows])
+    new = [prose(rnd, 9, "abcdefghi"), prose(rnd, 9, "ghijkl")]
+    want = np.array([[kernel({*np.flatnonzero(langid.presence([t])[0][0]).tolist()}, x) for x in sets] for t in new]) @ alpha
+    assert model.languages == ["p", "q", "r"] and np.allclose(model.scores(new)[0], want, atol=1e-4)
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     from sievework.llm.queries import op7_language_id
 
