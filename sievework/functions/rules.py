@@ -25,3 +25,88 @@ PROSE_LABELS = "the|of|and|to|in|is"
 PROSE_MATERIAL = "the|of|and|to|in|is|by|with|on|for|are|was"
 PROSE_SPECIFIC = "that|this|from|were|have"
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "by", "with", "on", "for", "are", "was"]
+PROSE_CLAIMS = [("growth", "tion|sion", False), ("demand", "ing|ed", False), ("funding", "the|der", True), ("customer", "and|und", True), ("execution", "les|los|ble", True)]
+PROSE_POSITIVE, PROSE_NEGATIVE = "is|was|are", "of|by|un"
+
+# Fixed values of the domain: text that is no research evidence.
+BOILERPLATE = [
+    r"pursuant to the requirements of the securities exchange act",
+    r"has duly caused this report to be signed",
+    r"furnished as exhibit\s+\d",
+    r"incorporated (?:herein )?by reference",
+    r"^\s*\d{1,3}\.\d\s+(?:press release|financial statements|exhibit)",
+    r"^\s*\d{1,3}(?:\.\d+)?\**\s+(?:agreement|credit agreement|certificates?|form of|incremental|press release|financial statements?|exhibit)",
+    r"^\s*\d{1,3}(?:\.\d+)?\W+indenture, dated as of",
+    r"^form of certificates? representing",
+    r"\bcopy of .* (?:is|are|will be) (?:filed as|attached as) an? exhibit\b",
+    r"\bcopy of .* (?:is|are|will be) attached as exhibit\b",
+    r"shall not constitute an offer to sell or the solicitation of (?:(?:an|any) )?offer to buy",
+    r"the offer and sale of .* (?:is|are) and will be made in reliance upon .* exemption from registration",
+    r"contains customary representations, warranties, covenants, indemnities and termination rights",
+    r"^(?:indenture|agreement), dated as of .* between .* and .* as (?:trustee|agent)",
+    r"contains [\"“”]?forward-looking statements[\"“”]? within the meaning of",
+    r"^the following table summarizes our results of operation",
+    r"the information (?:contained|included) in this (?:report|item) .* shall not be deemed",
+]
+
+# Fixed values of the domain: words that turn a statement round, and pairs of opposite directions.
+NEGATIONS = "cannot|can't|did not|didn't|does not|doesn't|failed to|has not|hasn't|have not|haven't|is not|isn't|never|no|not|was not|wasn't|were not|weren't|without"
+DIRECTIONS = [
+    ("above|exceed(?:ed|s|ing)?|higher|increase(?:d|s|ing)?|grew|growth|rose", "below|decline(?:d|s|ing)?|decrease(?:d|s|ing)?|fell|lower|shrank"),
+    ("before|earlier", "after|later"),
+    ("gain(?:ed|s|ing)?|profit(?:able|ability|s)?", "loss(?:es)?|lost|unprofitable"),
+]
+
+# Fixed values of the domain: headings of filing sections, in order of precedence: category, title, pattern.
+SECTIONS = [
+    ("Risk", "Risk Factors", r"^(?:item\s+1a[.\s:-]*)?risk factors?\.?$"),
+    ("Liquidity", "Liquidity and Capital Resources", r"^(?:item\s+7[.\s:-]*)?liquidity and capital resources\.?$"),
+    ("Operations", "Management's Discussion and Analysis", r"^(?:item\s+7[.\s:-]*)?management['’]s discussion and analysis"),
+    ("Operations", "Results of Operations", r"^(?:item\s+2\.02[.\s:-]*)?results of operations"),
+    ("Business", "Business Overview", r"^(?:item\s+1[.\s:-]*)?(?:our )?business(?: overview)?\.?$"),
+    ("Capacity", "Capital Expenditures", r"^(?:capital expenditures|capital spending|data center capacity)\.?$"),
+    ("Demand", "Customers and Demand", r"^(?:customers?|customer concentration|customers and demand)\.?$"),
+    ("Agreement", "Material Agreement", r"^item\s+1\.01[.\s:-]*(?:entry into a )?material definitive agreement"),
+    ("Event", "Other Material Events", r"^item\s+8\.01[.\s:-]*other events"),
+    ("Financials", "Financial Statements", r"^item\s+9\.01[.\s:-]*financial statements"),
+]
+
+# Fixed values of the domain: alert categories in order of precedence, and words of direction.
+ALERTS = [
+    ("Capacity", r"capacity|data center|gpu|power|megawatt|mw\b|capital expenditure|capex"),
+    ("Funding", "liquidity|financing|debt|capital market|borrow|convertible note"),
+    ("Customer", "customer|concentration|counterparty"),
+    ("Demand", "revenue|backlog|demand|contract|workload|utilization"),
+    ("Execution", "construction|delay|deliver|execution|schedule|operating risk"),
+]
+STRENGTHENS = "additional|award|backlog|contracted|expanded|expansion|growth|increase|increased|new capacity|sufficient|strong"
+WEAKENS = "adverse|concentration|constraint|debt|decrease|decreased|delay|dependent|impair|loss|risk|uncertain"
+RISK_CATEGORIES = ["Funding", "Customer", "Execution"]
+
+# Fixed values of the domain: kinds of live events in order of precedence, and what makes one material.
+EVENT_KINDS = [
+    ("Capacity", r"\bcapacity|data cent(?:er|re)|megawatt|gigawatt|\bmw\b|\bgw\b|campus|facility"),
+    ("Customers", r"\bcustomer|contract|backlog|reservation|workload|demand"),
+    ("Financing", r"\bfinancing|liquidity|debt|convertible|credit facility|capital raise|offering"),
+    ("Compute", r"\bgpu|accelerator|compute|cluster|nvidia|amd\b"),
+    ("Power", r"\bpower|grid|energiz|electricity|utility|substation"),
+    ("Execution", r"\bdelay|construction|delivery|schedule|outage|constraint|permit"),
+    ("Results", r"\bearnings|quarter|revenue|financial results|guidance|outlook"),
+    ("Partnership", r"\bpartner|agreement|collaboration|joint venture"),
+]
+EVENT_MATERIAL = ["megawatt|gigawatt|mw|gw", "billion|million|financing|debt|convertible|credit facility", "contract|customer|backlog|capacity|data cent(?:er|re)|gpu|accelerator", "delay|cancel|default|outage|constraint|investigation"]
+
+# Fixed values of the domain: words whose coming or going makes a change of text significant.
+MATERIAL_TERMS = ["backlog", "capacity", "capital", "capex", "customer", "customers", "debt", "demand", "financing", "liquidity", "power", "revenue", "risk", "risks", "utilization"]
+
+# Fixed values of the domain: contexts that make a metric doubtful.
+OFFERING = "prospectus|offer and sale|securities|at-the-market|equity offering|convertible notes?|capitalization table|net proceeds"
+COMPONENT = r"(?:increase|decrease|reduced|improved|declined)(?:\s+in)?\s+revenue[^.]{0,45}\bby\b|attributable to|contributed \$"
+FACILITY = "campus|site|building|data cent(?:er|re)|forge|facility"
+MARKET = "market size|total addressable market|industry estimate|peer spending"
+FINANCIAL_KEYS = ["revenue", "capex", "liquidity", "operating_cash_flow", "debt", "backlog", "contract_value"]
+
+# Fixed values of the domain: what decides whether a change is good or bad news.
+OPPORTUNITY = "revenue|demand|customer|contract|capacity|power|gpu|compute|utilization|pipeline|growth|deployment"
+THREAT = "debt|borrow|funding|financ|cost|concentrat|delay|risk|constraint|liabilit"
+LIQUIDITY = "cash|liquidity"

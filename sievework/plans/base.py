@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import rules, text
 
 
+def registry() -> tuple[dict, dict, Callable]:
+    """Queries and oracles of a module by name, and a decorator that adds a query with its oracle."""
+    queries: dict = {}
+    oracles: dict = {}
+
+    def query(sql: str):
+        def add(f):
+            queries[f.__name__] = f
+            oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, oracles, query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,9 +1,9 @@
 """All queries and oracles of the library."""
 
-from . import evidence, ledger
+from . import claims, dossier, evidence, ledger, metrics
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (evidence, ledger):
+for _part in (evidence, ledger, dossier, claims, metrics):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

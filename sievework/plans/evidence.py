@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import rules, text
@@ -24,7 +24,7 @@ def query(sql: str):
 
 
 PLAIN = r"trim(regexp_replace(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'), '[^a-z0-9$% ]', '', 'g'))"
-GROUPED = f"dg AS (SELECT *, concat('duplicate:', {fnv_sql('pl')}, ':', length(pl)) AS grp FROM (SELECT *, {PLAIN} AS pl FROM sc))"
+GROUPED = f"dg AS (SELECT *, {PLAIN} AS grp FROM sc)"
 
 
 @query(f"""WITH {EVIDENCE}, {SCORED}, {REVIEWS}, {GROUPED},
@@ -33,9 +33,9 @@ GROUPED = f"dg AS (SELECT *, concat('duplicate:', {fnv_sql('pl')}, ':', length(p
     WHERE r = 1 AND quality >= 60 AND risk < 60 AND status IS NULL""")
 def flagship_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unreviewed evidence worth reading: scored, best of its duplicates, readable."""
-    rows = scored(evidence(spark, sf_dir)).withColumn("grp", text.duplicate_key(F.col("text"))).select("doc_id", "company", "d", "quality", "risk", "grp")
-    sized = rows.withColumn("group_size", F.count("*").over(Window.partitionBy("grp")))
-    best = keyed.best_rows(sized, ["grp"], [F.desc("quality"), F.desc("d"), F.desc("doc_id")])
+    rows = scored(evidence(spark, sf_dir)).withColumn("grp", F.sha2(text.plain(F.col("text")), 256))
+    columns = ["doc_id", "company", "d", "quality", "risk"]
+    best = rows.groupBy("grp").agg(F.max_by(F.struct(*columns), F.struct("quality", "d", "doc_id")).alias("b"), F.count("*").alias("group_size")).select("b.*", "group_size")
     seen = keyed.overlay(best, reviews(spark, sf_dir), "doc_id", "status", "unreviewed")
     ready = (F.col("quality") >= 60) & (F.col("risk") < 60) & (F.col("status") == "unreviewed")
     return seen.filter(ready).select("doc_id", "company", "d", "quality", "risk", "group_size", "status")
@@ -48,8 +48,10 @@ def evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVIDENCE}, e2 AS (SELECT *, {PLAIN} AS pl FROM ev) SELECT doc_id, concat('duplicate:', {fnv_sql('pl')}, ':', length(pl)) AS grp, count(*) OVER (PARTITION BY pl) AS group_size FROM e2")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evidence(spark, sf_dir).select("doc_id", text.duplicate_key(F.col("text")).alias("grp"))
-    return rows.join(rows.groupBy("grp").agg(F.count("*").alias("group_size")), "grp").select("doc_id", "grp", "group_size")
+    rows = evidence(spark, sf_dir).select("doc_id", "text", F.sha2(text.plain(F.col("text")), 256).alias("own"))
+    groups = rows.groupBy("own").agg(F.count("*").alias("group_size"))
+    labelled = rows.select("doc_id", "own", text.duplicate_key(F.col("text")).alias("grp"))
+    return labelled.join(groups, "own").select("doc_id", "grp", "group_size")
 
 
 def _first_rule(column: str, default: str, rows: list) -> str:
@@ -132,9 +134,10 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""SELECT doc_id, CASE WHEN u > abs(s - w) THEN 'uncertain' WHEN s > w THEN 'stronger' WHEN s < w THEN 'weaker' ELSE 'neutral' END AS tone FROM (SELECT doc_id,
-    len(regexp_extract_all(text, '(?i)\b(?:the|ing)\b')) AS s, len(regexp_extract_all(text, '(?i)\b(?:of|by|in)\b')) AS w, len(regexp_extract_all(text, '(?i)\b(?:that|was)\b')) AS u FROM documents)""")
+    len(regexp_extract_all(text, '(?i)\b(?:{rules.STRONG}|the|ing)\b')) AS s, len(regexp_extract_all(text, '(?i)\b(?:{rules.WEAK}|of|by|in)\b')) AS w, len(regexp_extract_all(text, '(?i)\b(?:{rules.UNSURE}|that|was)\b')) AS u FROM documents)""")
 def disclosure_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.tone(F.col("text"), "the|ing", "of|by|in", "that|was").alias("tone"))
+    """Tone by the domain's words and such as the prose has."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.tone(F.col("text"), f"{rules.STRONG}|the|ing", f"{rules.WEAK}|of|by|in", f"{rules.UNSURE}|that|was").alias("tone"))
 
 
 @query(f"WITH {EVIDENCE} SELECT doc_id, {CLEAN} AS c, length({CLEAN})::INTEGER AS n FROM ev")
@@ -150,13 +153,13 @@ def per_company_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.best_rows(ok, ["company"], [F.desc("source_quality"), F.desc("d"), F.asc("doc_id")], 6, "rank").select("company", "doc_id", "d", "source_quality", "rank")
 
 
-@query(r"""WITH q AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3)))[1:8] AS terms FROM benchmark),
+@query(r"""WITH q AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3))) AS terms FROM benchmark),
     t AS (SELECT item_id, unnest(terms) AS term FROM q), d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3))) AS term FROM documents),
     s AS (SELECT item_id, doc_id, count(*) AS matched FROM t JOIN d USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, matched, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five documents that hold most of a question's first eight terms, through an inverted table of terms."""
+    """The five documents that hold most of a question's terms, through an inverted table of terms."""
     terms = lambda c: text.tokens(F.col(c), [""], 3)
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.slice(F.array_sort(terms("text")), 1, 8)).alias("term"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(terms("text")).alias("term"))
     held = table(spark, sf_dir, "documents").select("doc_id", F.explode(terms("text")).alias("term"))
     matched = held.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("matched"))
     return keyed.best_rows(matched, ["item_id"], [F.desc("matched"), F.asc("doc_id")], 5, "rank")

@@ -49,11 +49,10 @@ def period_over_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("nation", "quarter", "value", text.change(F.col("value").cast("double"), F.col("before").cast("double")).alias("c")).select("nation", "quarter", "value", "c.*")
 
 
-@query(f"""WITH {QUARTERS} SELECT nation, sum(value) FILTER (WHERE quarter = DATE '1996-01-01')::BIGINT AS q1, sum(value) FILTER (WHERE quarter = DATE '1996-04-01')::BIGINT AS q2,
-    sum(value) FILTER (WHERE quarter = DATE '1996-07-01')::BIGINT AS q3, sum(value) FILTER (WHERE quarter = DATE '1996-10-01')::BIGINT AS q4 FROM qt WHERE year(quarter) = 1996 GROUP BY nation""")
+@query(f"WITH {QUARTERS} SELECT nation, year(quarter)::INTEGER AS year, " + ", ".join(f"sum(value) FILTER (WHERE quarter(quarter) = {q})::BIGINT AS q{q}" for q in (1, 2, 3, 4)) + " FROM qt GROUP BY 1, 2")
 def metric_matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = quarters(spark, sf_dir).filter(F.year("quarter") == 1996).withColumn("q", F.concat(F.lit("q"), F.quarter("quarter")))
-    return year.groupBy("nation").pivot("q", ["q1", "q2", "q3", "q4"]).sum("value")
+    rows = quarters(spark, sf_dir).select("nation", F.year("quarter").alias("year"), F.concat(F.lit("q"), F.quarter("quarter")).alias("q"), "value")
+    return rows.groupBy("nation", "year").pivot("q", ["q1", "q2", "q3", "q4"]).sum("value")
 
 
 @query("""SELECT l_partkey, l_suppkey, max(l_quantity) AS most, min(l_quantity) AS least, min(abs(l_quantity)) AS floor, count(DISTINCT l_returnflag) AS sources, bool_or(l_linestatus = 'F') AS anchored, count(*) AS rows
@@ -150,7 +149,7 @@ def alert_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("events"), F.max("value").alias("most"), F.max_by("event_id", F.struct("value", "event_id")).alias("event_id")).filter("events > 1")
 
 
-@query(f"""WITH {EVIDENCE}, {REVIEWS}, n AS (SELECT 'company:' || company AS id, 'company' AS kind, company AS label FROM ev UNION SELECT 'document:' || doc_id, 'document', kind FROM ev UNION SELECT 'claim:' || item_id, 'claim', left(text, 40) FROM benchmark) SELECT id, kind, min(label) AS label FROM n GROUP BY id, kind""")
+@query(f"""WITH {EVIDENCE}, {REVIEWS}, n AS (SELECT 'company:' || company AS id, 'company' AS kind, company AS label FROM ev UNION SELECT 'document:' || doc_id, 'document', kind FROM ev UNION SELECT 'claim:' || item_id, 'claim', text FROM benchmark) SELECT id, kind, min(label) AS label FROM n GROUP BY id, kind""")
 def lineage_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir)[0]
 
@@ -163,7 +162,7 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ev = evidence(spark, sf_dir).select("doc_id", "company", "kind")
-    claims = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("label"))
+    claims = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("label"))
     known = lineage.nodes([lineage.node(ev, "company", "company", "company"), lineage.node(ev, "document", "doc_id", "kind"), lineage.node(claims, "claim", "item_id", "label")])
     cited = reviews(spark, sf_dir).filter("status = 'accepted'").withColumn("item", F.col("doc_id") % 60)
     parts = [lineage.edge(ev, ("company", "company"), ("document", "doc_id"), "published"), lineage.edge(cited, ("document", "doc_id"), ("claim", "item"), "supports")]
@@ -199,13 +198,13 @@ def round_robin_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.orderBy("rn", "s_nationkey").limit(25).select(F.col("s_nationkey").alias("nation"), "s_suppkey", "rn")
 
 
-@query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_partkey % 4 = 0 THEN l_quantity + 1 ELSE l_quantity END AS q FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4)
+@query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q FROM lineitem WHERE l_linenumber <> 4), b AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_partkey % 4 = 0 THEN l_quantity + 1 ELSE l_quantity END AS q FROM lineitem WHERE l_linenumber <> 1)
     , a1 AS (SELECT k, n, sum(q) AS q FROM a GROUP BY k, n), b1 AS (SELECT k, n, sum(q) AS q FROM b GROUP BY k, n) SELECT k AS l_orderkey, count(*) FILTER (WHERE a1.q IS NULL) AS added, count(*) FILTER (WHERE b1.q IS NULL) AS removed, count(*) FILTER (WHERE a1.q <> b1.q) AS changed, count(*) FILTER (WHERE a1.q = b1.q) AS unchanged FROM a1 FULL JOIN b1 USING (k, n) GROUP BY k""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     by = ["l_orderkey", "l_linenumber"]
-    old = lines.filter("l_linenumber <= 3").groupBy(*by).agg(F.sum("l_quantity").alias("a"))
-    new = lines.filter("l_linenumber BETWEEN 2 AND 4").groupBy(*by).agg(F.sum(F.when(F.col("l_partkey") % 4 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).alias("b"))
+    old = lines.filter("l_linenumber <> 4").groupBy(*by).agg(F.sum("l_quantity").alias("a"))
+    new = lines.filter("l_linenumber <> 1").groupBy(*by).agg(F.sum(F.when(F.col("l_partkey") % 4 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).alias("b"))
     return old.join(new, by, "full_outer").groupBy("l_orderkey").agg(
         F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if(F.col("a") == F.col("b")).alias("unchanged")
     )

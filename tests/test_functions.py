@@ -80,3 +80,63 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_hashes_of_many_texts(spark):
+    def plain(t):
+        h = 2166136261
+        for c in t:
+            h = (h ^ ord(c)) * 16777619 % (1 << 32)
+        return f"{h:x}"
+
+    rows = ["", "a", "\u00e9t\u00e9", "x" * 5000, "b", "a longer text with words", "x" * 4999, None]
+    got = values(spark, rows, text.fnv1a(F.col("x")))
+    assert [g[0] for g in got] == [None if t is None else plain(t) for t in rows]
+
+
+def test_passages_keep_sentences_whole_and_cut_long_ones(spark):
+    long = "Y" * 2300
+    rows = ["One. Two. Three.", f"Short one. {long} Next one.", "A" * 600 + ". " + "B" * 600 + ". C.", ""]
+    got = [g[0] for g in values(spark, rows, text.passages(F.col("x")))]
+    assert got[0] == ["One. Two. Three."] and got[2] == ["A" * 600 + ".", "B" * 600 + ". C."] and got[3] == []
+    assert got[1][0] == "Short one." and [len(p) for p in got[1][1:]] == [1100, 1100, len(long) + len(" Next one.") - 2200]
+
+
+def test_research_grade_and_malformed_claims(spark):
+    good = "The company signed a contract for twenty megawatts of new capacity at its campus in the north with two customers this year"
+    rows = [good, "Too short", good + " which is incorporated herein by reference", "12.1 Press release " + good]
+    assert [g[0] for g in values(spark, rows, text.research_grade(F.col("x"), rules.BOILERPLATE))] == [True, False, False, False]
+    rows = ["Revenue rose by ten percent over last year.", "revenue rose by ten percent over last year.", "See www.example.com for the full report", "Page 3 / 12 of the investor slides", "Sites 1 2 3 4 here", "AA BB CC DD EE FF GG of it"]
+    assert [g[0] for g in values(spark, rows, text.malformed(F.col("x")))] == [False, True, True, True, True, True]
+
+
+def test_numeric_facts_have_one_spelling(spark):
+    got = values(spark, ["$1,200.5 bn and 3-year terms, 40 % or 25 bps, 7 GPUs and 2024", "none", "\u20ac5m"], text.numeric_facts(F.col("x")))
+    assert got[0][0] == ["$1200.5:billion", "3:year", "40:percent", "25:basis-points", "7:gpus", "2024"] and got[1][0] == [] and got[2][0] == ["\u20ac5:million"]
+
+
+def test_contradiction_and_direction(spark):
+    df = spark.createDataFrame([("Sales increased", "Sales declined", True), ("It is not so", "It is so", True), ("Profit before tax", "Profit before tax", False)], "a string, b string, want boolean")
+    got = df.select(text.contradicts(F.col("a"), F.col("b"), rules.NEGATIONS, rules.DIRECTIONS).alias("c"), "want").collect()
+    assert all(r.c == r.want for r in got)
+
+
+def test_sections_and_changes(spark):
+    got = values(spark, ["Item 1A. Risk Factors", "Item 5.02 Departure of Directors.", "plain text", "Item 8.01: Other Events"], text.section(F.col("x"), rules.SECTIONS))
+    assert [tuple(g[0]) if g[0] else None for g in got] == [("Risk", "Risk Factors"), ("Filing item", "Item 5.02: Departure of Directors"), None, ("Event", "Other Material Events")]
+    df = spark.createDataFrame([("modified", 0.5, ["a"], ["a"]), ("modified", 0.9, ["debt"], ["a"]), ("modified", 0.7, ["a"], ["a"]), ("modified", 0.9, ["a"], ["a"]), ("added", None, ["risk"], []), ("added", None, ["a"], []), ("not_repeated", None, [], ["risk"])], "k string, s double, n array<string>, o array<string>")
+    got = [r[0] for r in df.select(text.text_change(F.col("k"), F.col("s"), F.col("n"), F.col("o"), rules.MATERIAL_TERMS)).collect()]
+    assert got == ["high", "high", "medium", "low", "high", "medium", "low"]
+
+
+def test_periods_and_targets_read_from_text(spark):
+    from sievework.plans import claims, metrics
+
+    rows = ["Q1 2026 results", "Fourth quarter and full year of FY '25", "Q3/FY24", "Full year 2023", "FY2022 letter", "no period"]
+    got = [tuple(g[0])[1:3] if g[0] else None for g in values(spark, rows, metrics.explicit_period(F.col("x")))]
+    assert got == [(2026, 1), (2025, 4), (2024, 3), (2023, None), (2022, None), None]
+    rows = ["by the end of Q2 2027", "ready by February 2028", "through fiscal 2026", "soon"]
+    got = [tuple(g[0]) for g in values(spark, rows, metrics.commitment_target(F.col("x")))]
+    assert got == [(datetime.date(2027, 6, 30), "quarter"), (datetime.date(2028, 2, 29), "day"), (datetime.date(2026, 12, 31), "year"), (None, "undated")]
+    df = spark.createDataFrame([("cash position", "increased", "positive"), ("debt cost", "new", "negative"), ("debt cost", "decreased", "positive"), ("customer growth", "decreased", "negative"), ("weather", "changed", "neutral")], "l string, d string, want string")
+    assert all(r.got == r.want for r in df.select(claims.sentiment(F.col("l"), F.col("d")).alias("got"), "want").collect())
