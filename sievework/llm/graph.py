@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -30,3 +31,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not moved.get["n"]:
             discard(both)
             return labels
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of the links (a[i], b[i]) that join what those before have not joined."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (to := up.get(x, x)) != x:
+            up[x] = up.get(to, to)
+            x = to
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := root(x)) != (y := root(y)):
+            up[x] = y
+            out.append(i)
+    return out

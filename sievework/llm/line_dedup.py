@@ -1,11 +1,15 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-A line of which at most EDITS characters are edited keeps one of EDITS + 1 segments whole. So each line is indexed by its
+A line of which at most k characters are edited keeps one of k + 1 segments whole. So each line is indexed by its
 segments, keyed by its length and the segment's number, and probes the lengths up to its own with the substrings that can
 start where the segment would be. What meets is verified by a banded bit-parallel edit distance. Lines are deduplicated
 first and travel as hashes of their segments; the characters of those that have met are fetched for the verification.
 Before they are, each line is held against two broadcast tables of residues of the hashes that have met, of at most
 RESIDUES rows each, so that text of other lines hardly moves. What passes by chance is left out by the join that follows.
+
+A segment that at most FEW different lines have is met pair by pair. The lines of a more frequent one are cut into
+blocks, and each two blocks are compared in a task that gives the number of links of each line and only the links that
+join what others have not joined: rows stand for a line in a block, never for a pair.
 """
 
 from __future__ import annotations
@@ -21,14 +25,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, stored, texts
-from .graph import components
+from .graph import components, forest
 
-#: Edits that two lines may be apart, and the length from which lines are compared so; shorter ones must be equal.
-EDITS, LEAST_CHARS = 2, 24
+#: Edits that two lines may be apart: EDITS at most, and one for each EACH characters of the shorter line.
+EDITS, EACH = 2, 6
+#: Different lines of a segment that are met pair by pair; more are compared in blocks of so many lines and characters.
+FEW, BLOCK, BLOCK_CHARS = 16, 256, 2_000_000
 #: The bit of each of 31 residues of a character.
 BIT = np.int32(1) << np.arange(31, dtype=np.int32)
 #: Residues of a hash: the most rows of a table that is broadcast.
 RESIDUES = 1 << 20
+#: Lines up to this length are verified many at once.
+TOGETHER = 400
+
+
+def allowed(length: int, edits: int = EDITS) -> int:
+    """Edits that a line of this length and a longer one may be apart."""
+    return min(edits, length // EACH)
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -110,16 +123,74 @@ def _common(a: str, b: str, n: int) -> int:
     return low
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """__key, line_no, line, id: a line's id is a 64-bit hash of its characters."""
-    return docs.select("__key", F.posexplode(F.split("__text", "\n")).alias("line_no", "line")).withColumn("id", F.xxhash64("line"))
+def within_many(a: list[str], b: list[str], allowed_: np.ndarray, edits: int) -> np.ndarray:
+    """within() for many pairs at once; each may have its own number of edits, up to `edits`."""
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.zeros(len(a), bool)
+    fits = np.abs(la - lb) <= allowed_
+    for i in np.flatnonzero(fits & (np.maximum(la, lb) > TOGETHER)).tolist():
+        out[i] = within(a[i], b[i], int(allowed_[i]))
+    rest = np.flatnonzero(fits & (np.maximum(la, lb) <= TOGETHER))
+    rest = rest[np.argsort(-la[rest], kind="stable")]
+    full = np.uint8((1 << (2 * edits + 1)) - 1)
+    for at in range(0, len(rest), 4096):
+        own = rest[at : at + 4096]
+        n, width = len(own), int(la[own[0]])
+        left = _matrix([a[i] for i in own], la[own], width, 0, 0xFFFFFFFE)
+        right = _matrix([b[i] for i in own], lb[own], width + 2 * edits + 1, edits, 0xFFFFFFFF)
+        reach = [np.full(n, 1 << edits, np.uint8)]
+        for e in range(1, edits + 1):
+            reach.append(reach[e - 1] | (reach[e - 1] << 1 & full))
+        live = np.searchsorted(-la[own], -np.arange(width), side="left")  # lines longer than each place
+        for i in range(width):
+            k = int(live[i])
+            match = np.zeros(k, np.uint8)
+            for d in range(2 * edits + 1):
+                match |= (left[:k, i] == right[:k, i + d]).view(np.uint8) << np.uint8(d)
+            before = [r[:k].copy() for r in reach]
+            reach[0][:k] = before[0] & match
+            for e in range(1, edits + 1):
+                reach[e][:k] = before[e] & match | before[e - 1] | before[e - 1] >> 1 | (reach[e - 1][:k] << 1 & full)
+        last = np.stack(reach)[allowed_[own], np.arange(n)]
+        out[own] = last >> (lb[own] - la[own] + edits).astype(np.uint8) & 1
+    return out
+
+
+def _matrix(lines: list[str], sizes: np.ndarray, width: int, start: int, pad: int) -> np.ndarray:
+    """A row of character codes for each line, from column `start` on."""
+    out = np.full((len(lines), width), pad, np.uint32)
+    place = np.arange(width)[None, :] - start
+    out[(place >= 0) & (place < sizes[:, None])] = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
 
 
-def _keys(docs: DataFrame, edits: int, least: int, probe: bool) -> DataFrame:
-    """key, id, letters: a row for each segment of a line, or for each probe; letters says which characters occur an odd number of times.
+def _lines(docs: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """__key, line_no, line, id: a 64-bit hash of the line's characters, moved on where different lines share one."""
+    lines = docs.select("__key", F.posexplode(F.split("__text", "\n")).alias("line_no", "line")).withColumn("id", F.xxhash64("line"))
+    if clashes is None:
+        return lines
+    moved = lines.withColumn("digest", F.sha2("line", 256)).join(clashes, ["id", "digest"], "left")
+    return moved.withColumn("id", F.col("id") + F.coalesce("step", F.lit(0))).drop("digest", "step")
 
-    letters has one of 31 bits for each character; an edit changes at most two.
-    """
+
+def _clashes(docs: DataFrame) -> DataFrame | None:
+    """id, digest, step: what sets lines apart whose hash is the same and whose SHA-256 is not; None without any, as nearly always."""
+    lines = docs.select(F.explode(F.split("__text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), F.sha2("line", 256).alias("digest"))
+    shared = lines.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most")
+    shared = stored(shared.select("id"), "line-clashes")
+    if shared.isEmpty():
+        return None
+    different = lines.join(shared, "id", "left_semi").distinct()
+    return different.join(different.withColumnRenamed("digest", "other"), "id").groupBy("id", "digest").agg(F.count_if(F.col("other") < F.col("digest")).alias("step"))
+
+
+def _letters(line: str) -> int:
+    """Which characters occur an odd number of times: one of 31 bits for each; an edit changes at most two."""
+    return int(np.bitwise_xor.reduce(BIT[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) % 31], initial=np.int32(0)))
+
+
+def _keys(lines: DataFrame, edits: int) -> DataFrame:
+    """key, side, id, letters: a row for each segment of a line (side 0) and for each of its probes (side 1)."""
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -129,30 +200,77 @@ def _keys(docs: DataFrame, edits: int, least: int, probe: bool) -> DataFrame:
                 key: list[int] = []
                 own_id: list[int] = []
                 letters: list[int] = []
-                each: list[int] = []
+                each: list[tuple[int, int]] = []
                 ids = batch.column(0).slice(start, stop - start).to_pylist()
                 for own, line in zip(ids, texts(batch.column(1), start, stop), strict=True):
-                    if (size := len(line)) < least or own in seen:
+                    size = len(line)
+                    if size < EACH or own in seen:
                         continue
                     seen.add(own)
-                    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-                    before = len(key)
-                    if probe:
-                        for length in range(max(least, size - edits), size + 1):
-                            key += [digest(line[at : at + n], seed=length * 16 + i) for i, at, n in places(length, size, edits)]
-                    else:
-                        key += [digest(line[at : at + n], seed=size * 16 + i) for i, (at, n) in enumerate(segments(size, edits))]
+                    n = len(key)
+                    key += [digest(line[at : at + w], seed=size * 16 + i) for i, (at, w) in enumerate(segments(size, allowed(size, edits)))]
+                    probed = len(key)
+                    for length in range(max(EACH, size - edits), size + 1):
+                        if size - length <= (most := allowed(length, edits)):
+                            key += [digest(line[at : at + w], seed=length * 16 + i) for i, at, w in places(length, size, most)]
                     own_id.append(own)
-                    letters.append(int(np.bitwise_xor.reduce(BIT[codes % 31])))
-                    each.append(len(key) - before)
+                    letters.append(_letters(line))
+                    each.append((probed - n, len(key) - probed))
                 if len(seen) > 500_000:
                     seen.clear()
                 if key:
-                    columns = np.array(key, np.uint64).view(np.int64), np.repeat(np.array(own_id, np.int64), each), np.repeat(np.array(letters, np.int32), each)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "letters"])
+                    sizes = np.array(each)
+                    side = np.repeat(np.tile(np.array([0, 1], np.int8), len(each)), sizes.ravel())
+                    columns = np.array(key, np.uint64).view(np.int64), side, np.repeat(np.array(own_id, np.int64), sizes.sum(1)), np.repeat(np.array(letters, np.int32), sizes.sum(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "side", "id", "letters"])
+
+    return lines.select("id", "line").mapInArrow(keyed, "key long, side byte, id long, letters int")
 
-    lines = docs.select(F.explode(F.split("__text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
-    return lines.mapInArrow(keyed, "key long, id long, letters int")
+
+def _met(keys: DataFrame, edits: int) -> DataFrame:
+    """x, y of lines that meet in a segment of few lines; or key, side, x, letters of each line of a frequent segment.
+
+    Rows arrive in order of key and side, so the lines that have a segment come before those that probe it, and at
+    most FEW of them are held.
+    """
+
+    def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # rows of the last key that have the segment
+        last, frequent = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            again = columns[0][0] == last
+            if again and held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            key, side, own, letters = columns
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(key)]))
+            have = np.bincount(group, side == 0, len(starts)).astype(np.int64)
+            hot = have > FEW
+            hot[0] |= again and frequent
+            probing = np.flatnonzero((side == 1) & ~hot[group])
+            n = have[group[probing]]
+            x = np.repeat(probing, n)
+            y = starts[group[x]] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            ok = (own[x] != own[y]) & (np.bitwise_count(letters[x] ^ letters[y]) <= 2 * edits)
+            x, y, many = own[x[ok]], own[y[ok]], hot[group]
+            if len(x) or many.any():
+                none = lambda size, kind: pa.nulls(size, kind)
+                rows = [
+                    pa.concat_arrays([none(len(x), pa.int64()), pa.array(key[many])]),
+                    pa.concat_arrays([none(len(x), pa.int8()), pa.array(side[many])]),
+                    pa.array(np.concatenate([x, own[many]])),
+                    pa.concat_arrays([pa.array(y), none(int(many.sum()), pa.int64())]),
+                    pa.concat_arrays([none(len(x), pa.int32()), pa.array(letters[many])]),
+                ]
+                yield pa.RecordBatch.from_arrays(rows, names=["key", "side", "x", "y", "letters"])
+            last, frequent = key[-1], bool(hot[-1])
+            keep = slice(starts[-1], starts[-1] + int(have[-1]))
+            held = None if frequent else [c[keep] for c in columns]
+
+    return keys.repartition("key").sortWithinPartitions("key", "side").mapInArrow(met, "key long, side byte, x long, y long, letters int")
 
 
 def _of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -163,37 +281,100 @@ def _of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(ids, "id", "left_semi")
 
 
-def near_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def _counts_here(x: str, y: str, key: int, frequent: set[int], edits: int) -> bool:
+    """Whether a pair is counted at this segment: the first of those that it meets in, where all of them are frequent ones."""
+    first, most = None, allowed(len(y), edits)
+    cut = segments(len(y), most)
+    for i, at, w in places(len(y), len(x), most):
+        own, w = cut[i]
+        if x.startswith(y[own : own + w], at):
+            k = xxhash.xxh3_64_intdigest(y[own : own + w], seed=len(y) * 16 + i)
+            k -= (k >> 63) << 64
+            if k not in frequent:
+                return False
+            first = k if first is None else first
+    return first == key
+
+
+def _in_blocks(rows: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """id and n, its links counted here; or a and b, links that join. rows: key, side, x, letters of frequent segments."""
+    own = rows.filter("side = 0").groupBy("x").agg(F.collect_set("key").alias("frequent"))  # one for each segment at most
+    known = rows.join(lines.select(F.col("id").alias("x"), "line"), "x").join(own, "x", "left")
+    size = known.groupBy("key", "side").agg(F.greatest(F.ceil(F.count("*") / F.greatest(F.lit(BLOCK), F.sqrt(F.count("*")) * (BLOCK / 48))), F.ceil(F.sum(F.length("line")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    size = size.groupBy("key").agg(*(F.max(F.when(F.col("side") == s, F.col("blocks"))).alias(f"blocks{s}") for s in (0, 1)))
+    placed = known.join(size, "key")
+    block = lambda s: F.pmod(F.xxhash64("x"), F.col(f"blocks{s}")).cast("int")
+    every = lambda s: F.sequence(F.lit(0), F.col(f"blocks{s}") - 1)
+    have, probe = placed.filter("side = 0"), placed.filter("side = 1")
+    columns = ("key", "i", "j", "side", "x", "letters", "line", "frequent")
+    met = have.withColumns({"i": block(0), "j": F.explode(every(1))}).select(*columns).union(probe.withColumns({"j": block(1), "i": F.explode(every(0))}).select(*columns))
+
+    def joined(group: tuple, t: pa.Table) -> pa.Table:
+        key, side = group[0].as_py(), t.column("side").to_numpy()
+        ids, letters, lines_ = t.column("x").to_numpy(), t.column("letters").to_numpy(), t.column("line").to_pylist()
+        size = np.fromiter(map(len, lines_), np.int64, len(lines_))
+        y, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found_x, found_y = [], []
+        for at in range(0, len(x), 64):
+            part = x[at : at + 64]
+            ok = (np.bitwise_count(letters[part][:, None] ^ letters[y][None, :]) <= 2 * edits) & ((size[part][:, None] > size[y][None, :]) | (ids[part][:, None] > ids[y][None, :]))
+            i, j = np.nonzero(ok)
+            i, j = part[i], y[j]
+            most = np.minimum(edits, size[j] // EACH)
+            near = within_many([lines_[k] for k in i], [lines_[k] for k in j], most, edits)
+            found_x.append(i[near])
+            found_y.append(j[near])
+        i, j = (np.concatenate([*f, np.empty(0, np.int64)]) for f in (found_x, found_y))
+        frequent = {k: set(t.column("frequent")[k].as_py()) for k in set(j.tolist())}
+        own = np.fromiter((_counts_here(lines_[a], lines_[b], key, frequent[b], edits) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+        i, j = i[own], j[own]
+        n = np.bincount(np.concatenate([i, j]), minlength=len(ids))
+        kept, counted = forest(ids[i], ids[j]), np.flatnonzero(n)
+        a, b = ids[i[kept]], ids[j[kept]]
+        none = lambda m: pa.nulls(m, pa.int64())
+        whole = [(pa.array(ids[counted]), none(len(a))), (pa.array(n[counted].astype(np.int64)), none(len(a))), (none(len(counted)), pa.array(a)), (none(len(counted)), pa.array(b))]
+        return pa.table([pa.concat_arrays(c) for c in whole], names=["id", "n", "a", "b"])
+
+    return met.groupBy("key", "i", "j").applyInArrow(joined, "id long, n long, a long, b long")
+
+
+def near_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
     """key, line_no int, class_id long, n_links long, kept boolean for every line of every row.
 
-    Lines are what stands between line feeds. Equal lines are one; different lines of at least `least` characters are
-    linked when at most `edits` insertions, deletions and replacements apart. A class is what links connect, class_id
-    the smallest id of its lines, and n_links the number of different lines that a line is linked with. Of a class the
-    line of the smallest key, then the smallest number, is kept.
+    Lines are what stands between line feeds. Equal lines are one; different lines are linked when the insertions,
+    deletions and replacements between them are at most `edits`, and at most one for each EACH characters of the shorter
+    line. A class is what links connect, class_id the smallest id of its lines, and n_links the number of different
+    lines that a line is linked with. Of a class the line of the smallest key, then the smallest number, is kept.
 
     Null text counts as one empty line. Rows with null keys take part, sorted last. Rows repeated with one key keep one
     line each for equal numbers. An empty table gives no rows; columns not named are not read.
     """
     docs = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    left = _keys(docs, edits, least, probe=True).select("key", F.col("id").alias("x"), F.col("letters").alias("lx"))
-    right = _keys(docs, edits, least, probe=False).select("key", F.col("id").alias("y"), F.col("letters").alias("ly"))
-    close = F.bit_count(F.col("lx").bitwiseXOR(F.col("ly"))) <= 2 * edits
-    meet = left.join(right, (left["key"] == right["key"]) & (F.col("x") != F.col("y")) & close)
-    pairs = stored(meet.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    lines = stored(_of_ids(_lines(docs).select("id", "line"), ids).dropDuplicates(["id"]), "met-lines")
+    clashes = _clashes(docs)
+    every = _lines(docs, clashes)
+    met = stored(_met(_keys(every, edits), edits), "line-meetings")
+    pairs = stored(met.filter("key IS NULL").select("x", "y").distinct(), "line-pairs")
+    frequent = stored(met.filter("key IS NOT NULL").select("key", "side", "x", "letters").distinct(), "frequent")  # a line comes once from each task that has it
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).union(frequent.select("x")).distinct()
+    lines = stored(_of_ids(every.select("id", "line"), ids).dropDuplicates(["id"]), "met-lines")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within(x, y, edits) for x, y in zip(a, b, strict=True)], dtype=bool)
+        a, b = a.tolist(), b.tolist()
+        return pd.Series(within_many(a, b, np.array([allowed(min(len(x), len(y)), edits) for x, y in zip(a, b, strict=True)], np.int64), edits))
 
     side = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
-    links = stored(pairs.join(side("x"), "x").join(side("y"), "y").filter(linked("line_x", "line_y")).select(F.col("x").alias("a"), F.col("y").alias("b")), "line-links")
+    known = pairs.join(side("x"), "x").join(side("y"), "y").filter((F.length("line_x") > F.length("line_y")) | (F.col("x") > F.col("y")))
+    links = stored(known.filter(linked("line_x", "line_y")).select(F.col("x").alias("a"), F.col("y").alias("b")), "line-links")
+    counted = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n"))
+    if not frequent.isEmpty():
+        blocks = stored(_in_blocks(frequent, lines, edits), "line-blocks")
+        links = links.union(blocks.filter("a IS NOT NULL").select("a", "b"))
+        counted = counted.union(blocks.filter("id IS NOT NULL").select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = roots.select(F.col("node").alias("id"), F.col("root").alias("class_id")).join(ends, "id")
+    classes = roots.select(F.col("node").alias("id"), F.col("root").alias("class_id")).join(counted.withColumnRenamed("n", "n_links"), "id")
 
-    own = _lines(docs).select("__key", "line_no", "id").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    own = every.select("__key", "line_no", "id").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     place: Column = F.struct(F.col("__key").isNull().alias("last"), F.col("__key"), F.col("line_no"))
     firsts = own.groupBy("class_id").agg(F.min(place).alias("first"))
     out = own.join(firsts, "class_id")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_slices, stored, texts
-from .graph import components
+from .graph import components, forest
 
 #: Registers and their parameters: base, rate, largest value.
 REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
@@ -174,24 +174,6 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
     return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of the links (a[i], b[i]) that join what those before have not joined."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (to := up.get(x, x)) != x:
-            up[x] = up.get(to, to)
-            x = to
-        return x
-
-    out = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        if (x := root(x)) != (y := root(y)):
-            up[x] = y
-            out.append(i)
-    return out
-
-
 def shared_counts(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many hashes each row of `left` has in common with each of `right`; hash i is in row row[i], once."""
     _, code, count = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -240,7 +222,7 @@ def _block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             shared = shared_counts(lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n), left, right)
             x, y = np.nonzero((100 * shared >= percent * (n[left][:, None] + n[right][None, :] - shared)) & (group[left][:, None] != group[right][None, :]))
             x, y = left[x], right[y]
-            kept = _forest(group[x], group[y])
+            kept = forest(group[x], group[y])
             a, b = first[x[kept]], first[y[kept]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

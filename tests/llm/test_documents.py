@@ -141,26 +141,58 @@ def distance(a, b):
     return row[-1]
 
 
-def test_near_lines_equal_brute_force(spark):
+def line_links(texts):
+    return {frozenset(p) for p in itertools.combinations(sorted(set(texts)), 2) if abs(len(p[0]) - len(p[1])) <= 2 and distance(*p) <= line_dedup.allowed(min(map(len, p)))}
+
+
+def edited(rnd, line, most):
+    s = list(line)
+    for _ in range(rnd.randint(0, most)):
+        i = rnd.randrange(len(s))
+        s[i : i + 1] = rnd.choice([[], ["z"], [s[i], "y"]])
+    return "".join(s)
+
+
+@pytest.mark.parametrize("few, block", [(16, 256), (1, 256), (1, 3), (0, 5)])
+def test_near_lines_equal_brute_force(spark, monkeypatch, few, block):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rnd = random.Random(10)
     lines = [prose(rnd, 7, "abcd") for _ in range(25)]
-    for line in list(lines):
-        for _ in range(2):
-            s = list(line)
-            for _ in range(rnd.randint(0, 3)):
-                i = rnd.randrange(len(s))
-                s[i : i + 1] = rnd.choice([[], ["z"], [s[i], "y"]])
-            lines.append("".join(s))
-    rows = [(i, "\n".join(lines[i::8]), "x") for i in range(8)] + [(8, None, "x"), (9, "\n\nab\nac", "x"), (None, lines[0], "x")]
-    got = {(r.doc_id, r.line_no): r for r in line_dedup.near_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
-    texts = {(k, n): line for k, t, _ in rows for n, line in enumerate((t or "").split("\n"))}
-    different = sorted(set(texts.values()))
-    links = {frozenset(p) for p in itertools.combinations([x for x in different if len(x) >= line_dedup.LEAST_CHARS], 2) if distance(*p) <= line_dedup.EDITS}
-    assert links and {k: r.n_links for k, r in got.items()} == {k: sum(t in p for p in links) for k, t in texts.items()}
-    for k, other in itertools.combinations(texts, 2):
-        if texts[k] == texts[other] or frozenset((texts[k], texts[other])) in links:
-            assert got[k].class_id == got[other].class_id
-    assert sum(r.kept for r in got.values()) == len({r.class_id for r in got.values()})
+    lines += [edited(rnd, line, 3) for line in list(lines) for _ in range(2)]
+    short = ["".join(rnd.choice("abc") for _ in range(n)) for n in range(3, 24) for _ in range(3)]
+    lines += short + [edited(rnd, line, 2) for line in short]
+    one = prose(rnd, 9)
+    lines += [one[:i] + "#" + one[i + 1 :] for i in range(0, len(one), 3)]  # a group in which all lines are linked
+    lines += [one * 12, one * 12 + "x", one * 12 + "xyz"]  # longer than what is verified together
+    rows = [(i, "\n".join(lines[i::8]), "x") for i in range(8)] + [(8, None, "x"), (9, "\n\nab\nac", "x"), (None, lines[0], "x"), (3, lines[5], "x")]
+    got = [(r.doc_id, r.line_no, r.class_id, r.n_links, r.kept) for r in line_dedup.near_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    texts = [(k, n, line) for k, t, _ in rows for n, line in enumerate((t or "").split("\n"))]
+    links = line_links(line for *_, line in texts)
+    assert any(min(map(len, p)) < 24 for p in links)
+    want = sorted(((k, n, sum(line in p for p in links)) for k, n, line in texts), key=str)
+    assert sorted(((k, n, m) for k, n, _, m, _ in got), key=str) == want
+    root = {line: line for *_, line in texts}
+    for _ in range(len(root)):
+        if not [1 for a, b in map(sorted, links) if root[a] != root[b] and not root.update({x: min(root[a], root[b]) for x in (a, b)})]:
+            break
+    of = {}
+    for k, n, c, _, _ in got:
+        of.setdefault(c, set()).update(root[line] for a, b, line in texts if (a, b) == (k, n) and (k, n) != (3, 0))
+    assert all(len(r) <= 1 for r in of.values()) and len(of) == len(set(root.values()))
+    assert sum(r[4] for r in got) == len(of)
+
+
+def test_lines_of_one_hash_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "first line here\nsecond line here"), (2, "first line here")], "__key long, __text string")
+    assert line_dedup._clashes(docs) is None
+    digest = F.sha2(F.lit("second line here"), 256)
+    clashes = spark.range(1).select(F.xxhash64(F.lit("second line here")).alias("id"), digest.alias("digest"), F.lit(1).cast("long").alias("step"))
+    ids = {r.line: r.id for r in line_dedup._lines(docs, clashes).collect()}
+    plain = {r.line: r.id for r in line_dedup._lines(docs, None).collect()}
+    assert ids["first line here"] == plain["first line here"] and ids["second line here"] == plain["second line here"] + 1
 
 
 def test_bit_parallel_distance():
@@ -169,6 +201,10 @@ def test_bit_parallel_distance():
         a, b = ("".join(rnd.choice("ab") for _ in range(rnd.randint(0, 8))) for _ in range(2))
         for edits in (1, 2, 3):
             assert line_dedup.within(a, b, edits) == (distance(a, b) <= edits)
+    pairs = [["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 9))) for _ in range(2)] for _ in range(6000)]
+    most = np.array([rnd.randint(0, 2) for _ in pairs])
+    got = line_dedup.within_many([a for a, _ in pairs], [b for _, b in pairs], most, 2)
+    assert got.tolist() == [distance(a, b) <= m for (a, b), m in zip(pairs, most, strict=True)]
 
 
 def test_languages(spark):
