@@ -34,11 +34,13 @@ REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
 #: Registers in a band. At a similarity of 0.75 a pair misses all 32 bands of 4 once in about 190,000 times.
 BAND = 4
 #: Rounds of meetings before the remaining pairs are confirmed, and nodes of its bucket that a node meets in each.
-ROUNDS, CENTRES = 1, 5
+ROUNDS, CENTRES = 1, 3
 #: Nodes of an open bucket that are paired; more are compared in blocks.
 FEW = 16
 #: Nodes of a block (growing with the root of their number, so that rows grow by a power of 1.5), hashes of a block, columns of a matrix.
 BLOCK, LARGEST_BLOCK, BLOCK_HASHES, COLUMNS = 128, 2048, 2_000_000, 4096
+#: Most nodes that have met whose keys are broadcast, so that no text is shuffled for their sets; more are joined by a shuffle.
+MOST_SENT = 500_000
 #: A pair is left out when its likelihood speaks against the threshold by so many standard deviations.
 DEVIATIONS = 6.0
 
@@ -152,7 +154,9 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 if mine:
                     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in mine], pa.binary()), pa.array([s for _, s in mine], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    rows = docs.join(nodes.select(F.col("first").alias("__key"), "node"), "__key").select("node", "__text")
+    wanted = nodes.select(F.col("first").alias("__key"), "node")
+    few = wanted.limit(MOST_SENT + 1).count() <= MOST_SENT
+    rows = docs.join(F.broadcast(wanted) if few else wanted, "__key").select("node", "__text")
     return rows.mapInArrow(made, "node binary, hashes array<bigint>").dropDuplicates(["node"])
 
 
@@ -174,6 +178,15 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
     return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
+def _joined_groups(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after further links (a, b): only the groups that these join are walked again."""
+    group = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(group("a"), "a", "left").join(group("b"), "b", "left")
+    step = components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = roots.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(moved.union(step.join(roots, "node", "left_anti").select("node", "root")), "groups")
+
+
 def shared_counts(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many hashes each row of `left` has in common with each of `right`; hash i is in row row[i], once."""
     _, code, count = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -258,8 +271,7 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
     sets = stored(_sets(docs, met), "sets")
 
     repeated = stored(signed.filter("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("size")).filter("size > 1").select("__key"), "repeated-keys")
-    links = None if repeated.isEmpty() else stored(_links_of_keys(signed, nodes, repeated), "links")
-    roots = None if links is None else components(links)
+    roots = None if repeated.isEmpty() else components(_links_of_keys(signed, nodes, repeated))
     tested = None
     for turn in range(ROUNDS + 1):
         now = members if roots is None else members.join(roots.withColumnRenamed("node", "first"), "first", "left")
@@ -284,8 +296,7 @@ def group_similar(df: DataFrame, key: str = "doc_id", text: str = "text", percen
         found = _confirmed(pairs, met, sets, percent)
         found = stored(found if in_blocks is None else found.union(in_blocks), "links")
         tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        roots = components(links)
+        roots = components(found) if roots is None else _joined_groups(roots, found)
 
     grouped = nodes.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("root", "first").alias("component_id"))
     rows = signed.join(grouped, "node", "left")  # a hot node's rows are split among tasks as a skewed join

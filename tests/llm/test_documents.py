@@ -71,7 +71,9 @@ def test_near_groups_equal_brute_force(spark):
     assert got == {k: (len(sets[k]), root[k], root[k] == k) for k in sets}
 
 
-def test_near_groups_follow_shared_keys(spark):
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_near_groups_follow_shared_keys(spark, monkeypatch, sent):
+    monkeypatch.setattr(near_dedup, "MOST_SENT", sent)
     rnd = random.Random(21)
     a, b, c, d = (prose(rnd, 60) for _ in range(4))
     near = " ".join(c.split()[:-1] + ["end"])
@@ -382,3 +384,42 @@ def test_plain_and_foreign_archives(tmp_path):
         for decode in (True, False):
             found = list(warc.records(fs.LocalFileSystem().open_input_file(str(tmp_path / name)), 0, len(body), lambda r: True, decode))
             assert [r["payload"] for r in found] == [b"abc" if decode else None] * 3
+
+
+def test_empty_tables(spark, tmp_path):
+    import public_tokenizers
+
+    from sievework.llm import byte_bpe, packing, token_counts
+
+    none = spark.createDataFrame([], SCHEMA)
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    assert near_dedup.group_similar(none).count() == line_dedup.near_lines(none).count() == exact_dedup.group_equal(none).count() == 0
+    assert byte_bpe.encode(none, ranks, pattern).count() == token_counts.count_tokens(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert packing.pack(none, public_tokenizers.path("byte_bpe_50k.json"), ranks, pattern).count() == 0
+    path = f"file://{tmp_path}/w"
+    warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read_pages(spark, path).count() == 0
+
+
+def test_near_recall_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    holders, shared = {}, Counter()
+    for k in sorted(sets):
+        for s in sets[k]:
+            for other in holders.get(s, ()):
+                shared[other, k] += 1
+            holders.setdefault(s, []).append(k)
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.doc_id: r.component_id for r in near_dedup.group_similar(docs).collect()}
+    assert got == {k: find(k) for k in sets}
