@@ -2,8 +2,8 @@
 
 Vectors of length 1 are rounded to 8-bit integers. The product of two blocks of them gives every cosine of the tile
 up to an error that follows from the lengths of what rounding has cut off. Pairs whose upper bound reaches the k-th
-best lower bound of their query are computed again in double precision; tiles and tasks are merged by heaps.
-The bounds are exact, so the result is that of brute force.
+best lower bound of their query are computed again in double precision; tiles and tasks are merged by heaps, which
+a task holds for one block of queries at a time. The bounds are exact, so the result is that of brute force.
 """
 
 from __future__ import annotations
@@ -95,12 +95,17 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "v
     blocks_q, blocks_c = -(-max(n_q, 1) // QUERY_ROWS), -(-max(n_c, 1) // CANDIDATE_ROWS)
     left = _blocks(q, blocks_q, "qb").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks_c - 1))))
     right = _blocks(c, blocks_c, "cb", copies=k + 1).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))))
-    tiles = left.join(right, ["dim", "qb", "cb"])
+    tiles = left.hint("merge").join(right, ["dim", "qb", "cb"])  # sorted, so that the tiles of a query block follow each other
 
     def search(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, list[tuple[float, int]]] = {}
+        block = None
         for frame in frames:
             for r in frame.itertuples(index=False):
+                if (r.dim, r.qb) != block:
+                    if best:
+                        yield listed(best)
+                    best, block = {}, (r.dim, r.qb)
                 ids_q, ids_c = np.frombuffer(r.qb_ids, np.int64), np.frombuffer(r.cb_ids, np.int64)
                 v_q = np.frombuffer(r.qb_rows).reshape(len(ids_q), -1)
                 v_c = np.frombuffer(r.cb_rows).reshape(len(ids_c), -1)
@@ -121,14 +126,18 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "v
 
     def merge(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, list[tuple[float, int]]] = {}
-        for frame in frames:
+        for frame in frames:  # sorted by query: all but the last one of a frame are done
             for q_id, v_id, s in zip(frame["query_id"].tolist(), frame["vec_id"].tolist(), frame["score"].tolist(), strict=True):
                 push(best.setdefault(q_id, []), k, s, v_id)
+            if len(best) > 1:
+                last, heap = best.popitem()
+                yield listed(best)
+                best = {last: heap}
         yield listed(best)
 
     schema = "query_id long, rank int, vec_id long, score double"
-    found = tiles.select("qb_ids", "qb_rows", "cb_ids", "cb_rows").mapInPandas(search, schema)
-    return found.repartition("query_id").mapInPandas(merge, schema)
+    found = tiles.select("dim", "qb", "qb_ids", "qb_rows", "cb_ids", "cb_rows").mapInPandas(search, schema)
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(merge, schema)
 
 
 def push(heap: list[tuple[float, int]], k: int, score: float, own: int) -> None:

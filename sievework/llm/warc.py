@@ -43,6 +43,8 @@ from pyspark.sql.datasource import (
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary"
 #: Bytes of archive for a partition, between marks, and for a file.
 SPLIT, MARK, ROTATE = 32 << 20, 8 << 20, 512 << 20
+#: How names of archives begin that are written here: hidden, as their write may have been aborted, unless a manifest names them.
+OWN = "_written-"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -101,7 +103,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None or files[-1]["bytes"] > ROTATE:
                         if out is not None:
                             out.close()
-                        name = f"{uuid.uuid4().hex}.warc.gz"
+                        name = f"{OWN}{uuid.uuid4().hex}.warc.gz"
                         files.append({"name": name, "bytes": 0, "marks": [0]})
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
                     file = files[-1]
@@ -123,7 +125,10 @@ class WarcWriter(DataSourceArrowWriter):
             out.write(json.dumps(files).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        """Files that no manifest names are never read."""
+        """Archives of a write that no manifest names are never read; those of finished tasks are removed."""
+        store, root = fs.FileSystem.from_uri(self.path)
+        for file in (f for m in messages if m for f in m.files):
+            store.delete_file(f"{root}/{file['name']}")
 
 
 # reading ----------------------------------------------------------------------------------------------------------
@@ -169,17 +174,15 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         store, root = fs.FileSystem.from_uri(self.path)
-        found = store.get_file_info(fs.FileSelector(root, recursive=True))
-        manifests = [f.path for f in found if f.base_name.startswith("_manifest-")]
-        ranges = []
-        if manifests:
-            for path in sorted(manifests):
-                with store.open_input_stream(path) as own:
-                    for file in json.loads(own.read()):
-                        ends = [*file["marks"][1:], file["bytes"]]
-                        ranges += [(f"{root}/{file['name']}", a, b) for a, b in zip(file["marks"], ends, strict=True)]
-        else:
-            ranges = [(f.path, 0, f.size) for f in sorted(found, key=lambda f: f.path) if f.path.endswith((".warc", ".warc.gz"))]
+        one = store.get_file_info(root)
+        found = [one] if one.is_file else sorted(store.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda f: f.path)
+        ranges = [(f.path, 0, f.size) for f in found if f.path.endswith((".warc", ".warc.gz")) and (one.is_file or not f.base_name.startswith(OWN))]
+        for manifest in (f.path for f in found if f.base_name.startswith("_manifest-")):
+            with store.open_input_stream(manifest) as own:
+                for file in json.loads(own.read()):
+                    path = f"{manifest.rpartition('/')[0]}/{file['name']}"
+                    ends = [*file["marks"][1:], file["bytes"]]
+                    ranges += [(path, a, b) for a, b in zip(file["marks"], ends, strict=True)]
         groups: list[list] = []
         size = SPLIT
         for r in ranges:
@@ -373,7 +376,12 @@ def write_pages(df: DataFrame, path: str, key: str = "page_id", url: str = "url"
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of all archives under path, in the columns of SCHEMA; payload is null for revisits or if not asked for."""
+    """The records of all archives under path, or of the one that path is, in the columns of SCHEMA.
+
+    Archives of others (.warc, .warc.gz) are read whole, those written here once their write is committed. The payload is
+    null for revisits or if not asked for; headers that a record lacks are null; a folder without archives gives no rows.
+    Bytes that are no record where one must start end the read with an error.
+    """
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 

@@ -356,6 +356,22 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.nearest(df.limit(0), df).count() == 0 and set(got) == set(range(0, 200, 10))
 
 
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 20)
+    monkeypatch.setattr(neighbours, "CANDIDATE_ROWS", 30)
+    rng = np.random.default_rng(15)
+    vectors = [[*v, 0.5] for v in rng.integers(-3, 4, (150, 3)).astype(float).tolist()]  # many ties
+    df = spark.createDataFrame([(i, v, -1, -1, -1) for i, v in enumerate(vectors)] * 2, "vec_id long, embedding array<double>, id int, dim int, qb int").repartition(5)
+    got = {}
+    for r in neighbours.nearest(df.filter("vec_id % 2 = 0"), df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 150, 2))
+    for q, found in got.items():
+        scores = [(float(neighbours.cosines(np.array([vectors[q]]), np.array([v]))[0]), i) for i, v in enumerate(vectors) if i != q]
+        best = sorted(scores, key=lambda x: (-x[0], x[1]))[:5]
+        assert found == [(n, i, s) for n, (s, i) in enumerate(best, 1)]
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://a/é\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "http://b", ""), (5, "c", "WARC/1.1\r\n\r\n" * 50_000), (None, "d", "<p>é</p>"), (None, "e", "own")]
     path = f"file://{tmp_path}/w"
@@ -372,6 +388,23 @@ def test_archives_round_trip(spark, tmp_path):
     assert [(r.record_id, r.refers_to, r.payload) for r in some.collect()] == [("urn:x-row:4", "urn:x-row:3", None)]
 
 
+def test_only_committed_archives_are_read(spark, tmp_path):
+    """Those of an aborted write are left out, those of others and of two writes are read together."""
+    page = lambda i: spark.createDataFrame([(i, "u", f"page {i}")] * 2, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_pages(page(1), path)
+    warc.write_pages(page(2), f"{path}/below")
+    row = {"record_id": "urn:x-row:3", "record_type": "response", "target_uri": "u", "date": "d", "refers_to": None, "payload_digest": None, "payload_length": 3, "payload": b"abc"}
+    (tmp_path / "w" / "foreign.warc.gz").write_bytes(warc.member(warc.record(row), 4))
+    (tmp_path / "w" / f"{warc.OWN}0.warc.gz").write_bytes(warc.member(warc.record({**row, "record_id": "urn:x-row:4"}), 4))
+    assert sorted(r.page_id for r in warc.read_pages(spark, path).collect()) == [1, 1, 2, 2, 3]
+    assert [r.page_id for r in warc.read_pages(spark, f"{path}/foreign.warc.gz").collect()] == [3]
+    writer = warc.WarcWriter({"path": path})
+    (tmp_path / "w" / f"{warc.OWN}1.warc.gz").write_bytes(b"cut")
+    writer.abort([None, warc.Written([{"name": f"{warc.OWN}1.warc.gz", "bytes": 3, "marks": [0]}])])
+    assert not (tmp_path / "w" / f"{warc.OWN}1.warc.gz").exists()
+
+
 def test_plain_and_foreign_archives(tmp_path):
     import gzip
 
