@@ -29,7 +29,7 @@ from .pretokens import SAFE, RUN_CHARS
 
 #: Costs of a cut, in tokens of padding: for each window, inside a document after a sentence, elsewhere.
 WINDOW_COST, SENTENCE_COST, FORCED_COST = 16, 1, 32
-#: Where a stretch without sentence ends is longer, a forced cut is offered this often.
+#: In a sentence that fits no window, a forced cut is offered this often.
 FORCED_EVERY = 128
 #: Tokens that are packed at a time.
 STRETCH = 400_000
@@ -139,8 +139,9 @@ class Packer:
         cost = np.full(len(cuts), SENTENCE_COST)
         cost[-1] = 0
         gaps = np.diff(cuts, prepend=0)
-        if gaps.max() > FORCED_EVERY:
-            more = np.concatenate([np.arange(c - g + FORCED_EVERY, c, FORCED_EVERY) for c, g in zip(cuts.tolist(), gaps.tolist(), strict=True) if g > FORCED_EVERY])
+        if gaps.max() > self.capacity:
+            every = min(FORCED_EVERY, self.capacity)
+            more = np.concatenate([np.arange(c - g + every, c, every) for c, g in zip(cuts.tolist(), gaps.tolist(), strict=True) if g > self.capacity])
             cuts, cost = np.append(cuts, more), np.append(cost, np.full(len(more), FORCED_COST))
             order = np.argsort(cuts, kind="stable")
             cuts, cost = cuts[order], cost[order]

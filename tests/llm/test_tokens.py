@@ -81,3 +81,13 @@ def test_cuts_are_of_least_cost():
             n = pos[j] - pos[i]
             cost += (0 if n >= 64 and n & (n - 1) == 0 else 200 - n) + penalty[j] + packing.WINDOW_COST
         assert cost == best[40]
+
+
+def test_sentences_that_fit_a_window_stay_whole():
+    packer = packing.Packer(packing.encoder(JSON, RANKS, P.PATTERN), 512, 0, 0)
+    packer.add(1, " ".join(["word " * 300 + "end."] * 5))
+    whole = packer.flush(last=True)
+    assert len(whole) == 5 and [r[1] for r in whole] == sorted({n for _, n, *_ in whole}) and max(r[2] for r in whole) <= 512
+    packer.add(2, "word " * 2000)
+    cut = packer.flush(last=True)
+    assert sum(r[2] for r in cut) == cut[0][4] and max(r[2] for r in cut) <= 512
