@@ -13,6 +13,8 @@ from sievework.llm.common import stored
 
 #: A document whose best language scores less is rejected, as is one without letters.
 LEAST_SCORE = 0.05
+#: Most rows that go whose numbers (8 bytes each) are broadcast.
+MOST_SENT = 2_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +33,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _best_rows(docs: DataFrame, group: Callable[[DataFrame], DataFrame], best: Callable[[Column], Column]) -> DataFrame:
-    """The best row of each group. Rows are told apart by a number of their own, so doc_ids may be null or repeated."""
+    """The best row of each group. Rows are told apart by a number of their own, so doc_ids may be null or repeated.
+
+    Only the numbers of the rows that go are sent to the text, as long as they are few; more are joined by a shuffle.
+    """
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    grouped = group(rows).join(rows.select("__row", "doc_id"), "__row")
-    kept = grouped.groupBy("__group").agg(best(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))["__row"].alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(docs.columns)
+    grouped = stored(group(rows).join(rows.select("__row", "doc_id"), "__row"), "grouped")
+    one = best(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))["__row"].alias("__best")
+    several = grouped.groupBy("__group").agg(one, F.count("*").alias("__n")).filter("__n > 1")
+    gone = stored(grouped.join(several, "__group").filter("__row <> __best").select("__row"), "gone")
+    few = gone.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return rows.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
