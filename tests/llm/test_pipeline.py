@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +25,9 @@ def test_stages_keep_columns_and_decide(spark):
     assert {r.doc_id for r in packed} == ids
 
 
-def test_null_and_repeated_doc_ids(spark):
+@pytest.mark.parametrize("sent", [corpus_pipeline.MOST_SENT, 0])
+def test_null_and_repeated_doc_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(corpus_pipeline, "MOST_SENT", sent)
     rnd = random.Random(22)
     a, b, c, d = (" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(4))
     near = a.rsplit(" ", 1)[0] + " end"
