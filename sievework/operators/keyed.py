@@ -35,6 +35,21 @@ def upsert(old: DataFrame, new: DataFrame, key: str, always: Sequence[str], whil
     )
 
 
+def changes(old: DataFrame, new: DataFrame, key: str, content: str, keep: Sequence[str] = ()) -> DataFrame:
+    """key, keep, content_hash, action (new, changed, missing, same) of the rows of two snapshots.
+
+    Contents travel as digests; null content counts as empty. `keep` and the digest come from the new row where there is
+    one. Keys are unique in each snapshot; a null key meets no other, so its row is new or missing.
+    """
+    digest = F.sha2(F.coalesce(F.col(content), F.lit("")), 256)
+    o, n = (df.select(key, *keep, digest.alias("content_hash"), F.lit(True).alias("here")).alias(a) for df, a in ((old, "o"), (new, "n")))
+    found = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    now = F.col("n.here")
+    action = F.when(now.isNull(), "missing").when(F.col("o.here").isNull(), "new").when(F.col("o.content_hash") != F.col("n.content_hash"), "changed").otherwise("same")
+    pick = lambda c: F.when(now, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    return found.select(pick(key), *(pick(c) for c in (*keep, "content_hash")), action.alias("action"))
+
+
 def missing(old: DataFrame, active: DataFrame, key: str, references: Sequence[DataFrame] = ()) -> DataFrame:
     """Rows no longer produced; `action` is delete, or reject where a reference holds the row."""
     gone = old.join(active.select(key).distinct(), key, "left_anti")

@@ -1,9 +1,9 @@
 """All queries and oracles of the library."""
 
-from . import claims, dossier, evidence, ledger, metrics
+from . import claims, dossier, evidence, ledger, metrics, sync
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (evidence, ledger, dossier, claims, metrics):
+for _part in (evidence, ledger, dossier, claims, metrics, sync):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

@@ -140,3 +140,12 @@ def test_periods_and_targets_read_from_text(spark):
     assert got == [(datetime.date(2027, 6, 30), "quarter"), (datetime.date(2028, 2, 29), "day"), (datetime.date(2026, 12, 31), "year"), (None, "undated")]
     df = spark.createDataFrame([("cash position", "increased", "positive"), ("debt cost", "new", "negative"), ("debt cost", "decreased", "positive"), ("customer growth", "decreased", "negative"), ("weather", "changed", "neutral")], "l string, d string, want string")
     assert all(r.got == r.want for r in df.select(claims.sentiment(F.col("l"), F.col("d")).alias("got"), "want").collect())
+
+
+def test_changes_between_snapshots(spark):
+    schema = "k long, t string, c string"
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, None, "x"), (4, "d", "x"), (None, "n", "x")], schema)
+    new = spark.createDataFrame([(1, "a", "y"), (2, "B", "y"), (3, "", "y"), (5, "e", "y"), (None, "n", "y")], schema)
+    got = {(r.k, r.c, r.action) for r in keyed.changes(old, new, "k", "t", ["c"]).collect()}
+    assert got == {(1, "y", "same"), (2, "y", "changed"), (3, "y", "same"), (4, "x", "missing"), (5, "y", "new"), (None, "x", "missing"), (None, "y", "new")}
+    assert keyed.changes(old.limit(0), new.limit(0), "k", "t").isEmpty()
