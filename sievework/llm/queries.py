@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, langid, line_dedup, lm_scoring, near_dedup, neighbours, packing, token_counts, warc
+from . import byte_bpe, exact_dedup, langid, line_dedup, lm_scoring, near_dedup, neighbours, packing, spelling, token_counts, warc
 from .common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +68,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group_similar(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_lm_scoring": op2_lm_scoring,
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLES = {
