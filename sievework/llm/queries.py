@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, langid, line_dedup, lm_scoring, near_dedup, neighbours, packing, spelling, token_counts, warc
+from . import byte_bpe, exact_dedup, langid, line_dedup, lm_scoring, near_dedup, neighbours, packing, sentence_pieces, spelling, token_counts, warc
 from .common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -72,6 +73,18 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentence_pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+    back = sentence_pieces.decode(pieces, PIECES, keep=("doc_id", "ids", "ends"))
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("ends", -1).cast("long").alias("n_bytes"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_lm_scoring": op2_lm_scoring,
@@ -84,6 +97,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
     "op11_spelling": op11_spelling,
+    "op12_sentence_pieces": op12_sentence_pieces,
 }
 
 ORACLES = {
