@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, langid, line_dedup, lm_scoring, near_dedup, neighbours, packing, sentence_pieces, spelling, token_counts, warc
+from . import byte_bpe, exact_dedup, langid, line_dedup, lm_scoring, near_dedup, neighbours, packing, sentence_pieces, spelling, token_counts, warc, whitening
 from .common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -85,6 +85,10 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_lm_scoring": op2_lm_scoring,
@@ -98,6 +102,7 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op11_spelling": op11_spelling,
     "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
