@@ -5,8 +5,8 @@ matches, white space becomes one sign, and for every normalised character the by
 kept. The library then encodes normalised text by a copy of the model whose own normalisation is the identity, so pieces
 count normalised characters, and the record of sources takes each piece to the bytes of the original text.
 
-No piece of the usual vocabularies holds the space sign after another character, so a text may be cut before every single
-space; each distinct chunk is encoded once per worker (pretokens.Chunks). Other vocabularies are encoded text by text.
+No piece of the usual vocabularies holds the space sign after another character, so very long texts are cut before single
+spaces, where no piece crosses. Other vocabularies are encoded text by text.
 """
 
 from __future__ import annotations
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_slices, texts
-from .pretokens import RUN_CHARS, SAFE, Chunks
 
 SPACE = "▁"
+#: A space between two other characters, of which the first is not the space sign.
+SAFE = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
+#: Longer texts are cut into runs of about so many characters.
+RUN_CHARS = 1 << 18
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
@@ -184,77 +187,52 @@ class Rules:
         return whole, source
 
 
-class Pieces(Chunks):
-    """Ids of chunks, and where each piece begins and ends in its chunk, by the library."""
+class Pieces:
+    """Ids of a text's pieces, and where each begins and ends in it, by the library."""
 
-    def __init__(self, model: bytes, rules: Rules, cut: bool):
+    def __init__(self, model: bytes, rules: Rules, cut: bool, spellings: list[tuple[str, int]]):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.rules, self.cut = rules, cut
-        super().__init__(self._chunks, most=200_000, most_chars=8_000_000)
-
-    def reset(self) -> None:
-        super().reset()
-        self.begins = np.empty(1 << 16, np.int32)
-        self.ends = np.empty(1 << 16, np.int32)
-        self.sizes = np.empty(1 << 12, np.int32)
-
-    def encoded(self, normalised: list[str]) -> tuple[list[int], list[int], list[int], list[int]]:
-        """Ids, begins and ends of all, one after another, and how many each has; in characters."""
-        ids: list[int] = []
-        begins: list[int] = []
-        ends: list[int] = []
-        lengths = []
-        sign = SPACE if self.rules.escape else " "
-        for found in self.library.encode([x.replace(" ", sign) for x in normalised], return_type="offset_mapping", num_threads=1):
-            ids += found["ids"]
-            begins += [a for a, _ in found["offsets"]]
-            ends += [b for _, b in found["offsets"]]
-            lengths.append(len(found["ids"]))
-        return ids, begins, ends, lengths
-
-    def _chunks(self, chunks: list[str]) -> tuple[list[int], list[int], list[int]]:
-        ids, begins, ends, lengths = self.encoded(chunks)
-        top = self.used + len(ids)
-        for name, values in (("begins", begins), ("ends", ends)):
-            have = getattr(self, name)
-            if top > len(have):
-                have = np.concatenate([have, np.empty(max(top, len(have)), np.int32)])
-                setattr(self, name, have)
-            have[self.used : top] = values
-        return ids, lengths, list(map(len, chunks))
+        self.sizes = np.array([len(s) for s, _ in spellings], np.int64)
+        self.byte = np.array([kind == BYTE for _, kind in spellings])
+        self.later = np.array([kind == BYTE and int(s[1:-1], 16) & 0xC0 == 0x80 for s, kind in spellings])
+        self.all_bytes = int(self.byte.sum()) == 256
+
+    def encoded(self, normalised: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, begins and ends in characters. Where bytes stand in for unknown characters, the spellings of the pieces add up to the text."""
+        escaped = normalised.replace(" ", SPACE) if self.rules.escape else normalised
+        if not self.all_bytes:
+            found = self.library.encode(escaped, return_type="offset_mapping")
+            places = np.array(found["offsets"], np.int64).reshape(-1, 2)
+            return np.array(found["ids"], np.int32), places[:, 0], places[:, 1]
+        ids = self.library.encode(escaped, return_type="numpy")
+        sizes = self.sizes[ids]
+        if (byte := self.byte[ids]).any():
+            sizes[byte] = ~np.append(self.later[ids[1:]], False)[byte]  # the last byte of a character stands for it
+        ends = np.cumsum(sizes)
+        return ids, ends - sizes, ends
 
     def placed(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and begin and end of each piece's bytes in the text."""
         normalised, source = self.rules.apply(text)
-        if self.rules.escape:
-            normalised = normalised.replace(SPACE, " ")
-        if not normalised:
-            return (np.empty(0, np.int32),) * 3
-        if not self.cut or (SPACE in normalised):
-            ids, begins, ends, _ = self.encoded([normalised])
-            return np.array(ids, np.int32), source[begins], source[ends]
         parts, at = [], 0
-        for numbers in self._runs(normalised):
-            n = self.length[numbers]
-            each = np.repeat(np.cumsum(self.mark[numbers]) - self.mark[numbers] + at, n)
-            last = np.cumsum(n)
-            where = np.arange(last[-1]) + np.repeat(self.start[numbers] - (last - n), n)
-            parts.append((self.flat[where], source[self.begins[where] + each], source[self.ends[where] + each]))
-            at += int(self.mark[numbers].sum())
-        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-
-    def _runs(self, normalised: str) -> Iterator[np.ndarray]:
-        """As runs(), for a text whose first space, if it has one, belongs to its first chunk."""
-        head = normalised[0] != " "
-        at = 0 if head else 1
-        while at <= len(normalised):
+        for run in self._runs(normalised):
+            ids, begins, ends = self.encoded(run)
+            parts.append((ids, source[begins + at], source[ends + at]))
+            at += len(run)
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0, np.int32),) * 3
+
+    def _runs(self, normalised: str) -> Iterator[str]:
+        """The text, cut before single spaces into runs of about RUN_CHARS characters where no piece crosses such a place."""
+        at = 0
+        while at < len(normalised):
             end = len(normalised)
-            if end - at > RUN_CHARS and (cut := SAFE.search(normalised, at + RUN_CHARS)):
+            if self.cut and end - at > RUN_CHARS and (cut := SAFE.search(normalised, at + RUN_CHARS)):
                 end = cut.start()
-            yield self._numbers(normalised[at:end], head)
-            at, head = end + 1, False
+            yield normalised[at:end]
+            at = end
 
 
 class Codec:
@@ -264,6 +242,7 @@ class Codec:
         with open(path, "rb") as f:
             model = f.read()
         rest, spec, suffix, safe = bytearray(), {}, False, True
+        self.spellings: list[tuple[str, int]] = []
         for number, value, start, end in fields(model):
             if number == 3:
                 spec = {n: v for n, v, *_ in fields(value)}
@@ -274,6 +253,7 @@ class Codec:
             elif number == 1:
                 piece = {n: v for n, v, *_ in fields(value)}
                 spelling, kind = piece.get(1, b"").decode(), piece.get(3, NORMAL)
+                self.spellings.append((spelling, kind))
                 if kind == USER_DEFINED:
                     raise ValueError("a model with user-defined pieces, which bypass normalisation, is not supported")
                 safe &= kind != NORMAL or SPACE not in spelling.lstrip(SPACE)
@@ -287,7 +267,7 @@ class Codec:
 
     @functools.cached_property
     def pieces(self) -> Pieces:
-        return Pieces(self.identity, self.rules, self.cut)
+        return Pieces(self.identity, self.rules, self.cut, self.spellings)
 
     @functools.cached_property
     def library(self):
