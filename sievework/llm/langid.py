@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, texts
+from .common import byte_slices, stored, texts
 
 #: Places of the presence vectors, the lengths of n-grams, and characters of a window.
 PLACES, LENGTHS, WINDOW = 1 << 15, (1, 2, 3, 4), 8192
@@ -82,62 +83,101 @@ class Model:
         return total / np.maximum(letters, 1)[:, None], letters
 
 
-def fit(rows: list[tuple[str, bytes]]) -> Model:
-    """rows: language and packed presence bits; landmarks are taken evenly from the rows, in their order."""
-    languages = sorted({language for language, _ in rows})
-    if not languages:
-        return Model([], np.zeros((PLACES, 0), np.float32))
-    number = {language: i for i, language in enumerate(languages)}
-    own = np.array([number[language] for language, _ in rows])
-    bits = np.frombuffer(b"".join(bits for _, bits in rows), np.uint8).reshape(len(rows), -1)
-    most = max(LANDMARKS, LANDMARKS_EACH * len(languages))
-    marks = np.unpackbits(bits[np.linspace(0, len(rows) - 1, min(most, len(rows))).astype(int)], axis=1).astype(np.float32)
-    marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
-    weight = len(rows) / len(languages) / np.bincount(own)[own]
-    normal = PENALTY * len(rows) * (marks @ marks.T).astype(np.float64) + 1e-8 * np.eye(len(marks))
-    aim = np.zeros((len(marks), len(languages)))
-    for at in range(0, len(rows), 128):
-        part = slice(at, at + 128)
-        x = np.unpackbits(bits[part], axis=1).astype(np.float32)
-        k = ((x @ marks.T) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))).astype(np.float64)
-        normal += k.T @ (weight[part, None] * k)
-        aim += k.T @ (weight[part, None] * (own[part, None] == np.arange(len(languages))))
-    alpha = np.linalg.solve(normal, aim)
-    return Model(languages, (marks.T @ alpha).astype(np.float32))
+@dataclass
+class Landmarks:
+    """Packed presence bits of the landmark windows, and the languages in order."""
+
+    languages: list[str]
+    bits: np.ndarray
+
+    @functools.cached_property
+    def marks(self) -> np.ndarray:
+        marks = np.unpackbits(self.bits, axis=1).astype(np.float32)
+        return marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
+
+    def empty(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros((len(self.bits),) * 2), np.zeros((len(self.bits), len(self.languages)))
+
+    def products(self, found: np.ndarray, own: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What windows add to both sides of the normal equations. found: presence; own: number of the language."""
+        k = ((found @ self.marks.T) / np.sqrt(np.maximum(found.sum(1, keepdims=True), 1))).astype(np.float64)
+        return k.T @ (weight[:, None] * k), k.T @ (weight[:, None] * (own[:, None] == np.arange(len(self.languages))))
+
+    def solved(self, normal: np.ndarray, aim: np.ndarray, weight: float) -> Model:
+        """weight: the sum of all windows' weights."""
+        normal = normal + PENALTY * weight * (self.marks @ self.marks.T).astype(np.float64) + 1e-8 * np.eye(len(self.bits))
+        return Model(self.languages, (self.marks.T @ np.linalg.solve(normal, aim)).astype(np.float32))
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """A model of every language, from at most ROWS_EACH rows for each, chosen by a hash of the key.
 
-    Of a text of several windows one teaches, by its row's place in that order. Rows with null text or label teach
-    nothing; without any other, the model has no languages. Windows become presence bits on the executors; only those
-    reach the driver.
+    All windows of a chosen text teach, and weigh as much together as any other text; languages weigh alike. Landmarks
+    are one window for each of the first rows of every language, by its row's place in that order. Rows with null text or
+    label teach nothing; without any other, the model has no languages. Only landmarks, and sums of the size of their
+    pairs, reach the driver, however long the texts are.
     """
     rows = df.select(F.col(key).cast("string").alias("__key"), F.col(text).cast("string").alias("__text"), F.col(label).cast("string").alias("__label")).filter("__text IS NOT NULL AND __label IS NOT NULL")
     rows = rows.withColumn("__hash", F.xxhash64("__key", F.lit("landmark")))
     counts = rows.groupBy("__label").count().collect()
     if not counts:
-        return fit([])
+        return Model([], np.zeros((PLACES, 0), np.float32))
     each = max(LEAST_ROWS, min(ROWS_EACH, ROWS_IN_ALL // len(counts)))
     # each language is thinned by its count before its first rows in hash order are taken, so that no task gathers a language
     shares = [(c["__label"], min(1.0, 3.0 * ROWS_EACH / c["count"])) for c in counts]
     share = F.broadcast(df.sparkSession.createDataFrame(shares, "__label string, __share double"))
     thin = rows.join(share, "__label").filter((F.pmod("__hash", F.lit(1 << 20)) / float(1 << 20)) < F.col("__share"))
     first = Window.partitionBy("__label").orderBy("__hash", "__key", F.sha2("__text", 256))
+    # a language with few rows has a share of 1, and one with many keeps hundreds, so thinning leaves none out
     chosen = thin.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= each)
+    return teach(stored(chosen.select(F.col("__label").alias("label"), F.col("__n").cast("long").alias("n"), F.col("__text").alias("text")), "langid-chosen"))
+
+
+def teach(chosen: DataFrame) -> Model:
+    """The model of label, n (a row's place among those of its label, from 1) and text, none of them null; some rows."""
+    taught = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+    languages = sorted(taught)
+    marks = _landmarks(chosen, languages)
+    rows_in_all = sum(taught.values())
+    weight = {language: rows_in_all / len(languages) / n for language, n in taught.items()}
+    sent = chosen.sparkSession.sparkContext.broadcast((languages, marks.bits, weight))  # LANDMARKS windows of PLACES bits
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, bits, weight = sent.value
+        own = Landmarks(languages, bits)
+        normal, aim = own.empty()
+        number = {language: i for i, language in enumerate(languages)}
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = windows(value)
+                for at in range(0, len(parts), 64):
+                    found, _ = presence(parts[at : at + 64])
+                    more = own.products(found, np.full(len(found), number[name]), np.full(len(found), weight[name] / len(parts)))
+                    normal, aim = normal + more[0], aim + more[1]
+        yield pa.RecordBatch.from_arrays([pa.array([normal.tobytes()], pa.binary()), pa.array([aim.tobytes()], pa.binary())], names=["normal", "aim"])
+
+    normal, aim = marks.empty()
+    for r in chosen.select("label", "text").mapInArrow(summed, "normal binary, aim binary").toLocalIterator():
+        normal += np.frombuffer(r["normal"]).reshape(normal.shape)
+        aim += np.frombuffer(r["aim"]).reshape(aim.shape)
+    return marks.solved(normal, aim, rows_in_all)
+
+
+def _landmarks(chosen: DataFrame, languages: list[str]) -> Landmarks:
+    """One window for each of the first rows of every language; LANDMARKS in all, LANDMARKS_EACH for each at least."""
+    each = max(LANDMARKS_EACH, -(-LANDMARKS // len(languages)))
 
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in rows_at_most(byte_slices(batch.column(2), 1 << 18), 64):
                 numbers = batch.column(1).slice(start, stop - start).to_pylist()
-                chosen = [w[n % len(w)] if (w := windows(t)) else "" for n, t in zip(numbers, texts(batch.column(2), start, stop), strict=True)]
-                packed = np.packbits(presence(chosen)[0].astype(np.uint8), axis=1)
+                own = [w[n % len(w)] if (w := windows(t)) else "" for n, t in zip(numbers, texts(batch.column(2), start, stop), strict=True)]
+                packed = np.packbits(presence(own)[0].astype(np.uint8), axis=1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in (0, 1)), pa.array([r.tobytes() for r in packed], pa.binary())], names=["label", "n", "bits"])
 
-    # a language with few rows has a share of 1, and one with many keeps hundreds, so thinning leaves none out
-    found = chosen.select(F.col("__label").alias("label"), F.col("__n").cast("long").alias("n"), "__text").mapInArrow(bits, "label string, n long, bits binary")
+    found = chosen.filter(F.col("n") <= each).select("label", "n", "text").mapInArrow(bits, "label string, n long, bits binary")
     taken = sorted((r["n"], r["label"], bytes(r["bits"])) for r in found.toLocalIterator())
-    return fit([(label, packed) for _, label, packed in taken])
+    return Landmarks(languages, np.frombuffer(b"".join(b for *_, b in taken), np.uint8).reshape(len(taken), -1))
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,8 +1,9 @@
 """Cross-entropy difference of two matched n-gram models.
 
 A target and a background bigram model share one vocabulary, every word of the whole corpus, one order and one smoothing.
-All counts are over all documents: every word counts, and every bigram that occurs LEAST times in the corpus, however
-large it is; rarer bigrams fall back on their words.
+All counts are over all documents, and every word and bigram counts, those that occur once too. A word's probability mixes
+the estimate of its bigram with its own; after a word that a model has not seen, its own stands alone. A document is
+part of the corpus that scores it, so what only it holds is less of a surprise to the background.
 
 Documents are gathered in blocks of bounded size. A block sends each of its different words and bigrams once, packed by
 ranges of their hashes, to where the whole corpus's counts of a range are summed, and gets the sums back in the same
@@ -28,8 +29,6 @@ from pyspark.sql import types as T
 
 from .common import byte_slices, stored, texts
 
-#: Least count of a bigram in the tables, at every size of the corpus.
-LEAST = 2
 #: Weight of the bigram estimate where its first word is known.
 BIGRAM_WEIGHT = 0.7
 #: Words of a block, and words of the corpus for each range of hashes.
@@ -185,9 +184,8 @@ class Sums:
         self.ends = np.cumsum([0, *map(len, each)])
         self.keys, self.place = np.unique(np.concatenate([*each, np.empty(0, np.uint64)]), return_inverse=True)
         n0, n1 = (np.bincount(self.place, np.concatenate([*map(unplanes, rows.column(c).to_pylist()), np.empty(0, np.uint64)]), len(self.keys)).astype(np.int64) for c in ("n0", "n1"))
-        word = self.keys & np.uint64(1) == 0
-        self.new_words, kept = int(word.sum()), word | (n0 >= LEAST)
-        self.n = n0 * kept, n1 * kept
+        self.new_words = int((self.keys & np.uint64(1) == 0).sum())
+        self.n = n0, n1
 
     def answers(self, n: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
         """Counts n of all keys, packed for each row."""
@@ -261,8 +259,7 @@ def train(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
 
     def summed(rows: pa.Table) -> pa.Table:
         sums = Sums(rows)
-        kept = sums.n[0] > 0
-        columns = [planes(np.diff(sums.keys[kept], prepend=np.uint64(0))), *(planes(n[kept]) for n in sums.n)]
+        columns = [planes(np.diff(sums.keys, prepend=np.uint64(0))), *map(planes, sums.n)]
         return pa.table([rows.column("range").slice(0, 1), *(pa.array([c], pa.binary()) for c in columns), pa.array([sums.new_words], pa.int64())], names=["range", "keys", "n0", "n1", "new_words"])
 
     dealt = _dealt(corpus, ranges := _ranges(totals))

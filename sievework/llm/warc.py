@@ -40,11 +40,15 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from .common import stored
+
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary"
 #: Bytes of archive for a partition, between marks, and for a file.
 SPLIT, MARK, ROTATE = 32 << 20, 8 << 20, 512 << 20
 #: How names of archives begin that are written here: hidden, as their write may have been aborted, unless a manifest names them.
 OWN = "_written-"
+#: Most payloads with copies whose digests are broadcast (about 100 bytes each).
+MOST_SENT = 400_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -357,8 +361,10 @@ def write_pages(df: DataFrame, path: str, key: str = "page_id", url: str = "url"
     """
     pages = df.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("target_uri"), F.encode(F.coalesce(F.col(body).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumns({"same": F.sha2("payload", 256), "payload_length": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
-    firsts = pages.groupBy("same", "payload_length").agg(F.min("id").alias("first"))
-    found = pages.join(firsts, ["same", "payload_length"])  # a hot payload's rows are split among tasks as a skewed join
+    firsts = pages.groupBy("same", "payload_length").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    firsts = stored(firsts, "warc-firsts")  # of payloads that occur more than once; the others need none
+    few = firsts.limit(MOST_SENT + 1).count() <= MOST_SENT
+    found = pages.join(F.broadcast(firsts) if few else firsts, ["same", "payload_length"], "left")  # beyond that, a hot payload's rows are split among tasks as a skewed join
     again = (F.col("payload_length") >= revisit_from) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("urn:x-row:"), F.coalesce(c.cast("string"), F.lit("null")))
     rows = found.select(

@@ -260,12 +260,37 @@ def test_language_scores_equal_kernel_ridge_regression():
     k = np.array([[kernel(x, y) for y in sets] for x in sets])  # every row is a landmark
     y = np.array([[lang == other for other in "pqr"] for lang, _ in rows], float)
     alpha = np.linalg.solve(k.T @ k + langid.PENALTY * len(rows) * k + 1e-8 * np.eye(len(rows)), k.T @ y)
-    model = langid.fit([(lang, np.packbits(langid.presence([t])[0][0].astype(np.uint8)).tobytes()) for lang, t in rows])
+    found = langid.presence([t for _, t in rows])[0]
+    marks = langid.Landmarks(["p", "q", "r"], np.packbits(found.astype(np.uint8), axis=1))
+    model = marks.solved(*marks.products(found, np.arange(21) % 3, np.ones(21)), 21)
     new = [prose(rnd, 9, "abcdefghi"), prose(rnd, 9, "ghijkl")]
     want = np.array([[kernel({*np.flatnonzero(langid.presence([t])[0][0]).tolist()}, x) for x in sets] for t in new]) @ alpha
     assert model.languages == ["p", "q", "r"] and np.allclose(model.scores(new)[0], want, atol=1e-4)
 
 
+def test_all_windows_of_a_text_teach(spark):
+    rnd = random.Random(25)
+    texts = [" ".join(prose(rnd, 700, alphabet) for alphabet in ("abcdefg", "efghijk", "ijklmno")) for _ in range(3)] + [prose(rnd, 30, "hijklmnop"), "", "ij"]
+    rows = [("pq"[i // 3], i % 3 + 1, t) for i, t in enumerate(texts)]
+    parts = [(label, n, langid.windows(t)) for label, n, t in rows]
+    assert max(len(w) for *_, w in parts) > 1
+    bits = [(n, label, np.packbits(langid.presence([w[n % len(w)] if w else ""])[0].astype(np.uint8))) for label, n, w in parts]
+    marks = langid.Landmarks(["p", "q"], np.array([b for *_, b in sorted(bits, key=lambda x: x[:2])]))
+    normal, aim = marks.empty()
+    for label, _, w in parts:
+        for one in w:
+            more = marks.products(langid.presence([one])[0], np.array(["pq".index(label)]), np.array([6 / 2 / 3 / len(w)]))
+            normal, aim = normal + more[0], aim + more[1]
+    model = langid.teach(spark.createDataFrame(rows, "label string, n long, text string").repartition(3))
+    assert model.languages == ["p", "q"] and np.allclose(model.weights, marks.solved(normal, aim, 6).weights, atol=1e-5)
+
+
+def test_ties_of_languages_go_to_the_first(spark):
+    model = langid.Model(["p", "q"], np.ones((langid.PLACES, 2), np.float32))
+    got = langid.predict(spark.createDataFrame([(1, "abc", None), (1, "abc", None), (None, None, None)], SCHEMA), model).collect()
+    assert sorted((str(r.doc_id), r.lang_pred) for r in got) == [("1", "p"), ("1", "p"), ("None", "und")]
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     from sievework.llm.queries import op7_language_id
 
@@ -283,7 +308,7 @@ def lm_losses(rows, targets):
         pairs = Counter(p for _, x in docs for p in zip(["<s>", *x], x, strict=False))
         one = Counter(w for _, x in docs for w in x)
         models.append((pairs, one, {**one, "<s>": sum(bool(x) for _, x in docs)}, sum(one.values())))
-    kept, out = {p for p, n in models[0][0].items() if n >= 2}, []
+    out = []
     for k, x in own:
         losses = []
         for pairs, one, before, total in models:
@@ -291,7 +316,7 @@ def lm_losses(rows, targets):
             for a, b in zip(["<s>", *x], x, strict=False):
                 p = (one[b] + 1) / (total + size)
                 if before.get(a):
-                    p = 0.7 * (pairs[a, b] if (a, b) in kept else 0) / before[a] + 0.3 * p
+                    p = 0.7 * pairs[a, b] / before[a] + 0.3 * p
                 loss -= np.log(p)
             losses.append(loss / max(1, len(x)))
         out.append((k, len(x), *losses))
@@ -325,7 +350,7 @@ def test_lm_keeps_rare_words_of_a_large_corpus(spark, monkeypatch):
     model = lm_scoring.train(df, target)
     unigram = lambda n: (n + 1) / (total + size)
     # "rare pair" occurs twice after "rare", which occurs three times; 11 documents start, 2 with "rare"
-    want = [0.3 * unigram(3) + 0.7 * 2 / 11, 0.7 * 2 / 3 + 0.3 * unigram(2), 0.3 * unigram(1)]
+    want = [0.3 * unigram(3) + 0.7 * 2 / 11, 0.7 * 2 / 3 + 0.3 * unigram(2), 0.7 * 1 / 2 + 0.3 * unigram(1)]
     whole = lm_scoring.score_corpus(df, target)
     assert {r.doc_id: r for r in whole.collect()}[10].background_loss == pytest.approx(-np.log(want).sum() / 3)
     monkeypatch.setattr(lm_scoring, "MOST_SENT", 1)
@@ -339,6 +364,20 @@ def test_lm_keeps_rare_words_of_a_large_corpus(spark, monkeypatch):
     assert lm_scoring.score(held_out, lm_scoring.train(empty, target)).first().background_loss == 0  # one unknown word, of probability 1
 
 
+def test_lm_foreign_texts_are_less_like_the_target(spark):
+    rnd = random.Random(31)
+    words = iter({prose(rnd, 1) + str(i) for i in range(120)})
+    rows = [(i, " ".join(next(words) for _ in range(4)), "x") for i in range(30)]  # no two share a word
+    df, target = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
+    model = lm_scoring.train(df, target)
+    for scored in (lm_scoring.score_corpus(df, target), lm_scoring.score(df, model)):
+        got = {r.doc_id: r.difference for r in scored.collect()}
+        assert max(got[i] for i in range(10)) < 0 < min(got[i] for i in range(10, 30))
+    shared, foreign = (rows[i][1].rsplit(" ", 1)[0] + " unseen" for i in (0, 20))  # of the target's words, of the others'
+    held = {r.doc_id: r.difference for r in lm_scoring.score(spark.createDataFrame([(1, shared, "x"), (2, foreign, "x")], SCHEMA), model).collect()}
+    assert held[1] < held[2]
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(14)
     vectors = {i: rng.normal(size=16).astype(np.float32).tolist() for i in range(200)}
