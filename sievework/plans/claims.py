@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import rules, text
-from sievework.operators import keyed
+from sievework.operators import keyed, vectors
 
 from .base import EVIDENCE, REVIEWS, SCORED, evidence, registry, reviews, scored, table
 
@@ -64,19 +64,16 @@ def priority_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLEAN = r"trim(regexp_replace(replace({}, chr(160), ' '), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
-_VARIANT_SQL = "CASE (conv_id + turn) % 6 WHEN 0 THEN left(text, 200) WHEN 1 THEN lower(left(text, 200)) WHEN 2 THEN 'See www.example.com for ' || left(text, 60) WHEN 3 THEN 'Sites 1 2 3 4 5 6 of ' || left(text, 20) WHEN 4 THEN 'In 2021 and 2022 and 2023 and 2024 it ' || left(text, 80) ELSE 'AA BB CC DD EE FF GG of ' || left(text, 90) END"
 
 
-@query(rf"""WITH t AS (SELECT conv_id, turn, {_CLEAN.format(_VARIANT_SQL)} AS t FROM conversations), w AS (SELECT *, string_split(t, ' ') AS p FROM t)
-    SELECT conv_id, turn, length(t) < 24 OR length(t) > 420 OR len(p) < 5 OR regexp_matches(t, '^[a-z]{{2,}}\s') OR regexp_matches(t, '(?i)\bwww\.\S+|\b\d+\s*/\s*\d+\b') OR len(regexp_extract_all(t, '\b20\d{{2}}\b')) >= 4
+@query(rf"""WITH s AS (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM conversations),
+    u AS (SELECT conv_id, turn, unnest(range(1, len(parts) + 1)) AS place, parts FROM s), t AS (SELECT conv_id, turn, place, {_CLEAN.format('parts[place]')} AS t FROM u), w AS (SELECT *, string_split(t, ' ') AS p FROM t)
+    SELECT conv_id, turn, place::INTEGER AS place, length(t) < 24 OR length(t) > 420 OR len(p) < 5 OR regexp_matches(t, '^[a-z]{{2,}}\s') OR regexp_matches(t, '(?i)\bwww\.\S+|\b\d+\s*/\s*\d+\b') OR len(regexp_extract_all(t, '\b20\d{{2}}\b')) >= 4
     OR len(list_filter(p, lambda x: regexp_matches(x, '[0-9]')))::DOUBLE / len(p) > 0.32 OR regexp_matches(t, '(?:\b[A-Z]{{2,}}\b\s*){{7,}}') AS malformed FROM w""")
 def malformed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims that are no readable sentence."""
-    short = lambda n: F.substring("text", 1, n)
-    form = (F.col("conv_id") + F.col("turn")) % 6
-    value = F.when(form == 0, short(200)).when(form == 1, F.lower(short(200))).when(form == 2, F.concat(F.lit("See www.example.com for "), short(60))).when(form == 3, F.concat(F.lit("Sites 1 2 3 4 5 6 of "), short(20)))
-    value = value.when(form == 4, F.concat(F.lit("In 2021 and 2022 and 2023 and 2024 it "), short(80))).otherwise(F.concat(F.lit("AA BB CC DD EE FF GG of "), short(90)))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.malformed(value).alias("malformed"))
+    """Every sentence of every whole turn, taken as a claim: whether it is no readable sentence. Null texts have none."""
+    parts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.sentences(F.col("text"))).alias("place", "claim"))
+    return parts.select("conv_id", "turn", (F.col("place") + 1).alias("place"), text.malformed(F.col("claim")).alias("malformed"))
 
 
 # What a claim cites: the accepted evidence whose number leads to it. The claim takes a denial with it in every third case.
@@ -378,49 +375,51 @@ def audit_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UNIT = "list_reduce(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]), lambda a, b: a + b, 0.0::DOUBLE)"
-_VEC = f"vc AS (SELECT vec_id, e, sqrt({_UNIT.format('e', 'e')}) AS size FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0))"
+_VEC = f"vc AS (SELECT vec_id, e, sqrt({_UNIT.format('e', 'e')}) AS size FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))"
 #: Vectors whose number this divides are the stated queries.
-QUERY_STEP = 250
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("embedding").cast("array<double>")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("e")).filter("e IS NOT NULL AND size(e) > 0").filter(F.forall("e", lambda x: x.isNotNull()))
-    return rows.withColumn("size", F.sqrt(_dot(F.col("e"), F.col("e"))))
+QUERY_STEP = 100
 
 
 @query(f"""WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN q.size * c.size = 0 THEN 0 ELSE {_UNIT.format('q.e', 'c.e')} / (q.size * c.size) END AS score FROM vc q JOIN vc c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % {QUERY_STEP} = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) SELECT query_id, place::INTEGER AS place, vec_id, score FROM r WHERE place <= 10""")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 vectors nearest by cosine to each stated query. Queries meet every row in blocks of a partition; each task keeps its own best before the shuffle."""
-    rows = _vectors(spark, sf_dir)
-    asked = rows.filter(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("size").alias("qs"))
-    met = rows.join(asked, (F.col("vec_id") != F.col("query_id")) & (F.size("e") == F.size("qe")))
-    score = F.when(F.col("qs") * F.col("size") == 0, 0.0).otherwise(_dot(F.col("qe"), F.col("e")) / (F.col("qs") * F.col("size")))
-    return keyed.best_rows(met.select("query_id", "vec_id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("vec_id")], 10, "place").select("query_id", "place", "vec_id", "score")
+    """The 10 vectors nearest by cosine to each stated query, by products of blocks."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = vectors.nearest(rows.filter(F.col("vec_id") % QUERY_STEP == 0), rows, "vec_id", "embedding", 10)
+    return found.select(F.col("query").alias("query_id"), "place", F.col("row").alias("vec_id"), "score")
 
 
 _ASKED = "aq AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: length(t) >= 3)) AS terms FROM benchmark WHERE item_id % 20 = 0)"
 
 
-@query(f"""WITH {EVIDENCE}, {SCORED}, {REVIEWS}, {_VEC}, {_ASKED}, p AS (SELECT sc.doc_id, company, d, quality, text, e, size FROM sc JOIN rv USING (doc_id) LEFT JOIN vc ON vc.vec_id = sc.doc_id WHERE status = 'accepted' AND risk < 60),
-    s AS (SELECT item_id, p.doc_id, d, CASE WHEN len(terms) = 0 THEN 0 ELSE len(list_filter(terms, lambda t: contains(lower(text), t)))::DOUBLE / len(terms) END * 0.58::DOUBLE + coalesce(CASE WHEN p.size * q.size > 0 THEN {_UNIT.format('q.e', 'p.e')} / (q.size * p.size) END, 0) * 0.42::DOUBLE + quality / 10000.0::DOUBLE AS score
-        FROM aq JOIN p ON true LEFT JOIN vc q ON q.vec_id = item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, d DESC, doc_id) AS place FROM s) SELECT item_id, place::INTEGER AS place, doc_id, round(score, 9) AS score FROM r WHERE place <= 10""")
+@query(f"""WITH {EVIDENCE}, {SCORED}, {REVIEWS}, {_VEC}, {_ASKED}, p AS (SELECT sc.doc_id, company, d, quality, list_distinct(string_split_regex(lower(text), '[^a-z]+')) AS own, e, size FROM sc JOIN rv USING (doc_id) LEFT JOIN vc ON vc.vec_id = sc.doc_id WHERE status = 'accepted' AND risk < 60),
+    s AS (SELECT item_id, p.doc_id, d, CASE WHEN len(terms) = 0 THEN 0 ELSE len(list_intersect(terms, own))::DOUBLE / len(terms) END * 0.58::DOUBLE + coalesce(CASE WHEN p.size * q.size > 0 THEN {_UNIT.format('q.e', 'p.e')} / (q.size * p.size) END, 0) * 0.42::DOUBLE + quality / 10000.0::DOUBLE AS score
+        FROM aq JOIN p ON true LEFT JOIN vc q ON q.vec_id = item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, d DESC, doc_id) AS place FROM s) SELECT item_id, place::INTEGER AS place, doc_id, round(score, 9) AS score FROM r WHERE place <= 10""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 accepted documents that fit each stated question best: share of its terms that a text has, cosine of their vectors, quality."""
-    vectors = _vectors(spark, sf_dir)
-    lower = F.lower("text")
-    terms = F.array_distinct(F.filter(F.split(lower, "[^a-z]+"), lambda t: F.length(t) >= 3))
-    asked = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", terms.alias("terms"))
-    asked = asked.join(vectors.select(F.col("vec_id").alias("item_id"), F.col("e").alias("qe"), F.col("size").alias("qs")), "item_id", "left")
+    """The 10 accepted documents that fit each stated question best: share of its terms that a text has, cosine of their vectors, quality.
+
+    Documents meet a question by the terms that both have, or as the nearest by vector and quality alone; a pair whose
+    bound (a cosine of 1) is below the tenth pair's least score (a cosine of -1) is left out before vectors are fetched.
+    """
+    embedded = table(spark, sf_dir, "embeddings").select("vec_id", vectors.finite(F.col("embedding")).alias("e")).filter("e IS NOT NULL")
+    first = embedded.select(F.size("e")).first()
+    zeros = F.array_repeat(F.lit(0.0), first[0] if first else 1)  # no vector: a cosine of 0
+    terms = lambda: F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: F.length(t) >= 3))
+    asked = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", terms().alias("terms"))
+    items = asked.select("item_id").join(embedded.withColumnRenamed("vec_id", "item_id"), "item_id", "left").select(F.col("item_id").alias("id"), F.coalesce("e", zeros).alias("e"))
     fit = scored(evidence(spark, sf_dir)).filter("risk < 60").join(reviews(spark, sf_dir).filter("status = 'accepted'").select("doc_id"), "doc_id")
-    fit = fit.select("doc_id", "d", "quality", lower.alias("text")).join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
-    met = fit.crossJoin(asked)  # the stated questions against all rows
-    lexical = F.when(F.size("terms") == 0, 0.0).otherwise(F.size(F.filter("terms", lambda t: F.contains(F.col("text"), t))) / F.size("terms"))
-    cosine = F.coalesce(F.when(F.col("qs") * F.col("size") > 0, _dot(F.col("qe"), F.col("e")) / (F.col("qs") * F.col("size"))), F.lit(0.0))
-    rows = met.select("item_id", "doc_id", "d", (lexical * 0.58 + cosine * 0.42 + F.col("quality") / 10_000.0).alias("score"))
-    return keyed.best_rows(rows, ["item_id"], [F.desc("score"), F.desc("d"), F.asc("doc_id")], 10, "place").select("item_id", "place", "doc_id", F.round("score", 9).alias("score"))
+    fit = fit.select("doc_id", "d", "quality", terms().alias("own"))
+    docs = fit.drop("own").join(embedded.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").withColumn("e", F.coalesce("e", zeros))
+    by_term = asked.select("item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    met = fit.select("doc_id", "d", "quality", F.explode("own").alias("term")).join(by_term, "term").groupBy("item_id", "doc_id", "d", "quality", "n_terms").agg(F.count("*").alias("matched"))
+    base = met.select("item_id", "doc_id", (F.col("matched") / F.col("n_terms") * 0.58 + F.col("quality") / 10_000.0).alias("base"))
+    tenth = keyed.best_rows(base, ["item_id"], [F.desc("base"), F.asc("doc_id")], 10, "place").filter("place = 10").select("item_id", (F.col("base") - 0.84 - 1e-6).alias("least"))
+    lexical = base.join(tenth, "item_id", "left").filter("least IS NULL OR base >= least").select("item_id", "doc_id")
+    near = vectors.nearest(items, docs.withColumnRenamed("doc_id", "id"), "id", "e", 10, F.col("quality") / 4200.0, -F.unix_date("d"), True)
+    pairs = lexical.unionByName(near.select(F.col("query").alias("item_id"), F.col("row").alias("doc_id"))).distinct()
+    whole = pairs.join(docs, "doc_id").join(items.select(F.col("id").alias("item_id"), F.col("e").alias("qe")), "item_id").join(met.select("item_id", "doc_id", (F.col("matched") / F.col("n_terms")).alias("share")), ["item_id", "doc_id"], "left")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(dot("e", "e")) * F.sqrt(dot("qe", "qe"))
+    cosine = F.coalesce(F.when(size > 0, dot("qe", "e") / size), F.lit(0.0))
+    rows = whole.select("item_id", "doc_id", "d", F.round(F.coalesce("share", F.lit(0.0)) * 0.58 + cosine * 0.42 + F.col("quality") / 10_000.0, 9).alias("score"))
+    return keyed.best_rows(rows, ["item_id"], [F.desc("score"), F.desc("d"), F.asc("doc_id")], 10, "place").select("item_id", "place", "doc_id", "score")
