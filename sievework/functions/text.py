@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,26 +58,27 @@ def most_topic(text: Column, rules: list[tuple[str, str]], default: str) -> Colu
     return F.when(best["n"] > 0, best["topic"]).otherwise(default)
 
 
-def readability_risk(text: Column, labels: str) -> Column:
-    """Risk that a passage is a broken table or slide: few sentence marks, many numbers, years or labels, a lower-case start."""
-    value = clean(text)
-    parts = F.filter(F.split(value, " "), lambda w: w != "")
-    n = F.size(parts)
-    marks = F.regexp_count(value, F.lit(r"[.!?](?:\s|$)"))
-    dense = F.size(F.filter(parts, lambda w: w.rlike("[0-9]"))) / F.greatest(n, F.lit(1))
-    years = F.regexp_count(value, F.lit(word(r"20\d{2}")))
-    churn = F.regexp_count(value, F.lit(word(labels)))
+def readability_risk(df: DataFrame, column: str, labels: str, name: str = "risk") -> DataFrame:
+    """df with the risk that a passage is a broken table or slide: few sentence marks, many numbers, years or labels, a lower-case start.
+
+    The cleaned text is a column of its own on the way, so that it is made once for all tests.
+    """
+    value = F.col("__clean")
+    count = lambda pattern: F.regexp_count(value, F.lit(pattern))
+    tests = {"__n": count("[^ ]+"), "__dense": count("[^ 0-9]*[0-9][^ ]*"), "__marks": count(r"[.!?](?:\s|$)"), "__years": count(word(r"20\d{2}")), "__churn": count(word(labels)), "__low": value.rlike(r"^[a-z]{2,}\s")}
+    n, marks = F.col("__n"), F.col("__marks")
     add = lambda test, points: F.when(test, points).otherwise(0)
     risk = (
         add((n >= 25) & (marks == 0), 35)
         + add((n >= 45) & (marks == 0), 20)
         + add((n >= 80) & (marks <= 1), 25)
-        + add(dense > 0.28, 30)
-        + add(years >= 4, 25)
-        + add((churn >= 10) & (marks <= 2), 25)
-        + add(value.rlike(r"^[a-z]{2,}\s"), 20)
+        + add(F.col("__dense") / F.greatest(n, F.lit(1)) > 0.28, 30)
+        + add(F.col("__years") >= 4, 25)
+        + add((F.col("__churn") >= 10) & (marks <= 2), 25)
+        + add(F.col("__low"), 20)
     )
-    return F.when(n == 0, 100).otherwise(F.least(F.lit(100), risk)).cast("int")
+    tested = df.withColumn("__clean", clean(F.col(column))).withColumns(tests)
+    return tested.withColumn(name, F.when(n == 0, 100).otherwise(F.least(F.lit(100), risk)).cast("int")).drop("__clean", *tests)
 
 
 @F.pandas_udf(T.StringType())
@@ -108,9 +109,9 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "), r"[^a-z0-9$% ]", ""))
 
 
-def duplicate_key(text: Column) -> Column:
-    """A short label of texts that are equal but for case, white space and signs; two different ones may share it."""
-    return F.concat_ws(":", F.lit("duplicate"), fnv1a(plain(text)), F.length(plain(text)).cast("string"))
+def duplicate_key(plain_text: Column) -> Column:
+    """A short label of a plain() text; two different ones may share it."""
+    return F.concat_ws(":", F.lit("duplicate"), fnv1a(plain_text), F.length(plain_text).cast("string"))
 
 
 def tokens(text: Column, stop: list[str], shortest: int = 2) -> Column:

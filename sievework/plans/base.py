@@ -59,12 +59,12 @@ REVIEWS = "rv AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'accepted' ELSE 'rej
 def scored(df: DataFrame) -> DataFrame:
     """quality, materiality, specificity, relevance and risk of `text`, by rules that fit the prose."""
     value = F.col("text")
-    signals = df.withColumns(
+    signals = text.readability_risk(df, "text", rules.PROSE_LABELS).withColumns(
         {
             "material": text.distinct_matches(value, text.word(rules.PROSE_MATERIAL)),
             "specific": text.distinct_matches(value, text.word(rules.PROSE_SPECIFIC)),
-            "n_words": F.size(text.words(value)),
-            "risk": F.greatest(F.lit(5), text.readability_risk(value, rules.PROSE_LABELS)),
+            "n_words": F.regexp_count(value, F.lit(r"[^ \t\n\x0B\f\r]+")),
+            "risk": F.greatest(F.lit(5), "risk"),
         }
     )
     scores = signals.withColumns(

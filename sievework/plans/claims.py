@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import rules, text
 from sievework.operators import keyed, vectors
+from sievework.storage import stored
 
 from .base import EVIDENCE, REVIEWS, SCORED, evidence, registry, reviews, scored, table
 
@@ -408,10 +409,11 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", terms().alias("terms"))
     items = asked.select("item_id").join(embedded.withColumnRenamed("vec_id", "item_id"), "item_id", "left").select(F.col("item_id").alias("id"), F.coalesce("e", zeros).alias("e"))
     fit = scored(evidence(spark, sf_dir)).filter("risk < 60").join(reviews(spark, sf_dir).filter("status = 'accepted'").select("doc_id"), "doc_id")
-    fit = fit.select("doc_id", "d", "quality", terms().alias("own"))
+    fit = stored(fit.select("doc_id", "d", "quality", terms().alias("own")), "hybrid-fit")
     docs = fit.drop("own").join(embedded.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").withColumn("e", F.coalesce("e", zeros))
     by_term = asked.select("item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     met = fit.select("doc_id", "d", "quality", F.explode("own").alias("term")).join(by_term, "term").groupBy("item_id", "doc_id", "d", "quality", "n_terms").agg(F.count("*").alias("matched"))
+    met = stored(met, "hybrid-met")
     base = met.select("item_id", "doc_id", (F.col("matched") / F.col("n_terms") * 0.58 + F.col("quality") / 10_000.0).alias("base"))
     tenth = keyed.best_rows(base, ["item_id"], [F.desc("base"), F.asc("doc_id")], 10, "place").filter("place = 10").select("item_id", (F.col("base") - 0.84 - 1e-6).alias("least"))
     lexical = base.join(tenth, "item_id", "left").filter("least IS NULL OR base >= least").select("item_id", "doc_id")

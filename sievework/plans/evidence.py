@@ -48,9 +48,9 @@ def evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVIDENCE}, e2 AS (SELECT *, {PLAIN} AS pl FROM ev) SELECT doc_id, concat('duplicate:', {fnv_sql('pl')}, ':', length(pl)) AS grp, count(*) OVER (PARTITION BY pl) AS group_size FROM e2")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evidence(spark, sf_dir).select("doc_id", "text", F.sha2(text.plain(F.col("text")), 256).alias("own"))
+    rows = evidence(spark, sf_dir).select("doc_id", text.plain(F.col("text")).alias("plain")).withColumn("own", F.sha2("plain", 256))
     groups = rows.groupBy("own").agg(F.count("*").alias("group_size"))
-    labelled = rows.select("doc_id", "own", text.duplicate_key(F.col("text")).alias("grp"))
+    labelled = rows.select("doc_id", "own", text.duplicate_key(F.col("plain")).alias("grp"))
     return labelled.join(groups, "own").select("doc_id", "grp", "group_size")
 
 
