@@ -71,6 +71,23 @@ SECTIONS = [
     ("Financials", "Financial Statements", r"^item\s+9\.01[.\s:-]*financial statements"),
 ]
 
+# Fixed values of the domain: item codes of named sections, formulas of cover pages.
+ITEM_CODES = [("Results of Operations", "2.02"), ("Material Agreement", "1.01"), ("Other Material Events", "8.01"), ("Financial Statements", "9.01")]
+COVER_PAGE = ["check the appropriate box below", "pre-commencement communications", "securities registered pursuant", "emerging growth company", "indicate by check mark", r"exchange act \(17 cfr"]
+
+# Fixed values of the domain: topics of releases in order of precedence, and what is boilerplate in them.
+RELEASE_TOPICS = [
+    ("Capacity", r"\b(?:capacity|data cent(?:er|re)|gpu|accelerator|cluster|rack|megawatt|mw|gigawatt|gw)\b"),
+    ("Revenue", r"\b(?:revenue|arr|annualized run-rate|gross profit|gross margin|adjusted ebitda|operating loss)\b"),
+    ("Capital spending", r"\b(?:capex|capital expenditure|capital spending|property and equipment|infrastructure investment)\b"),
+    ("Power", r"\b(?:power|electricity|grid|energy|energization|substation|renewable)\b"),
+    ("Customers", r"\b(?:customer|contract|agreement|backlog|demand|hyperscaler|meta|microsoft)\b"),
+    ("Financing", r"\b(?:financing|liquidity|cash balance|debt|convertible|credit facility|equity|atm program)\b"),
+    ("Guidance", r"\b(?:guidance|outlook|we expect|we target|expected to|forecast for|by the end of|full-year target)\b"),
+    ("Risk", r"\b(?:risk|uncertain|constraint|delay|shortage|concentration|competition|may adversely)\b"),
+]
+RELEASE_BOILERPLATE = ["forward-looking statements?", "actual results .* differ materially", "cautioned not to .* rely", "copyright .* all rights reserved"]
+
 # Fixed values of the domain: alert categories in order of precedence, and words of direction.
 ALERTS = [
     ("Capacity", r"capacity|data center|gpu|power|megawatt|mw\b|capital expenditure|capex"),

@@ -1,9 +1,9 @@
 """All queries and oracles of the library."""
 
-from . import claims, dossier, evidence, ledger, metrics, sync
+from . import claims, dossier, evidence, ledger, metrics, pages, sync
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (evidence, ledger, dossier, claims, metrics, sync):
+for _part in (evidence, ledger, dossier, claims, metrics, sync, pages):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

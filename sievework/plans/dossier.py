@@ -80,29 +80,6 @@ def sentence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.groupBy("doc_id").agg(F.count("*").alias("passages"), F.sum(F.length("t")).cast("long").alias("characters"), F.max(F.length("t")).cast("long").alias("longest"), F.sum(F.col("n") - 1).alias("repeated"))
 
 
-# Lines as filings have them; which one a block starts with follows from its number.
-LINES = ["Item 1A. Risk Factors", "ordinary text", "Liquidity and Capital Resources", "more text", "Item 5.02 Departure of Directors.", "Customers", "text", "Item 8.01 Other Events", "Our Business", "text", "Results of operations for the year", "Item 9 x"]
-_LINE_SQL = "[" + ", ".join(f"'{x}'" for x in LINES) + "][((conv_id * 7 + turn * 5) % 12)::INTEGER + 1]"
-_ITEM = r"(?i)^item\s+([0-9]+(?:\.[0-9]+)?[a-z]?)[.\s:-]+(.{3,165})$"
-_SECTION_SQL = (
-    "CASE "
-    + " ".join(f"WHEN regexp_matches(line, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN struct_pack(category := '{c}', title := '{t.replace(chr(39), chr(39) * 2)}')" for c, t, p in rules.SECTIONS)
-    + rf" WHEN regexp_matches(line, '{_ITEM}') THEN struct_pack(category := 'Filing item', title := 'Item ' || regexp_extract(line, '{_ITEM}', 1) || ': ' || regexp_replace(regexp_extract(line, '{_ITEM}', 2), '\.$', '')) END"
-)
-
-
-@query(f"""WITH b AS (SELECT conv_id, turn, {_LINE_SQL} AS line FROM conversations), h AS (SELECT *, {_SECTION_SQL} AS s FROM b),
-    f AS (SELECT conv_id, turn, line, s IS NOT NULL AS is_heading, last_value(s IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM h)
-    SELECT conv_id, turn, line, is_heading, s.category AS category, s.title AS title FROM f""")
-def heading_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The section that each block of a document stands in: that of the last heading before it."""
-    line = F.element_at(F.array(*map(F.lit, LINES)), F.pmod(F.col("conv_id") * 7 + F.col("turn") * 5, F.lit(12)).cast("int") + 1)
-    blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line")).withColumn("s", text.section(F.col("line"), rules.SECTIONS))
-    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = F.last("s", ignorenulls=True).over(so_far)
-    return blocks.withColumn("carried", carried).select("conv_id", "turn", "line", F.col("s").isNotNull().alias("is_heading"), F.col("carried.category").alias("category"), F.col("carried.title").alias("title"))
-
-
 _LINKS = r"""a0 AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS l FROM pages), a1 AS (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS position FROM a0),
     li AS (SELECT page_id, position, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS href, trim(regexp_replace(a, '(?s)<[^>]*>', '', 'g')) AS title FROM a1)"""
 _KEY = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
