@@ -26,6 +26,7 @@ PROSE_MATERIAL = "the|of|and|to|in|is|by|with|on|for|are|was"
 PROSE_SPECIFIC = "that|this|from|were|have"
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "by", "with", "on", "for", "are", "was"]
 PROSE_CLAIMS = [("growth", "tion|sion", False), ("demand", "ing|ed", False), ("funding", "the|der", True), ("customer", "and|und", True), ("execution", "les|los|ble", True)]
+PROSE_SIGNALS = [("action", 25, r"ing\b"), ("relation", 25, r"tion\b"), ("article", 20, r"\b(?:the|der|les|los)\b"), ("link", 20, r"\b(?:et|und|y)\b")]
 PROSE_POSITIVE, PROSE_NEGATIVE = "is|was|are", "of|by|un"
 
 # Fixed values of the domain: text that is no research evidence.
@@ -116,6 +117,38 @@ EVENT_MATERIAL = ["megawatt|gigawatt|mw|gw", "billion|million|financing|debt|con
 # Fixed values of the domain: words whose coming or going makes a change of text significant.
 MATERIAL_TERMS = ["backlog", "capacity", "capital", "capex", "customer", "customers", "debt", "demand", "financing", "liquidity", "power", "revenue", "risk", "risks", "utilization"]
 
+# Fixed values of the domain: sections that periodic filings repeat, and words that do not count in comparisons.
+RECURRING = ["Risk", "Liquidity", "Operations", "Business", "Capacity", "Demand"]
+RECURRING_TITLE = "management.s discussion|md&a|risk factors|liquidity|results of operations|business|capacity|demand"
+FILING_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "our", "that", "the", "their", "this", "to", "was", "we", "were", "with"]
+
+# Fixed values of the domain: items of event filings (code, type, base score, category, whether administrative), signals in order
+# (category, weight, pattern), and what is boilerplate in events.
+ITEM_POLICIES = [
+    ("1.01", "Material agreement", 35, None, False),
+    ("1.02", "Agreement termination", 35, None, False),
+    ("2.02", "Operating results", 45, "Demand", False),
+    ("2.03", "Financial obligation", 55, "Funding", False),
+    ("2.04", "Acceleration trigger", 60, "Funding", False),
+    ("2.05", "Exit or disposal plan", 35, "Execution", False),
+    ("2.06", "Material impairment", 45, "Execution", False),
+    ("4.01", "Auditor change", 5, None, True),
+    ("5.02", "Leadership change", 10, None, False),
+    ("5.07", "Shareholder vote", 0, None, True),
+    ("7.01", "Regulation FD update", 25, None, False),
+    ("8.01", "Other material event", 20, None, False),
+    ("9.01", "Exhibits and financial statements", 0, None, True),
+]
+EVENT_SIGNALS = [
+    ("Capacity", 25, r"\b(?:data cent(?:er|re)|gpu|accelerator|megawatt|mw\b|power capacity|powered capacity|cluster|compute capacity|capital expenditure|capex)\b"),
+    ("Funding", 25, r"\b(?:credit facilit|financing|liquidity|debt|borrow|loan|lender|convertible note|revolving credit|interest rate|principal amount)\b"),
+    ("Demand", 20, r"\b(?:revenue|backlog|contracted|workload|utilization|demand|reservation|purchase commitment|service agreement)\b"),
+    ("Customer", 20, r"\b(?:customer|counterparty|concentration|tenant|offtake)\b"),
+    ("Execution", 20, r"\b(?:construction|delivery|schedule|delay|permit|interconnect|energization|deployment|impairment|termination)\b"),
+]
+EVENT_BOILERPLATE = r"\b(?:incorporated by reference into this item|shall not constitute an offer|schedules? to this agreement have been omitted|furnish supplementally|pursuant to item 601|signature(?:s)?\s*$)\b"
+EXHIBIT_LINE = r"^\s*\d{1,3}(?:\.\d+)?\*{0,2}\s+.{0,80}(?:agreement|statement|certificate|press release)"
+
 # Fixed values of the domain: contexts that make a metric doubtful.
 OFFERING = "prospectus|offer and sale|securities|at-the-market|equity offering|convertible notes?|capitalization table|net proceeds"
 COMPONENT = r"(?:increase|decrease|reduced|improved|declined)(?:\s+in)?\s+revenue[^.]{0,45}\bby\b|attributable to|contributed \$"

@@ -14,6 +14,12 @@ def word(pattern: str) -> str:
     return rf"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
+def ascii_edges(pattern: str) -> str:
+    """A pattern whose \\b is the edge of a run of ASCII letters, digits and underscores, whatever the engine takes it to be."""
+    w = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<!{w})(?={w})|(?<={w})(?!{w}))")
+
+
 def clean(text: Column) -> Column:
     """White space and no-break spaces as one space, none at the ends."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, " ", " "), r"[ \t\n\x0B\f\r]+", " "))
