@@ -29,7 +29,7 @@ SPACE = "▁"
 #: A space between two other characters, of which the first is not the space sign.
 SAFE = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
 #: Longer texts are cut into runs of about so many characters.
-RUN_CHARS = 1 << 18
+RUN_CHARS = 1 << 13
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
