@@ -28,29 +28,81 @@ def nearest(rows: DataFrame, anchors: DataFrame, key: str, at: str, anchor_at: s
     return rows.join(best, row_id, "left").select(row_id, F.col(f"b.{anchor_id}").alias("anchor_id"), F.col("b.__days").alias("days"))
 
 
-def saturating_path(df: DataFrame, key: str, at: str, order: str, delta: str, start: int = 50, low: int = 10, high: int = 90) -> DataFrame:
-    """key, at, score, n: a running score held to low..high after each step, as it stands at the end of each date.
+#: Days of a stretch, and steps or dates that are folded at once.
+STRETCH, CHUNK = 64, 512
 
-    A stretch of steps is x -> min(h, max(l, x + a)), and such functions compose into one of their kind. So the steps of
-    a date are composed first, and only dates are folded in order: a hot key is as long as its dates, not its rows.
-    """
-    steps = df.groupBy(key, at).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(delta).cast("int").alias("d")))).alias("__s"), F.count("*").alias("__k"))
-    hold = lambda x, lo, hi: F.greatest(lo, F.least(hi, x))
-    unit = F.struct(F.lit(0).alias("a"), F.lit(-(10**6)).alias("l"), F.lit(10**6).alias("h"))
 
-    def then(f: Column, a: Column, lo: Column, hi: Column) -> Column:
-        return F.struct((f["a"] + a).alias("a"), hold(f["l"] + a, lo, hi).alias("l"), hold(f["h"] + a, lo, hi).alias("h"))
+def as_of(rows: DataFrame, facts: DataFrame, key: str, at: str, fact_at: str, fact_order: str, values: list[str], forward: bool = False, largest: bool = True) -> DataFrame:
+    """rows with `values` of the last fact of their key at or before `at` (forward: the first at or after it), else nulls.
+
+    Of facts of one day the largest fact_order counts, or the smallest. Both sides are sorted together, by key and
+    stretches of days, and the last value is carried inside a stretch and from stretch to stretch, so no pairs of rows and
+    facts arise and a task holds a key's rows of one stretch. Dates; rows with a null date or key meet nothing.
+    """
+    stretch = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / F.lit(STRETCH))
+    fact = F.struct(*values)
+    own = rows.select(key, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(facts.schema[fact_order].dataType).alias("__o"), F.lit(None).cast(facts.select(fact.alias("v")).schema["v"].dataType).alias("__v"), F.struct(*rows.columns).alias("__row"))
+    given = facts.filter(F.col(fact_at).isNotNull() & F.col(key).isNotNull()).select(key, F.col(fact_at).alias("__t"), F.lit(0).alias("__side"), F.col(fact_order).alias("__o"), fact.alias("__v"), F.lit(None).cast(own.schema["__row"].dataType).alias("__row"))
+    both = own.unionByName(given).withColumn("__s", stretch(F.col("__t")))
+    time = F.desc if forward else F.asc
+    inside = Window.partitionBy(key, "__s").orderBy(time("__t"), "__side", F.asc("__o") if largest else F.desc("__o")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = both.withColumn("__here", F.last("__v", ignorenulls=True).over(inside)).filter("__side = 1").select(key, "__s", "__row", "__here")
+    nearer = F.datediff(F.col("__t"), F.lit("1970-01-01"))  # the fact that a later stretch sees
+    order = F.struct((-nearer if forward else nearer).alias("t"), F.dense_rank().over(Window.partitionBy(key, "__s", "__t").orderBy(F.asc("__o") if largest else F.desc("__o"))).alias("o"))
+    ends = given.withColumn("__s", stretch(F.col("__t"))).withColumn("__order", order).groupBy(key, "__s").agg(F.max_by("__v", "__order").alias("__end"))
+    steps = ends.unionByName(here.select(key, "__s").distinct(), allowMissingColumns=True).groupBy(key, "__s").agg(F.max_by("__end", F.col("__end").isNotNull()).alias("__end"))
+    before = Window.partitionBy(key).orderBy(time("__s")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).select(key, "__s", "__carried")
+    met = here.alias("h").join(carried.alias("c"), (F.col(f"h.{key}") == F.col(f"c.{key}")) & (F.col("h.__s") == F.col("c.__s")), "left")
+    found = F.coalesce("__here", "__carried")
+    return met.select("__row.*", found.alias("__found")).select(*rows.columns, *(F.col(f"__found.{v}").alias(v) for v in values))
 
-    dates = steps.select(key, at, "__k", F.aggregate("__s", unit, lambda f, x: then(f, x["d"], F.lit(low), F.lit(high))).alias("f"))
-    series = dates.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), "__k", "f"))).alias("dates"))
-    empty = F.array().cast("array<struct<at:date,score:int,n:bigint>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        value = hold(F.coalesce(last["score"], F.lit(start)) + x["f"]["a"], x["f"]["l"], x["f"]["h"])
-        return F.concat(acc, F.array(F.struct(x["at"].alias("at"), value.cast("int").alias("score"), (F.coalesce(last["n"], F.lit(0)) + x["__k"]).alias("n"))))
+def saturating_path(df: DataFrame, key: str, at: str, order: str, delta: str, start: int = 50, low: int = 10, high: int = 90) -> DataFrame:
+    """key, at, score, n: a running score held to low..high after each step, as it stands at the end of each date.
 
-    return series.select(key, F.explode(F.aggregate("dates", empty, step)).alias("p")).select(key, F.col("p.at").alias(at), F.col("p.score").alias("score"), F.col("p.n").alias("n"))
+    A stretch of steps is x -> min(h, max(l, x + a)), and such functions compose into one of their kind. So up to CHUNK
+    steps of a date in order become one function, up to CHUNK of these again, until each date has one; dates are
+    composed alike, and a chunk of dates starts from where the chunks before it end. No list is longer than CHUNK but
+    that of a key's chunks of dates.
+    """
+    hold = lambda x, lo, hi: F.greatest(lo, F.least(hi, x))
+    unit = F.struct(F.lit(0).cast("long").alias("a"), F.lit(-(10**6)).cast("long").alias("l"), F.lit(10**6).cast("long").alias("h"))
+
+    def then(f: Column, g: Column) -> Column:
+        return F.struct((f["a"] + g["a"]).alias("a"), hold(f["l"] + g["a"], g["l"], g["h"]).alias("l"), hold(f["h"] + g["a"], g["l"], g["h"]).alias("h"))
+
+    def composed(rows: DataFrame, by: list[str]) -> DataFrame:
+        """by, __g, __k, __i: rows with __g (a function), __k (its steps) and __i (their place, from 0), CHUNK of them as one."""
+        chunks = rows.groupBy(*by, F.floor(F.col("__i") / CHUNK).alias("__i")).agg(F.sort_array(F.collect_list(F.struct("__i", "__g"))).alias("__f"), F.sum("__k").alias("__k"))
+        return chunks.select(*by, "__i", "__k", F.aggregate("__f", unit, lambda f, x: then(f, x["__g"])).alias("__g"))
+
+    place = F.row_number().over(Window.partitionBy(key, at).orderBy(order, delta)) - 1
+    one = F.struct(F.col(delta).cast("long").alias("a"), F.lit(low).cast("long").alias("l"), F.lit(high).cast("long").alias("h"))
+    dates = df.select(key, at, one.alias("__g"), F.lit(1).cast("long").alias("__k"), place.cast("long").alias("__i"))
+    for _ in range(4):  # 512 ** 4 steps of a key and date
+        dates = composed(dates, [key, at])
+    dates = dates.drop("__i").withColumn("__i", (F.row_number().over(Window.partitionBy(key).orderBy(at)) - 1).cast("long"))
+    dates = dates.withColumn("__c", F.floor(F.col("__i") / CHUNK))
+    whole = composed(dates.select(key, "__g", "__k", "__i"), [key])
+    ends = whole.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__i", "__g", "__k"))).alias("__f"))
+    first = F.struct(F.lit(start).cast("long").alias("x"), F.lit(0).cast("long").alias("n"))
+    moved = lambda s, f, k: F.struct(hold(s["x"] + f["a"], f["l"], f["h"]).alias("x"), (s["n"] + k).alias("n"))
+
+    def path(state: Column, steps: Column, inclusive: bool) -> Column:
+        """The states after each step, or before it."""
+        begun = F.struct(state.alias("s"), F.array().cast("array<struct<x:bigint,n:bigint>>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            after = moved(acc["s"], x["__g"], x["__k"])
+            return F.struct(after.alias("s"), F.concat(acc["out"], F.array(after if inclusive else acc["s"])).alias("out"))
+
+        return F.aggregate(steps, begun, step, lambda acc: acc["out"])
+
+    starts = ends.select(key, F.explode(F.arrays_zip(F.transform("__f", lambda x: x["__i"]).alias("__c"), path(first, F.col("__f"), False).alias("s"))).alias("z")).select(key, "z.__c", "z.s")
+    lists = dates.groupBy(key, "__c").agg(F.sort_array(F.collect_list(F.struct("__i", F.col(at).alias("at"), "__g", "__k"))).alias("__f"))
+    out = lists.join(starts, [key, "__c"]).select(key, F.explode(F.arrays_zip(F.transform("__f", lambda x: x["at"]).alias("at"), path(F.col("s"), F.col("__f"), True).alias("p"))).alias("z"))
+    return out.select(key, F.col("z.at").alias(at), F.col("z.p.x").cast("int").alias("score"), F.col("z.p.n").alias("n"))
 
 
 def revisions(df: DataFrame, key: str, valid_from: str, tie: str, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import rules, text
-from sievework.operators import keyed
+from sievework.operators import keyed, temporal
 
 from .base import registry, table
 from .ledger import QUARTERS, quarters
@@ -203,9 +203,9 @@ def suggested_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders(spark, sf_dir)
     promised = rows.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderkey").alias("commitment"), F.col("value").alias("target"), F.col("d").alias("valid_from"), F.date_add("d", 60).alias("due"))
     seen = rows.filter("o_orderpriority <> '1-URGENT'").select("o_custkey", F.col("o_orderkey").alias("actual"), "value", "d")
-    met = promised.join(seen, "o_custkey").filter("d >= valid_from")
-    order = F.struct((F.col("d") < F.col("due")).alias("early"), F.when(F.col("d") >= F.col("due"), F.datediff("d", "due")).otherwise(-F.datediff("d", "valid_from")).alias("distance"), "actual")
-    best = met.groupBy("commitment").agg(F.min_by(F.struct("actual", "value", "target"), order).alias("b"))
+    after = temporal.as_of(promised, seen, "o_custkey", "due", "d", "actual", ["actual", "value", "d"], forward=True, largest=False)
+    early = temporal.as_of(after.filter("actual IS NULL").select(*promised.columns), seen, "o_custkey", "due", "d", "actual", ["actual", "value", "d"], largest=False)
+    best = after.filter("actual IS NOT NULL").unionByName(early.filter("d >= valid_from")).select("commitment", F.struct("actual", "value", "target").alias("b"))
     outcome = F.when(F.col("b.value") >= F.col("b.target"), "achieved").when(F.col("b.value") >= F.col("b.target") * 0.75, "partial").otherwise("missed")
     return best.select("commitment", "b.actual", outcome.alias("outcome"))
 
@@ -216,9 +216,10 @@ def as_of_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The revision in force on a statement's day: the last from before it, else the first of all."""
     rows = orders(spark, sf_dir)
     revisions = rows.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("d").alias("valid_from"), F.col("o_orderkey").alias("revision"))
-    met = rows.filter("o_orderpriority = '5-LOW'").select("o_custkey", "d", "o_orderkey").join(revisions, "o_custkey")
-    order = F.struct("valid_from", "revision")
-    return met.groupBy("o_orderkey").agg(F.coalesce(F.max_by("revision", F.when(F.col("valid_from") <= F.col("d"), order)), F.min_by("revision", order)).alias("revision"))
+    first = revisions.groupBy("o_custkey").agg(F.min_by("revision", F.struct("valid_from", "revision")).alias("first"))
+    stated = rows.filter("o_orderpriority = '5-LOW'").select("o_custkey", "d", "o_orderkey")
+    found = temporal.as_of(stated, revisions, "o_custkey", "d", "valid_from", "revision", ["revision"]).join(first, "o_custkey")
+    return found.select("o_orderkey", F.coalesce("revision", "first").alias("revision"))
 
 
 @query(f"WITH {ORDERS}, b AS (SELECT *, left(o_orderpriority, 1) IN ('1', '2') AS periodic FROM od) SELECT o_orderkey, last_value(CASE WHEN periodic THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY d, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM b")
