@@ -156,6 +156,31 @@ FACILITY = "campus|site|building|data cent(?:er|re)|forge|facility"
 MARKET = "market size|total addressable market|industry estimate|peer spending"
 FINANCIAL_KEYS = ["revenue", "capex", "liquidity", "operating_cash_flow", "debt", "backlog", "contract_value"]
 
+# Fixed values of the domain: patterns of amounts (kind, pattern, characters of the text around), labels of money (metric, pattern,
+# confidence) in order of precedence, what excludes a match, and words that tell kinds of power.
+AMOUNTS = [
+    ("money", r"(?:US\s*)?\$\s*([\d,.]+)\s*(billion|million|bn|mm|m|b)?", 90),
+    ("power", r"([\d,.]+)\s*(GW|MW|gigawatts?|megawatts?)(?:\b|\s)", 60),
+    ("gpu", r"([\d,]{3,})\s+(?:NVIDIA\s+|AMD\s+)?(?:GPUs?|accelerators?)", 0),
+    ("gpu_after", r"(?:GPUs?|accelerators?)\s+(?:of\s+|totaling\s+|approximately\s+)?([\d,]{3,})", 0),
+]
+MONEY_METRICS = [
+    ("annual_recurring_revenue", r"annual recurring revenue|\bARR\b", 92),
+    ("contract_value", r"\bcontract(?:ed)?(?:\s+\w+){0,2}\s+(?:value|revenue)|customer commitment|capacity reservation", 84),
+    ("backlog", r"\bbacklog|remaining performance obligation", 92),
+    ("revenue", r"\brevenue|sales\b", 91),
+    ("capex", r"\bcapex|capital expenditure|capital spending", 90),
+    ("liquidity", r"\bliquidity|cash and cash equivalents|cash balance", 89),
+    ("operating_cash_flow", "operating cash flow|cash flow from operations", 88),
+    ("debt", r"\bdebt|borrowings|convertible notes?|credit facility", 87),
+]
+MARKET_ESTIMATE = "hyperscalers? capex estimates?|amazon|alphabet|google|meta platforms|microsoft|market size|total addressable market|megaprojects|industry estimate"
+PART_OF_REVENUE = r"prospectus|offer and sale|securities|at-the-market|equity offering|convertible notes?|net proceeds|(?:increase|decrease|reduced|declined)(?:\s+in)?\s+revenue[^.]{0,70}(?:\bby\b|\bdue to\b)|attributable to"
+FINANCING_TABLE = "capitalization table|macquarie expect to invest|issuer|equity commitment|net proceeds"
+POWER_NEARBY = "power|capacity|campus|data cent(?:er|re)|building|energized|grid"
+POWER_ACTIVE = r"energized|\blive\b|active power|in service|operates?"
+POWER_PLANNED = "contracted|secured|guidance|pipeline|planned|under construction|development capacity|available power|expected|will be operational"
+
 # Fixed values of the domain: what decides whether a change is good or bad news.
 OPPORTUNITY = "revenue|demand|customer|contract|capacity|power|gpu|compute|utilization|pipeline|growth|deployment"
 THREAT = "debt|borrow|funding|financ|cost|concentrat|delay|risk|constraint|liabilit"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import rules
-from sievework.sources import blocks
+from sievework.sources import amounts, blocks
 
 from .base import registry, table
 
@@ -82,3 +82,14 @@ def heading_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section that each different block of a page stands in: that of the last heading before it."""
     found = blocks.with_headings(blocks.first_of_equal(_blocks(spark, sf_dir), "page_id"), "page_id", rules.SECTIONS, blocks.HEADINGS)
     return found.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("place")).alias("block"), "is_heading", "category", "title")
+
+
+@query("""WITH m AS (SELECT doc_id, unnest([{'metric': 'revenue', 'value': (1 + doc_id % 900)::DOUBLE, 'unit': 'USD millions', 'context': 'Revenue was $' || (1 + doc_id % 900) || ' million in the year.'},
+    {'metric': 'active_power_capacity', 'value': (1 + doc_id % 70)::DOUBLE, 'unit': 'MW', 'context': 'The campus has ' || (1 + doc_id % 70) || ' MW energized.'},
+    {'metric': 'gpu_count', 'value': (1000 + doc_id % 7000)::DOUBLE, 'unit': 'GPUs', 'context': 'It runs ' || (1000 + doc_id % 7000) || ' GPUs today.'}]) AS x FROM documents)
+    SELECT doc_id, x.metric AS metric, x.value AS value, x.unit AS unit, x.context AS context FROM m""")
+def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every whole document, to which a year's statement with numbers of its own is added, as the prose names none."""
+    n = F.col("doc_id")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(". Revenue was $"), (1 + n % 900).cast("string"), F.lit(" million in the year. The campus has "), (1 + n % 70).cast("string"), F.lit(" MW energized. It runs "), (1000 + n % 7000).cast("string"), F.lit(" GPUs today. "))
+    return amounts.metrics(table(spark, sf_dir, "documents").select("doc_id", said.alias("text")), "doc_id", "text").select("doc_id", "metric", "value", "unit", "context")
