@@ -74,14 +74,15 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = sentence_pieces.encode(table(spark, sf_dir, "documents"), PIECES)
-    back = sentence_pieces.decode(pieces, PIECES, keep=("doc_id", "ids", "ends"))
+    placed = sentence_pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+    pieces = placed.select("doc_id", "ids", F.element_at("ends", -1).cast("long").alias("n_bytes"))  # no places go on to decoding
+    back = sentence_pieces.decode(pieces, PIECES, keep=("doc_id", "ids", "n_bytes"))
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.element_at("ends", -1).cast("long").alias("n_bytes"),
+        "n_bytes",
     )
 
 
