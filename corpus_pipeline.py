@@ -70,7 +70,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A trained classifier and a dynamic program are beyond SQL; tests/llm/test_pipeline.py holds run() against brute force.
+#: A trained classifier and a dynamic program are beyond SQL; tests/llm/test_pipeline.py tests the decisions of the stages, not run() as a whole.
 ORACLE_SQL = None
 
 
