@@ -30,6 +30,8 @@ SPACE = "▁"
 SAFE = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
 #: Longer texts are cut into runs of about so many characters.
 RUN_CHARS = 1 << 13
+#: Stands for a null among ids.
+NO_ID = -1
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
@@ -314,7 +316,7 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: Sequence[str] =
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",), target: str = "decoded") -> DataFrame:
-    """keep and the text that the library's decode() gives for each list of ids; null ids give an empty text.
+    """keep and the text that the library's decode() gives for each list of ids; a null list gives an empty text, null ids in one count for nothing.
 
     Repeated rows and null keys stay as they are; an empty table gives no rows; columns not named are not read.
     """
@@ -324,8 +326,14 @@ def decode(df: DataFrame, model: str, ids: str = "ids", keep: Sequence[str] = ("
         library = codec(model).library
         for batch in batches:
             column = batch.column(len(keep))
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            ends = column.offsets.to_numpy()
+            numbers = column.values.fill_null(NO_ID).to_numpy()  # rows are read from the buffer, as Python lists of them cost as much as encoding
             for start in range(0, len(column), 64):
-                part = [library.decode(x or []) for x in column.slice(start, 64).to_pylist()]
+                rows = [numbers[ends[i] : ends[i + 1] if known[i] else ends[i]] for i in range(start, min(start + 64, len(column)))]
+                if column.values.null_count:
+                    rows = [x[x != NO_ID] for x in rows]
+                part = [library.decode(x) if len(x) else "" for x in rows]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, 64) for c in batch.columns[: len(keep)]), pa.array(part, pa.string())], names=schema.names)
 
     return df.select(*keep, F.col(ids).cast("array<int>").alias("__ids")).mapInArrow(run, schema)

@@ -94,3 +94,12 @@ def test_query_equals_the_library(spark):
         want.append((r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))))
     got = QUERIES["op12_sentence_pieces"](spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_decode_nulls_and_repeats(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    ids = library.encode("one text and another")
+    rows = [(1, ids), (2, None), (3, []), (4, [None]), (5, [ids[0], None, *ids[1:]]), (None, ids), (1, ids)]
+    found = sp.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(2), MODEL).collect()
+    want = {1: "one text and another", 2: "", 3: "", 4: "", 5: "one text and another", None: "one text and another"}
+    assert len(found) == len(rows) and all(r.decoded == want[r.doc_id] for r in found)
