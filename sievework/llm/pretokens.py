@@ -17,8 +17,8 @@ import regex
 SAFE = regex.compile(r"(?<=\S) (?=\S)")
 #: Longer texts are cut into runs of about so many characters.
 RUN_CHARS = 1 << 18
-#: Marks the first chunk of a text, which has no space before it; no other chunk starts so.
-HEAD = "\0 "
+#: Marks the first chunk of a text, which has no space before it; no text in UTF-8 holds this character.
+HEAD = "\ud800"
 
 
 class Chunks(dict):
@@ -59,7 +59,7 @@ class Chunks(dict):
             for name in ("start", "length", "mark", "ragged"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.empty(more, old.dtype)]))
-        ids, lengths, marks = self.encode([c[2:] if c.startswith(HEAD) else " " + c for c in new])
+        ids, lengths, marks = self.encode([c[1:] if c.startswith(HEAD) else " " + c for c in new])
         top = self.used + len(ids)
         if top > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(top, len(self.flat)), np.int32)])
@@ -67,7 +67,7 @@ class Chunks(dict):
         self.length[at:end], self.mark[at:end] = lengths, marks
         ends = np.cumsum(lengths)
         self.start[at:end] = self.used + ends - lengths
-        self.ragged[at:end] = [not c or c[0].isspace() or c[-1].isspace() or c == HEAD or c.startswith(HEAD) and c[2].isspace() for c in new]
+        self.ragged[at:end] = [not c or c[0].isspace() or c[-1].isspace() or c == HEAD or c.startswith(HEAD) and c[1].isspace() for c in new]
         self.used = top
         self.chars += sum(map(len, new))
 

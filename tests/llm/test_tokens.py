@@ -14,7 +14,7 @@ from sievework.llm import byte_bpe, packing, token_counts
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 ODD = [
     None, "", " ", "a  b", "a \n b", "\n\nx", "x\n", " lead", "<|endoftext|> a <|endoftext|>. b<|startoftext|>", "é" * 300, "don't  we'll 12 345x​ 　z", "a\x1c \x1cb \x85 c",
-    "日本語 テスト 漢字。", "\0 a \0", "ab. Cd.\nEf! gh? " * 400, "İstanbul ß ẞ ǅ é", "word " * 70_000, "x" * 5000,
+    "日本語 テスト 漢字。", "\0 a \0", "a \0  x", "b \0  \0  y \0", "ab. Cd.\nEf! gh? " * 400, "İstanbul ß ẞ ǅ é", "word " * 70_000, "x" * 5000,
 ]
 RANKS, JSON, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
