@@ -185,3 +185,24 @@ POWER_PLANNED = "contracted|secured|guidance|pipeline|planned|under construction
 OPPORTUNITY = "revenue|demand|customer|contract|capacity|power|gpu|compute|utilization|pipeline|growth|deployment"
 THREAT = "debt|borrow|funding|financ|cost|concentrat|delay|risk|constraint|liabilit"
 LIQUIDITY = "cash|liquidity"
+
+# Fixed values of the domain: what a claim of each section speaks of, words without content in claims, openings of slides and notes
+# that are no sentences, fragments that stand for a sentence ({} is the company), and openings by which a sentence is retold.
+CLAIM_SECTIONS = {
+    "exposure": r"\b(?:ai|capacity|cloud|compute|data cent(?:er|re)|gpu|hpc|infrastructure|megawatt|mw\b|gigawatt|gw\b|power)\b",
+    "advantages": r"\b(?:availability|capital investment|contracted|demand|expand|growth|increase|infrastructure business|launch|liquidity|scale|secured|signed)\b",
+    "risks": r"\b(?:capital|concentrat|constraint|cost|credit|debt|delay|dependent|financ|liquidity|loss|risk|uncertain)\b",
+    "catalysts": r"\b(?:availability|capacity|contract|deliver|deploy|energiz|expand|guidance|launch|milestone|pipeline)\b",
+}
+CLAIM_STOP_WORDS = ["about", "after", "also", "been", "being", "between", "could", "disclosed", "from", "have", "into", "more", "most", "over", "reported", "that", "their", "there", "these", "they", "this", "through", "under", "which", "with", "would", "company", "group"]
+SLIDE = r"^(?:company timeline|ai factories hyperscalers capex estimates)\b"
+ESTIMATE_NOTE = r"based on company guidance \+ analyst consensus|approximate calendar-year basis"
+CLAIM_FRAGMENTS = [
+    r"\b{}\s+has\s+secured\s+[$€£]\s?\d[\d,.]*\s*(?:billion|million|bn|mn|b|m)?[^.;]{{0,80}}?(?:contracted lease value|contract value)",
+    r"\bsigned\b[^.;]{20,220}?\b\d[\d,.]*\s*(?:mw|gw)\b(?:\s+of\s+(?:critical\s+)?it\s+load)?",
+    r"\brevenue growth\b[^.;]{20,180}?(?:customer acquisition|program enhancements|year over year|yoy)",
+    r"\b\d[\d,.]*\s+billion in total contracted baseline revenue under \d[\d,.]*-year take-or-pay lease agreements",
+]
+REPORTED_SPEECH = r"""^".*"\s*,?\s*(?:said|stated|according to)\b"""
+OWN_VERBS = "completed|contracted|entered|established|launched|reported|secured|signed"
+OWN_FIGURES = "revenue|capacity|cash|liquidity|capital expenditures?|backlog"

@@ -193,6 +193,12 @@ def section(heading: Column, sections: list[tuple[str, str, str]]) -> Column:
     return F.when(F.length(heading) <= 180, out)
 
 
+def flat(text: Column) -> Column:
+    """Quotes and spaces made plain, escaped quotes too; white space as one space, none at the ends."""
+    plain = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit('\\"'), F.lit('"')), "[\u00a0\u2007\u202f]", " "), "[“”]", '"')
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[‘’]", "'"), r"[ \t\n\x0B\f\r]+", " "))
+
+
 def comparable(text: Column) -> Column:
     """Lower case, quotes and spaces made plain, other signs as spaces."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[\u00a0\u2007\u202f]", " "), "[“”]", '"'), "[‘’]", "'")
