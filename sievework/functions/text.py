@@ -229,7 +229,11 @@ def numeric_facts(text: Column) -> Column:
 
 def malformed(text: Column) -> Column:
     """Whether a claim is no readable sentence: too short or long, too many numbers or years, an address or a page number, a run of capitals."""
-    value = clean(text)
+    return unreadable(clean(text))
+
+
+def unreadable(value: Column) -> Column:
+    """malformed() of a text that is clean already."""
     parts = F.split(value, " ")
     dense = F.size(F.filter(parts, lambda w: w.rlike("[0-9]"))) / F.size(parts)
     return (

@@ -31,11 +31,12 @@ def best_sentence(df: DataFrame, excerpt: str, name: str, section: str, sections
     fragments += [F.regexp_substr("__body", F.lit("(?i)" + text.ascii_edges(p))) for p in others]
     sentences = F.filter(F.transform(F.split("__body", r"(?<=[.!?]) +(?=[\"'A-Z])"), F.trim), lambda s: s != "")
     cut = df.withColumn("__flat", text.flat(F.coalesce(F.col(excerpt), F.lit("")))).withColumn("__body", body).withColumn("__fragments", F.array_compact(F.array(*fragments)))
-    cut = cut.withColumns({"__parts": F.concat("__fragments", sentences), "__slide": _has(F.col("__body"), rules.SLIDE)})
+    # of a slide, fragments alone are read; decided here, as the lambda below would test the whole text for each sentence
+    cut = cut.withColumn("__parts", F.when(_has(F.substring("__body", 1, 80), rules.SLIDE), F.col("__fragments")).otherwise(F.concat("__fragments", sentences)))
 
     def scored(s: Column, place: Column) -> Column:
         fragment = F.array_contains("__fragments", s)
-        readable = (fragment | ~F.col("__slide")) & ~text.malformed(s) & ~_has(s, rules.SLIDE) & ~_has(s, rules.ESTIMATE_NOTE)
+        readable = ~text.unreadable(s) & ~_has(s, rules.SLIDE) & ~_has(s, rules.ESTIMATE_NOTE)
         on_topic = F.lit(False)
         for key, pattern in sections.items():
             on_topic = on_topic | (F.col(section).eqNullSafe(key) & _has(s, pattern))
@@ -45,7 +46,7 @@ def best_sentence(df: DataFrame, excerpt: str, name: str, section: str, sections
         return F.when(readable, F.struct(total.alias("total"), (-place).alias("place"), s.alias("s")))
 
     best = F.array_max(F.transform("__parts", scored))
-    return cut.withColumn(target, best["s"]).drop("__flat", "__body", "__fragments", "__parts", "__slide")
+    return cut.withColumn(target, best["s"]).drop("__flat", "__body", "__fragments", "__parts")
 
 
 def retold(sentence: Column, name: Column) -> Column:
@@ -73,12 +74,13 @@ def checked(df: DataFrame, claim: str, excerpt: str, quote: Column) -> DataFrame
     """
     said, source = F.coalesce(F.col(claim), F.lit("")), F.coalesce(F.col(excerpt), F.lit(""))
     tokens = lambda x: text.content_tokens(x, rules.CLAIM_STOP_WORDS)
-    own = df.withColumns({"__own": tokens(said), "__shared": F.size(F.array_intersect(tokens(said), tokens(source)))})
+    own = df.withColumns({"__said": text.flat(said), "__own": tokens(said), "__shared": F.size(F.array_intersect(tokens(said), tokens(source)))})
     n, shared = F.size("__own"), F.col("__shared")
     overlap = F.coalesce(F.try_divide(shared, n), F.lit(0.0))
     supported = (n > 0) & (shared >= F.least(F.lit(3), n)) & (overlap >= 0.24) & ~text.contradicts(said, source, rules.NEGATIONS, rules.DIRECTIONS)
     facts = lambda x: F.transform(text.numeric_facts(text.flat(x)), F.lower)
-    bad = text.malformed(text.flat(said)) | _has(text.flat(said), rules.SLIDE) | _has(text.flat(said), rules.ESTIMATE_NOTE)
+    flat = F.col("__said")
+    bad = text.unreadable(flat) | _has(flat, rules.SLIDE) | _has(flat, rules.ESTIMATE_NOTE)
     tests = {
         "overlap": overlap,
         "numeric_ok": F.size(F.array_except(facts(said), facts(source))) == 0,
@@ -86,7 +88,7 @@ def checked(df: DataFrame, claim: str, excerpt: str, quote: Column) -> DataFrame
         "quote_ok": ~quote | F.contains(text.comparable(source), text.comparable(said)),
         "malformed": bad,
     }
-    return own.withColumns(tests).drop("__own", "__shared")
+    return own.withColumns(tests).drop("__said", "__own", "__shared")
 
 
 def quoted(sentence: Column, excerpt: Column) -> Column:

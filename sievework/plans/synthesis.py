@@ -22,7 +22,7 @@ KEYS = list(SECTIONS)
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, name, section, quality and text of documents."""
     n = F.col("doc_id")
-    name = F.when(n % 7 == 0, F.col("company")).otherwise(F.translate("company", "0123456789", "abcdefghij"))
+    name = F.initcap(F.when(n % 7 == 0, F.col("company")).otherwise(F.translate("company", "0123456789", "abcdefghij")))
     return evidence(spark, sf_dir).select("doc_id", name.alias("name"), F.element_at(F.array(*map(F.lit, KEYS)), (n % len(KEYS)).cast("int") + 1).alias("section"), F.col("source_quality").alias("quality"), "text")
 
 
@@ -62,7 +62,7 @@ def _opposed(a: str, b: str) -> str:
     return f"({has(a, negations)} <> {has(b, negations)} OR " + " OR ".join(f"({has(a, u)} AND {has(b, d)}) OR ({has(a, d)} AND {has(b, u)})" for u, d in rules.DIRECTIONS) + ")"
 
 
-_ITEMS = f"it AS (SELECT doc_id, company, CASE WHEN doc_id % 7 = 0 THEN company ELSE translate(company, '0123456789', 'abcdefghij') END AS name, {_KEYS_SQL}[(doc_id % {len(KEYS)})::INTEGER + 1] AS section, source_quality AS quality, text FROM ev)"
+_ITEMS = f"it AS (SELECT doc_id, company, upper(left(company, 1)) || substr(CASE WHEN doc_id % 7 = 0 THEN company ELSE translate(company, '0123456789', 'abcdefghij') END, 2) AS name, {_KEYS_SQL}[(doc_id % {len(KEYS)})::INTEGER + 1] AS section, source_quality AS quality, text FROM ev)"
 _FRAGMENTS = "list_filter([" + ", ".join(
     [rf"regexp_extract(body, '(?i)' || replace('{rules.CLAIM_FRAGMENTS[0].format(chr(1))}', chr(1), regexp_escape(name)))"] + [f"regexp_extract(body, '{_q(p)}')" for p in rules.CLAIM_FRAGMENTS[1:]]
 ) + "], lambda f: f <> '')"
