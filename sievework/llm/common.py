@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,12 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; before the first, the worker gives back the Arrow memory that its earlier tasks have freed, which its pool would keep."""
+    pa.default_memory_pool().release_unused()
+    yield from batches
+
+
 def byte_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with about `limit` bytes each; a longer value is a range of its own."""
     size = at = 0

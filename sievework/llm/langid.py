@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, stored, texts
+from .common import byte_slices, lean, stored, texts
 
 #: Places of the presence vectors, the lengths of n-grams, and characters of a window.
 PLACES, LENGTHS, WINDOW = 1 << 15, (1, 2, 3, 4), 8192
@@ -93,7 +93,8 @@ class Landmarks:
     @functools.cached_property
     def marks(self) -> np.ndarray:
         marks = np.unpackbits(self.bits, axis=1).astype(np.float32)
-        return marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
+        marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
+        return marks
 
     def empty(self) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros((len(self.bits),) * 2), np.zeros((len(self.bits), len(self.languages)))
@@ -147,7 +148,7 @@ def teach(chosen: DataFrame) -> Model:
         own = Landmarks(languages, bits)
         normal, aim = own.empty()
         number = {language: i for i, language in enumerate(languages)}
-        for batch in batches:
+        for batch in lean(batches):
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = windows(value)
                 for at in range(0, len(parts), 64):
@@ -168,7 +169,7 @@ def _landmarks(chosen: DataFrame, languages: list[str]) -> Landmarks:
     each = max(LANDMARKS_EACH, -(-LANDMARKS // len(languages)))
 
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for start, stop in rows_at_most(byte_slices(batch.column(2), 1 << 18), 64):
                 numbers = batch.column(1).slice(start, stop - start).to_pylist()
                 own = [w[n % len(w)] if (w := windows(t)) else "" for n, t in zip(numbers, texts(batch.column(2), start, stop), strict=True)]
@@ -185,16 +186,18 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     lang_pred is a learned language, the first in order on ties, or `und` with score 0 where text is null or has no
     letter, or the model no languages. score is the regression's value for it, held to 0 to 1. Repeated rows and null keys stay as they are; an
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; other columns are not read. A text that is kept goes to the workers once.
     """
     names = [key, *keep]
+    kept = text in names and isinstance(df.schema[text].dataType, T.StringType)
+    at = names.index(text) if kept else len(names)
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast((model.languages, model.weights))  # PLACES numbers for each language
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
-        for batch in batches:
-            column = batch.column(len(names))
+        for batch in lean(batches):
+            column = batch.column(at)
             for start, stop in rows_at_most(byte_slices(column, 1 << 18), 64):
                 s, letters = own.scores(texts(column, start, stop))
                 if not own.languages:
@@ -204,7 +207,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 pred = [own.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns[: len(names)]), pa.array(pred, pa.string()), pa.array(np.where(letters, top, 0.0))], names=schema.names)
 
-    return df.select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(scored, schema)
+    return df.select(*names, *([] if kept else [F.col(text).cast("string").alias("__text")])).mapInArrow(scored, schema)
 
 
 def rows_at_most(ranges: Iterable[tuple[int, int]], n: int) -> Iterator[tuple[int, int]]:

@@ -10,6 +10,7 @@ which a queue kept in increasing order yields in constant time, and from windows
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections import deque
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import load_ranks
-from .common import byte_slices, texts
+from .common import byte_slices, lean, texts
 from .pretokens import SAFE, RUN_CHARS
 
 #: Costs of a cut, in tokens of padding: for each window, inside a document after a sentence, elsewhere.
@@ -81,21 +82,32 @@ class Encoder:
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(json_path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            model = json.load(f)
+        added = {t["content"]: t["id"] for t in model["added_tokens"]}
+        self.special = list(added)
+        largest = max([*model["model"]["vocab"].values(), *added.values()])
+        del model
         ranks = load_ranks(ranks_path)
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        size = max(self.whole.get_vocab_size(), len(ranks))
+        size = max(largest + 1, len(ranks))
         self.ends, self.opens = np.zeros(size, bool), np.zeros(size, bool)
         for token, i in ranks.items():
             self.ends[i] = token.rstrip(b"\"')]").endswith((b".", b"!", b"?", b"\n")) or b"\n" in token
             self.opens[i] = token[:1] in b" \n\t\r"
 
+    @functools.cached_property
+    def whole(self):
+        """The file's own tokenizer, read when a text first needs it, as it fills some 30 MB of a worker."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.json_path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
+
     def ids(self, text: str) -> np.ndarray:
         parts, at = [], 0
         while at < len(text):
@@ -201,7 +213,7 @@ def pack(df: DataFrame, json_path: str, ranks_path: str, pattern: str, key: str
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(encoder(json_path, ranks_path, pattern), capacity, end_id, TaskContext.get().partitionId() << 36)
-        for batch in batches:
+        for batch in lean(batches):
             keys, column = batch.column(0).to_pylist(), batch.column(1)
             for start, stop in byte_slices(column):
                 for k, t in zip(keys[start:stop], texts(column, start, stop), strict=True):

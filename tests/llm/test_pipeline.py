@@ -5,6 +5,8 @@ import random
 import corpus_pipeline
 import pytest
 
+from sievework.llm import langid
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -46,3 +48,17 @@ def test_run_is_registered(spark):
     queries = __spark_entry__.queries()
     assert "pipeline" in queries and all(any(n.startswith(f"op{i}_") for n in queries) for i in range(1, 11))
     assert queries["pipeline"](spark, SF).count() > 0
+
+
+def test_kept_text_goes_to_the_workers_once(spark):
+    """Twice filled an executor beyond its memory."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    model = langid.train(docs)
+    by_key = langid.predict(docs, model)
+    kept = langid.predict(docs, model, keep=("lang", "text"))
+    joined = sorted((r.doc_id, r.lang, r.text, p.lang_pred, p.score) for r in docs.collect() for p in by_key.collect() if p.doc_id == r.doc_id)
+    assert sorted(map(tuple, kept.collect())) == joined
+    sent = kept._jdf.queryExecution().optimizedPlan().children().head().output()
+    assert sent.size() == 3
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, docs.first().text)], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(odd, model, keep=("text",)).orderBy("doc_id").collect()] == [True, True, False]

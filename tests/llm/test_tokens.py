@@ -91,3 +91,12 @@ def test_sentences_that_fit_a_window_stay_whole():
     packer.add(2, "word " * 2000)
     cut = packer.flush(last=True)
     assert sum(r[2] for r in cut) == cut[0][4] and max(r[2] for r in cut) <= 512
+
+
+def test_packing_reads_the_tokenizer_only_for_special_strings():
+    own = packing.Encoder(JSON, RANKS, P.PATTERN)
+    whole = Tokenizer.from_file(JSON)
+    want = lambda t: whole.encode(t, add_special_tokens=False).ids
+    assert own.ids("plain words, no special string").tolist() == want("plain words, no special string") and "whole" not in own.__dict__
+    assert own.ids("a <|endoftext|> b").tolist() == want("a <|endoftext|> b") and "whole" in own.__dict__
+    assert own.special == [t.content for t in whole.get_added_tokens_decoder().values()] and len(own.ends) == whole.get_vocab_size()
