@@ -15,6 +15,14 @@ from sievework.llm.common import stored
 LEAST_SCORE = 0.05
 #: Most rows that go whose numbers (8 bytes each) are broadcast.
 MOST_SENT = 2_000_000
+#: Bytes of text that go to a Python worker at once. By rows alone a whole partition's text would, and an executor would hold it
+#: several times beside its heap.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about BATCH_BYTES, and a longer text by itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Where no document is labelled there is nothing to judge by, and all stay.
     """
+    small_batches(spark)
     others = tuple(c for c in docs.columns if c != "doc_id")
     named = docs.select("doc_id", *(F.col(c).alias(f"doc_{c}") for c in others))
     model = langid.train(docs)
@@ -54,11 +63,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest doc_id; one without doc_id only where none has one."""
+    small_batches(spark)
     return _best_rows(docs, lambda rows: near_dedup.group_similar(rows, "__row").select("__row", F.col("component_id").alias("__group")), F.min)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1,024 tokens."""
+    small_batches(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(docs, vocabulary, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 

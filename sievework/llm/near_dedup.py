@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, stored, texts
+from .common import byte_slices, lean, stored, texts
 from .graph import components, forest
 
 #: Registers and their parameters: base, rate, largest value.
@@ -41,6 +41,8 @@ FEW = 16
 BLOCK, LARGEST_BLOCK, BLOCK_HASHES, COLUMNS = 128, 2048, 2_000_000, 4096
 #: Most nodes that have met whose keys are broadcast, so that no text is shuffled for their sets; more are joined by a shuffle.
 MOST_SENT = 500_000
+#: Words whose hashes a worker keeps; more cost memory and save no time.
+WORDS_KEPT = 50_000
 #: A pair is left out when its likelihood speaks against the threshold by so many standard deviations.
 DEVIATIONS = 6.0
 
@@ -49,7 +51,7 @@ _ODD = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, REGISTERS,
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= WORDS_KEPT:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -126,7 +128,7 @@ def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
     schema = T.StructType([df.schema[key], T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("registers", T.BinaryType())])
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for start, stop in byte_slices(batch.column(1)):
                 sets = [shingles(t) for t in texts(batch.column(1), start, stop)]
                 yield pa.RecordBatch.from_arrays(
@@ -146,7 +148,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, hashes: the full sets of these nodes, made from the text of one document each."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             wanted = batch.column(0).to_pylist()
             for start, stop in byte_slices(batch.column(1)):
                 sets = [shingles(t) for t in texts(batch.column(1), start, stop)]

@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
+import xxhash
 
-from sievework.llm import langid
+from sievework.llm import langid, near_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +64,25 @@ def test_kept_text_goes_to_the_workers_once(spark):
     assert sent.size() == 3
     odd = spark.createDataFrame([(1, None), (2, ""), (3, docs.first().text)], "doc_id long, text string")
     assert [r.lang_pred == "und" for r in langid.predict(odd, model, keep=("text",)).orderBy("doc_id").collect()] == [True, True, False]
+
+
+def test_text_goes_to_the_workers_in_small_batches(spark):
+    """A whole partition's text at once, beside the executor's heap, went beyond its memory in near_dedup."""
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 400), i -> hash(i, id))) AS text", "'x' AS lang").cache()
+    longest = docs.selectExpr("max(octet_length(text))").first()[0]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_copies, corpus_pipeline.pack_sequences):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(50), SF)
+        most = docs.select("doc_id", "text").mapInArrow(sizes, "bytes long").selectExpr("max(bytes)").first()[0]
+        assert longest < most < (2 << 20) + 2 * longest
+
+
+def test_few_word_hashes_are_kept():
+    memo = near_dedup.WordHashes()
+    words = [b"%d" % i for i in range(120_000)]
+    assert [memo[w] for w in words] == [xxhash.xxh3_64_intdigest(w) for w in words] and len(memo) <= 50_000
