@@ -15,24 +15,27 @@ join what others have not joined: rows stand for a line in a block, never for a
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, stored, texts
+from .common import lean, stored
 from .graph import components, forest
 
 #: Edits that two lines may be apart: EDITS at most, and one for each EACH characters of the shorter line.
 EDITS, EACH = 2, 6
 #: Different lines of a segment that are met pair by pair; more are compared in blocks of so many lines and characters.
 FEW, BLOCK, BLOCK_CHARS = 16, 256, 2_000_000
-#: The bit of each of 31 residues of a character.
-BIT = np.int32(1) << np.arange(31, dtype=np.int32)
+#: Bytes of lines that are hashed together, and characters whose powers are held.
+TOGETHER_BYTES = 1 << 19
+#: Base of the hash of a substring, sum of character * BASE^place modulo 2^64, and its inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 #: Residues of a hash: the most rows of a table that is broadcast.
 RESIDUES = 1 << 20
 #: Lines up to this length are verified many at once.
@@ -184,85 +187,174 @@ def _clashes(docs: DataFrame) -> DataFrame | None:
     return different.join(different.withColumnRenamed("digest", "other"), "id").groupBy("id", "digest").agg(F.count_if(F.col("other") < F.col("digest")).alias("step"))
 
 
-def _letters(line: str) -> int:
-    """Which characters occur an odd number of times: one of 31 bits for each; an edit changes at most two."""
-    return int(np.bitwise_xor.reduce(BIT[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) % 31], initial=np.int32(0)))
+@functools.lru_cache(maxsize=1)
+def _letter_bits() -> np.ndarray:
+    """Of each code point, one of 31 bits."""
+    return (np.int32(1) << np.arange(31, dtype=np.int32))[np.arange(0x110000) % 31]
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and INVERSE to the powers from 0 to n, modulo 2^64."""
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (BASE, INVERSE))
+
+
+def _hashes(codes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What gives the hashes of substrings by their starts and lengths: from sums up to each place, or in parts where these would be too many."""
+    power, inverse = _powers(TOGETHER_BYTES)
+    if len(codes) <= TOGETHER_BYTES:
+        upto = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * power[: len(codes)], out=upto[1:])
+        return lambda start, size: (upto[start + size] - upto[start]) * inverse[start]
+
+    def one(start: int, size: int) -> int:
+        total = 0
+        for at in range(0, size, TOGETHER_BYTES):
+            part = codes[start + at : start + min(at + TOGETHER_BYTES, size)]
+            total += pow(BASE, at, 1 << 64) * int((part * power[: len(part)]).sum())
+        return total % (1 << 64)
+
+    return lambda start, size: np.array([one(a, n) for a, n in zip(start.tolist(), size.tolist(), strict=True)], np.uint64)
+
+
+def _line_keys(codes: np.ndarray, start: np.ndarray, size: np.ndarray, edits: int, probing: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of lines and a key for each: of all their segments in order, and of the other places that they probe.
+
+    A key is a hash of the shorter line's length, the segment's number and its characters; the last bit is 0 for a
+    line's own segments. A line probes these, too, so no further row says so.
+    """
+    hashed = _hashes(codes)
+    for apart in range(edits + 1 if probing else 1):
+        length = size - apart
+        allowed_ = np.minimum(edits, length // EACH)
+        for most in range(apart, edits + 1):
+            lines = np.flatnonzero((length >= EACH) & (allowed_ == most))
+            if not len(lines):
+                continue
+            short, longer = np.divmod(length[lines], most + 1)
+            for i in range(most + 1):  # as in segments() and probes()
+                n = short + (i >= most + 1 - longer)
+                at = i * short + np.maximum(0, i - (most + 1 - longer))
+                seed = (length[lines] * 16 + i).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                for shift in range(max(-i, apart - (most - i)), min(i, apart + most - i) + 1):
+                    own = apart == shift == 0
+                    if not own and not probing:
+                        continue
+                    fits = (at + shift >= 0) & (at + shift + n <= size[lines])
+                    each = slice(None) if fits.all() else fits
+                    h = hashed(start[lines[each]] + at[each] + shift, n[each]) + seed[each]
+                    for right, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+                        h = (h ^ (h >> np.uint64(right))) * np.uint64(factor)
+                    h = (h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFFFFFFFFFE) | np.uint64(not own)
+                    yield lines[each], h.view(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _segment_keys(lines: list[str], edits: int) -> list[list[int]]:
+    """The keys of each line's segments in order, without the last bit, which is 0."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    out: list[list[int]] = [[] for _ in lines]
+    for own, key in _line_keys(_codes("".join(lines)), np.cumsum(size) - size, size, edits, probing=False):
+        for i, k in zip(own.tolist(), key.tolist(), strict=True):
+            out[i].append(k >> 1)
+    return out
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """Row ranges of a string column with about TOGETHER_BYTES each, their bytes, and where each row begins in them, and the last ends."""
+    _, at, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(at, kind)[column.offset : column.offset + len(column) + 1]
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(at, int(at[start]) + TOGETHER_BYTES, "right")) - 1)
+        yield start, stop, data[int(at[start]) : int(at[stop])].to_pybytes() if at[stop] > at[start] else b"", at[start : stop + 1].astype(np.int64) - int(at[start])
+        start = stop
 
 
 def _keys(lines: DataFrame, edits: int) -> DataFrame:
-    """key, side, id, letters: a row for each segment of a line (side 0) and for each of its probes (side 1)."""
+    """key, id, letters: a row for each segment of a line and for each of its other probes, which the last bit of the key tells apart.
+
+    letters says which characters occur an odd number of times: one of 31 bits for each; an edit changes at most two.
+    """
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         seen: set[int] = set()
-        for batch in batches:
-            for start, stop in byte_slices(batch.column(1)):
-                key: list[int] = []
-                own_id: list[int] = []
-                letters: list[int] = []
-                each: list[tuple[int, int]] = []
-                ids = batch.column(0).slice(start, stop - start).to_pylist()
-                for own, line in zip(ids, texts(batch.column(1), start, stop), strict=True):
-                    size = len(line)
-                    if size < EACH or own in seen:
-                        continue
-                    seen.add(own)
-                    n = len(key)
-                    key += [digest(line[at : at + w], seed=size * 16 + i) for i, (at, w) in enumerate(segments(size, allowed(size, edits)))]
-                    probed = len(key)
-                    for length in range(max(EACH, size - edits), size + 1):
-                        if size - length <= (most := allowed(length, edits)):
-                            key += [digest(line[at : at + w], seed=length * 16 + i) for i, at, w in places(length, size, most)]
-                    own_id.append(own)
-                    letters.append(_letters(line))
-                    each.append((probed - n, len(key) - probed))
+        for batch in lean(batches):
+            ids = batch.column(0).to_numpy()
+            for start, stop, raw, at in _parts(batch.column(1)):
+                text = raw.decode()
+                if len(text) < len(raw):  # from places of bytes to places of characters
+                    at = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])[at]
+                own = ids[start:stop]
+                fresh = np.flatnonzero(np.diff(at) >= EACH)
+                fresh = fresh[[x not in seen and not seen.add(x) for x in own[fresh].tolist()]] if len(fresh) else fresh
                 if len(seen) > 500_000:
                     seen.clear()
-                if key:
-                    sizes = np.array(each)
-                    side = np.repeat(np.tile(np.array([0, 1], np.int8), len(each)), sizes.ravel())
-                    columns = np.array(key, np.uint64).view(np.int64), side, np.repeat(np.array(own_id, np.int64), sizes.sum(1)), np.repeat(np.array(letters, np.int32), sizes.sum(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "side", "id", "letters"])
+                if not len(fresh):
+                    continue
+                codes = _codes(text)
+                odd = np.concatenate([np.zeros(1, np.int32), np.bitwise_xor.accumulate(_letter_bits()[codes])])
+                letters = (odd[at[1:]] ^ odd[at[:-1]])[fresh]
+                found = list(_line_keys(codes, at[fresh], np.diff(at)[fresh], edits))
+                line, key = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[fresh][line]), pa.array(letters[line])], names=["key", "id", "letters"])
 
-    return lines.select("id", "line").mapInArrow(keyed, "key long, side byte, id long, letters int")
+    return lines.select("id", "line").mapInArrow(keyed, "key long, id long, letters int")
 
 
 def _met(keys: DataFrame, edits: int) -> DataFrame:
     """x, y of lines that meet in a segment of few lines; or key, side, x, letters of each line of a frequent segment.
 
-    Rows arrive in order of key and side, so the lines that have a segment come before those that probe it, and at
-    most FEW of them are held.
+    Rows arrive in order of their keys, so the lines that have a segment come before those that only probe it, and at
+    most FEW of them are held. Those that have it probe it as well, once all are known; side is 0 for having a
+    frequent segment and 1 for probing it.
     """
 
     def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # rows of the last key that have the segment
+        waiting = False  # whether these have yet to probe
         last, frequent = None, False
-        for batch in batches:
-            if not batch.num_rows:
+        for batch in itertools.chain(batches, [None]):
+            if batch is None and not waiting:
+                break
+            if batch is not None and not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(4)]
-            again = columns[0][0] == last
-            if again and held is not None:
+            columns = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.int32)] if batch is None else [c.to_numpy() for c in batch.columns]
+            again = len(columns[0]) > 0 and columns[0][0] >> 1 == last
+            fresh = np.ones(len(columns[0]), bool)
+            if held is not None and (again or waiting):
                 columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
-            key, side, own, letters = columns
+                fresh = np.concatenate([np.full(len(held[0]), waiting), fresh])
+            key, side = columns[0] >> 1, (columns[0] & 1).astype(np.int8)
+            own, letters = columns[1:]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(key)]))
             have = np.bincount(group, side == 0, len(starts)).astype(np.int64)
             hot = have > FEW
             hot[0] |= again and frequent
-            probing = np.flatnonzero((side == 1) & ~hot[group])
+            waiting = bool(batch is not None and side[-1] == 0 and not hot[-1])
+            if waiting:
+                fresh[starts[-1] :] = False
+            probing = np.flatnonzero(fresh & ~hot[group] & (have[group] > (side == 0)))
             n = have[group[probing]]
             x = np.repeat(probing, n)
             y = starts[group[x]] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
             ok = (own[x] != own[y]) & (np.bitwise_count(letters[x] ^ letters[y]) <= 2 * edits)
-            x, y, many = own[x[ok]], own[y[ok]], hot[group]
-            if len(x) or many.any():
+            x, y, many = own[x[ok]], own[y[ok]], np.flatnonzero(hot[group])
+            if len(x) or len(many):
+                having = many[side[many] == 0]
+                sides = np.concatenate([side[many], np.ones(len(having), np.int8)])
+                many = np.concatenate([many, having])
                 none = lambda size, kind: pa.nulls(size, kind)
                 rows = [
                     pa.concat_arrays([none(len(x), pa.int64()), pa.array(key[many])]),
-                    pa.concat_arrays([none(len(x), pa.int8()), pa.array(side[many])]),
+                    pa.concat_arrays([none(len(x), pa.int8()), pa.array(sides)]),
                     pa.array(np.concatenate([x, own[many]])),
-                    pa.concat_arrays([pa.array(y), none(int(many.sum()), pa.int64())]),
+                    pa.concat_arrays([pa.array(y), none(len(many), pa.int64())]),
                     pa.concat_arrays([none(len(x), pa.int32()), pa.array(letters[many])]),
                 ]
                 yield pa.RecordBatch.from_arrays(rows, names=["key", "side", "x", "y", "letters"])
@@ -270,7 +362,8 @@ def _met(keys: DataFrame, edits: int) -> DataFrame:
             keep = slice(starts[-1], starts[-1] + int(have[-1]))
             held = None if frequent else [c[keep] for c in columns]
 
-    return keys.repartition("key").sortWithinPartitions("key", "side").mapInArrow(met, "key long, side byte, x long, y long, letters int")
+    # sorted by one number, which Spark does by its digits
+    return keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(met, "key long, side byte, x long, y long, letters int")
 
 
 def _of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -281,18 +374,16 @@ def _of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(ids, "id", "left_semi")
 
 
-def _counts_here(x: str, y: str, key: int, frequent: set[int], edits: int) -> bool:
-    """Whether a pair is counted at this segment: the first of those that it meets in, where all of them are frequent ones."""
+def _counts_here(x: str, y: str, key: int, keys: list[int], frequent: set[int], edits: int) -> bool:
+    """Whether a pair is counted at this segment: the first of those that it meets in, where all of them are frequent ones. keys: of y's segments."""
     first, most = None, allowed(len(y), edits)
     cut = segments(len(y), most)
     for i, at, w in places(len(y), len(x), most):
         own, w = cut[i]
         if x.startswith(y[own : own + w], at):
-            k = xxhash.xxh3_64_intdigest(y[own : own + w], seed=len(y) * 16 + i)
-            k -= (k >> 63) << 64
-            if k not in frequent:
+            if keys[i] not in frequent:
                 return False
-            first = k if first is None else first
+            first = keys[i] if first is None else first
     return first == key
 
 
@@ -326,7 +417,8 @@ def _in_blocks(rows: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
             found_y.append(j[near])
         i, j = (np.concatenate([*f, np.empty(0, np.int64)]) for f in (found_x, found_y))
         frequent = {k: set(t.column("frequent")[k].as_py()) for k in set(j.tolist())}
-        own = np.fromiter((_counts_here(lines_[a], lines_[b], key, frequent[b], edits) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+        keys = dict(zip(frequent, _segment_keys([lines_[k] for k in frequent], edits), strict=True))
+        own = np.fromiter((_counts_here(lines_[a], lines_[b], key, keys[b], frequent[b], edits) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
         i, j = i[own], j[own]
         n = np.bincount(np.concatenate([i, j]), minlength=len(ids))
         kept, counted = forest(ids[i], ids[j]), np.flatnonzero(n)

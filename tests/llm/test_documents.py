@@ -185,6 +185,61 @@ def test_near_lines_equal_brute_force(spark, monkeypatch, few, block):
     assert sum(r[4] for r in got) == len(of)
 
 
+def line_key_rows(lines, edits):
+    codes = line_dedup._codes("".join(lines))
+    size = np.array([len(x) for x in lines])
+    start = np.cumsum(size) - size
+    return [(i, k) for own, key in line_dedup._line_keys(codes, start, size, edits) for i, k in zip(own.tolist(), key.tolist(), strict=True)]
+
+
+def test_line_keys_are_those_of_segments_and_probes(monkeypatch):
+    """A row for each segment and each other probe, where own segments had one more; equal keys for equal parts, in whatever portions they are hashed."""
+    rnd = random.Random(31)
+    lines = ["".join(rnd.choice("abé€😀") for _ in range(n)) for n in [*range(40), 100, 333]]
+    found = line_key_rows(lines, 2)
+    want, of = [], {}
+    for x, line in enumerate(lines):
+        for length in range(max(line_dedup.EACH, len(line) - 2), len(line) + 1):
+            if len(line) - length <= (most := line_dedup.allowed(length)):
+                cut = line_dedup.segments(length, most)
+                want += [(x, (length, i, line[at : at + n]), length < len(line) or at != cut[i][0]) for i, at, n in line_dedup.probes(length, len(line), most)]
+    assert len(found) == len(want) == len(set(found)) and 12 in {sum(i == x for i, _ in found) for x in range(len(lines))}
+    for x, part, probe in want:
+        of.setdefault(x, []).append((part, probe))
+    by_key = {}
+    for x, key in found:
+        by_key.setdefault(x, []).append(key & 1)
+    assert all(sorted(by_key[x]) == sorted(int(p) for _, p in parts) for x, parts in of.items())
+    assert len({k >> 1 for _, k in found}) == len({part for _, part, _ in want})
+    assert line_dedup._segment_keys(lines, 2) == [[k >> 1 for i, k in found if i == x and not k & 1] for x in range(len(lines))]
+    monkeypatch.setattr(line_dedup, "TOGETHER_BYTES", 7)
+    line_dedup._powers.cache_clear()
+    assert line_key_rows(lines, 2) == found
+
+
+def test_lines_meet_across_batches(spark, monkeypatch):
+    """Lines that have a segment and arrive in several batches meet each other once, or are all frequent."""
+    rnd = random.Random(32)
+    rows = [(k << 1 | side, i, 0) for k in range(60) for i, side in enumerate([0] * rnd.randint(0, 7) + [1] * rnd.randint(0, 4))]
+    monkeypatch.setattr(line_dedup, "FEW", 4)
+    found = []
+    for n in (1, 2, 3, 5, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        met = line_dedup._met(spark.createDataFrame(rows, "key long, id long, letters int").coalesce(1), 2)
+        found.append(sorted(map(str, met.collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(f == found[0] for f in found)
+    few = hot = 0
+    for k in range(60):
+        own = [r for r in rows if r[0] >> 1 == k]
+        having = sum(r[0] & 1 == 0 for r in own)
+        if having > 4:
+            hot += len(own) + having
+        else:
+            few += having * (len(own) - 1)
+    assert sum("key=None" in f for f in found[0]) == few and sum("key=None" not in f for f in found[0]) == hot
+
+
 def test_lines_of_one_hash_stay_apart(spark):
     from pyspark.sql import functions as F
 
