@@ -28,3 +28,7 @@ def same(spark, pages, name):
 
 def test_page_blocks(spark, pages):
     same(spark, pages, "page_blocks")
+
+
+def test_page_passages(spark, pages):
+    same(spark, pages, "page_passages")
