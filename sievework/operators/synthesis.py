@@ -29,7 +29,7 @@ def best_sentence(df: DataFrame, excerpt: str, name: str, section: str, sections
     before, after = text.ascii_edges(first.format("\0")).split("\0")
     fragments = [F.regexp_substr("__body", F.concat(F.lit("(?i)" + before), quoted, F.lit(after)))]
     fragments += [F.regexp_substr("__body", F.lit("(?i)" + text.ascii_edges(p))) for p in others]
-    sentences = F.filter(F.transform(F.split("__body", r"(?<=[.!?]) +(?=[\"'A-Z])"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split("__body", r"(?<=[.!?]) +(?=[\"'A-Z])"), lambda s: F.trim(s)), lambda s: s != "")
     cut = df.withColumn("__flat", text.flat(F.coalesce(F.col(excerpt), F.lit("")))).withColumn("__body", body).withColumn("__fragments", F.array_compact(F.array(*fragments)))
     # of a slide, fragments alone are read; decided here, as the lambda below would test the whole text for each sentence
     cut = cut.withColumn("__parts", F.when(_has(F.substring("__body", 1, 80), rules.SLIDE), F.col("__fragments")).otherwise(F.concat("__fragments", sentences)))
