@@ -32,3 +32,7 @@ def test_page_blocks(spark, pages):
 
 def test_page_passages(spark, pages):
     same(spark, pages, "page_passages")
+
+
+def test_heading_carry_forward(spark, pages):
+    same(spark, pages, "heading_carry_forward")
