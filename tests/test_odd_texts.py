@@ -23,3 +23,7 @@ def same(spark, tmp_path, name):
 
 def test_evidence_claims(spark, tmp_path):
     same(spark, tmp_path, "evidence_claims")
+
+
+def test_text_metrics(spark, tmp_path):
+    same(spark, tmp_path, "text_metrics")
