@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys that are sent to every task at most (about 24 bytes each there).
+SENT = 2_000_000
+
+
+def kept(wide: DataFrame, narrow: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """wide joined with narrow (how: inner, left_semi or left_anti) before costly work on wide's texts, which are not shuffled while narrow has up to SENT rows."""
+    return wide.join(F.broadcast(narrow) if narrow.limit(SENT + 1).count() <= SENT else narrow, key, how)
+
+
 def overlay(facts: DataFrame, decisions: DataFrame, key: str, column: str, default: str) -> DataFrame:
     """facts with a team's decision for each key in `column`, or the default."""
     own = decisions.select(key, F.col(column).alias("__own"))

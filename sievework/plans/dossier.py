@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import rules, text
 from sievework.operators import keyed
+from sievework.storage import stored
 
 from .base import EVIDENCE, REVIEWS, SCORED, evidence, registry, reviews, scored, table
 
@@ -38,8 +39,13 @@ def eligible_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted = reviews(spark, sf_dir).filter("status = 'accepted'")
-    return scored(evidence(spark, sf_dir)).drop("text").join(accepted, "doc_id").filter("quality >= 45 AND risk < 60")
+    """Accepted evidence of enough quality and low risk; accepted texts alone are scored.
+
+    Scores are written before they are filtered, as a filter would be pushed below them and score each text many times.
+    """
+    accepted = reviews(spark, sf_dir).filter("status = 'accepted'").select("doc_id")
+    rows = scored(keyed.kept(evidence(spark, sf_dir), accepted, "doc_id"))
+    return stored(rows.select("doc_id", "company", "kind", "d", "quality", "risk"), "scored").filter("quality >= 45 AND risk < 60")
 
 
 ELIGIBLE = "el AS (SELECT sc.*, status, toxic FROM sc JOIN rv USING (doc_id) WHERE status = 'accepted' AND quality >= 45 AND risk < 60)"
