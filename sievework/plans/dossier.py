@@ -191,10 +191,12 @@ def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE status IS NULL AND NOT EXISTS (SELECT 1 FROM done WHERE done.company = c.company AND done.topic = c.topic AND done.kind = c.kind)) SELECT company, topic, kind, doc_id, quality FROM r WHERE r = 1""")
 def greedy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best unreviewed item for each company, topic and kind that has no accepted one."""
-    rows = scored(evidence(spark, sf_dir)).select("doc_id", "company", "kind", "d", "quality", (F.col("doc_id") % 4).alias("topic")).join(reviews(spark, sf_dir).select("doc_id", "status"), "doc_id", "left")
+    rows, status = evidence(spark, sf_dir).withColumn("topic", F.col("doc_id") % 4), reviews(spark, sf_dir).select("doc_id", "status")
     cell = ["company", "topic", "kind"]
-    open_ = rows.filter(F.col("status").isNull()).join(rows.filter("status = 'accepted' AND quality >= 60").select(*cell).distinct(), cell, "left_anti")
-    return keyed.best_rows(open_, cell, [F.desc("quality"), F.desc("d"), F.asc("doc_id")]).select(*cell, "doc_id", "quality")
+    accepted = scored(keyed.kept(rows, status.filter("status = 'accepted'").select("doc_id"), "doc_id"))
+    done = stored(accepted.groupBy(*cell).agg(F.max("quality").alias("best")), "done-cells").filter("best >= 60")
+    open_ = keyed.kept(rows.join(done, cell, "left_anti"), status.select("doc_id"), "doc_id", "left_anti")  # of the rest, only what lies in open cells is scored
+    return keyed.best_rows(scored(open_).drop("text"), cell, [F.desc("quality"), F.desc("d"), F.asc("doc_id")]).select(*cell, "doc_id", "quality")
 
 
 @query(f"""WITH {EVIDENCE}, w AS (SELECT doc_id, company, d, kind, row_number() OVER (PARTITION BY company, kind ORDER BY d DESC, doc_id DESC) AS rk FROM ev),

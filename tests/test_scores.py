@@ -11,7 +11,7 @@ TEXTS = [
     None, "", " ", " ", "a b the of", WORDS, WORDS.upper() + ".", f"  {WORDS}\t\n{WORDS}  {WORDS}. And so. More! Yes? ", f"{WORDS} " * 9, "2020 2021 20222 x2023 2024 and 2025.", "12 a1 1a 9", "lower start the of", "x" * 30,
     "The is. " * 4, "the of and " * 30, "the of and. " * 30, "x " * 40 + "end.", f"In {WORDS} 2019, 2020. 2021; 2022! " * 2, "  \n ", "Of the 7.", "end. ", "end. ",
 ]
-QUERIES = ["eligible_evidence", "evidence_quality", "packet_scores", "topic_diverse_claims"]
+QUERIES = ["eligible_evidence", "evidence_quality", "greedy_cells", "packet_scores", "topic_diverse_claims"]
 
 
 @pytest.fixture(scope="module")
