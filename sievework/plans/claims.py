@@ -390,43 +390,51 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").alias("query_id"), "place", F.col("row").alias("vec_id"), "score")
 
 
-_ASKED = "aq AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: length(t) >= 3)) AS terms FROM benchmark WHERE item_id % 20 = 0)"
+_ASKED = "aq AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: length(t) >= 3)) AS terms FROM benchmark)"
 
 
 @query(f"""WITH {EVIDENCE}, {SCORED}, {REVIEWS}, {_VEC}, {_ASKED}, p AS (SELECT sc.doc_id, company, d, quality, text, e, size FROM sc JOIN rv USING (doc_id) LEFT JOIN vc ON vc.vec_id = sc.doc_id WHERE status = 'accepted' AND risk < 60),
     s AS (SELECT item_id, p.doc_id, d, CASE WHEN len(terms) = 0 THEN 0 ELSE len(list_filter(terms, lambda t: contains(lower(text), t)))::DOUBLE / len(terms) END * 0.58::DOUBLE + coalesce(CASE WHEN p.size * q.size > 0 THEN {_UNIT.format('q.e', 'p.e')} / (q.size * p.size) END, 0) * 0.42::DOUBLE + quality / 10000.0::DOUBLE AS score
         FROM aq JOIN p ON true LEFT JOIN vc q ON q.vec_id = item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, d DESC, doc_id) AS place FROM s) SELECT item_id, place::INTEGER AS place, doc_id, round(score, 9) AS score FROM r WHERE place <= 10""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 accepted documents that fit each stated question best: share of its terms that stand in a text, inside longer words, too, cosine of their vectors, quality.
+    """The 10 accepted documents that fit each item of the benchmark best: share of its terms that stand in a text, inside longer words, too, cosine of their vectors, quality.
 
     Terms meet the different words of all texts by parts of words, and documents meet terms by their words. Each document
     that holds a term of a question is scored for it; of the others, the nearest by vector and quality, and the best of
-    those whose cosine is 0 since a vector is missing or of another length.
+    those whose cosine is 0 since a vector is missing or of another length. What a document holds is gathered where it is
+    scored, so pairs of a question and a document do not move; ten of each task do.
     """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     embedded = table(spark, sf_dir, "embeddings").select("vec_id", vectors.finite(F.col("embedding")).alias("e")).filter("e IS NOT NULL")
     runs = lambda: F.filter(F.split(F.lower(F.translate("text", "İ", "i")), "[^a-z]+"), lambda t: F.length(t) >= 3)
-    asked = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", F.array_distinct(runs()).alias("terms"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(runs()).alias("terms"))
     items = asked.filter("terms IS NOT NULL").join(embedded.withColumnRenamed("vec_id", "item_id"), "item_id", "left").select("item_id", "e", F.coalesce(F.size("e"), F.lit(0)).alias("length"))
     by_term = asked.select("item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    accepted = evidence(spark, sf_dir).join(reviews(spark, sf_dir).filter("status = 'accepted'").select("doc_id"), "doc_id")
+    accepted = keyed.kept(evidence(spark, sf_dir), reviews(spark, sf_dir).filter("status = 'accepted'").select("doc_id"), "doc_id")
     longest = by_term.agg(F.max(F.length("term"))).first()[0] or 0
-    fit = stored(scored(accepted).filter("risk < 60").select("doc_id", "d", "quality", text.pieces(runs(), longest).alias("own")), "hybrid-fit")
+    # written before the filter, which would be pushed below the scores and score each text many times
+    fit = stored(scored(accepted).select("doc_id", "d", "quality", "risk", text.pieces(runs(), longest).alias("own")), "hybrid-fit").filter("risk < 60").drop("risk")
     words = fit.select(F.explode("own").alias("word")).distinct().select("word", F.explode(text.parts(F.col("word"))).alias("part"))
     hits = words.join(by_term.select("term", F.substring("term", 1, text.PART).alias("part")).distinct(), "part").filter(F.contains("word", "term")).select("word", "term")
-    held = fit.select("doc_id", F.explode("own").alias("word")).join(hits, "word").select("doc_id", "term").distinct()
-    met = held.join(by_term, "term").groupBy("item_id", "doc_id", "n_terms").agg(F.count("*").alias("matched")).select("item_id", "doc_id", (F.col("matched") / F.col("n_terms")).alias("share"))
+    held = fit.select("doc_id", F.explode("own").alias("word")).join(hits, "word").groupBy("doc_id").agg(F.collect_set("term").alias("held"))
+    met = keyed.kept(held.select("doc_id", F.explode("held").alias("term")), by_term, "term").groupBy("doc_id", "item_id", "n_terms").agg(F.count("*").alias("matched")).select("item_id", "doc_id", (F.col("matched") / F.col("n_terms")).alias("share"))
     docs = fit.drop("own").join(embedded.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
     near = vectors.nearest(items.withColumnRenamed("item_id", "id"), docs.withColumnRenamed("doc_id", "id"), "id", "e", 10, F.col("quality") / 4200.0, -F.unix_date("d"), True)
     by_length = docs.select("doc_id", "d", "quality", F.coalesce(F.size("e"), F.lit(0)).alias("other"))
     best = keyed.best_rows(by_length, ["other"], [F.desc("quality"), F.desc("d"), F.asc("doc_id")], 10)
     apart = items.join(F.broadcast(best), F.expr("other <> length OR length = 0"))  # ten rows for each length of vectors
-    without = near.select(F.col("query").alias("item_id"), F.col("row").alias("doc_id")).unionByName(apart.select("item_id", "doc_id")).withColumn("share", F.lit(0.0))
-    pairs = met.unionByName(without).groupBy("item_id", "doc_id").agg(F.max("share").alias("share"))
-    whole = pairs.join(docs, "doc_id").join(items.select("item_id", F.col("e").alias("qe")), "item_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    size = F.sqrt(dot("e", "e")) * F.sqrt(dot("qe", "qe"))
-    cosine = F.coalesce(F.when(size > 0, dot("qe", "e") / size), F.lit(0.0))
-    rows = whole.select("item_id", "doc_id", "d", F.round(F.col("share") * 0.58 + cosine * 0.42 + F.col("quality") / 10_000.0, 9).alias("score"))
+    without = near.select(F.col("query").alias("item_id"), F.col("row").alias("doc_id")).unionByName(apart.select("item_id", "doc_id")).distinct().withColumn("share", F.lit(0.0))
+    sized, asking = docs.withColumn("size", F.sqrt(dot("e", "e"))), items.select("item_id", F.col("e").alias("qe"), F.sqrt(dot("e", "e")).alias("qsize"))
+    order = [F.desc("score"), F.desc("d"), F.asc("doc_id")]
+
+    def rated(pairs: DataFrame) -> DataFrame:
+        size = F.col("size") * F.col("qsize")
+        cosine = F.coalesce(F.when(size > 0, dot("qe", "e") / size), F.lit(0.0))
+        score = F.round(F.col("share") * 0.58 + cosine * 0.42 + F.col("quality") / 10_000.0, 9)
+        return pairs.join(sized, "doc_id").join(F.broadcast(asking), "item_id").select("item_id", "doc_id", "d", score.alias("score"))
+
+    # a pair in both has its full share among the first, if it is among the best there
+    rows = keyed.best_rows(rated(met), ["item_id"], order, 10).unionByName(rated(without)).groupBy("item_id", "doc_id", "d").agg(F.max("score").alias("score"))
     newest = fit.select("doc_id", "d").orderBy(F.desc("d"), F.asc("doc_id")).limit(10)
     unasked = asked.filter("terms IS NULL").crossJoin(F.broadcast(newest)).select("item_id", "doc_id", "d", F.lit(None).cast("double").alias("score"))  # no text, no score
-    return keyed.best_rows(rows.unionByName(unasked), ["item_id"], [F.desc("score"), F.desc("d"), F.asc("doc_id")], 10, "place").select("item_id", "place", "doc_id", "score")
+    return keyed.best_rows(rows.unionByName(unasked), ["item_id"], order, 10, "place").select("item_id", "place", "doc_id", "score")
