@@ -77,34 +77,48 @@ def compare(
     are events. place orders a filing's changes as a report does, which shows the first SHOWN.
     """
     how = filings.select("filing", "form", "previous", mode(F.col("form")).alias("mode"))
-    rows = passages.select("filing", "section", "category", "title", "item_code", "passage", "text")
-    rows = stored(rows, "filings-passages")
-    again = F.col("category").isin(*recurring) | F.col("title").rlike(f"(?i){recurring_title}")
     compared = how.filter((F.col("mode") != "event") & F.col("previous").isNotNull())
-
-    def side(on: Column) -> DataFrame:
-        met = rows.withColumnRenamed("filing", "own").join(compared, on).filter((F.col("mode") == "amendment") | again)
-        return met.select("filing", "mode", section_key(F.col("category"), F.col("title")).alias("key"), "section", "category", "title", "passage", text.tokens(F.col("text"), list(stop)).alias("tokens"))
-
-    now, before = stored(side(F.col("own") == F.col("filing")), "filings-now"), stored(side(F.col("own") == F.col("previous")), "filings-before")
+    role = lambda target, side: F.struct(F.col(target).alias("target"), F.col("mode").alias("mode"), F.lit(side).alias("side"))
+    # what a filing's passages are for: sides of comparisons (0 now, 1 before) or events (2); texts move to that once, token sets once more
+    roles = compared.select("filing", role("filing", 0).alias("role"), F.lit(None).cast("string").alias("form")).unionByName(compared.select(F.col("previous").alias("filing"), role("filing", 1).alias("role"), F.lit(None).cast("string").alias("form")))
+    roles = roles.unionByName(how.filter("mode = 'event'").select("filing", role("filing", 2).alias("role"), "form"))
+    roles = roles.groupBy("filing").agg(F.collect_list("role").alias("roles"), F.max("form").alias("form"))
+    again = F.coalesce(F.col("category").isin(*recurring) | F.col("title").rlike(f"(?i){recurring_title}"), F.lit(False))
+    rows = passages.select("filing", "section", "category", "title", "item_code", "passage", "text").join(roles, "filing")
+    rows = rows.withColumn("roles", F.filter("roles", lambda r: (r["side"] == 2) | (r["mode"] == "amendment") | again)).filter(F.size("roles") > 0)
+    is_event = F.exists("roles", lambda r: r["side"] == 2)
+    rows = rows.withColumns({
+        "tokens": F.when(F.exists("roles", lambda r: r["side"] != 2), text.tokens(F.col("text"), list(stop))),
+        "e": F.when(is_event, event_policy(F.col("form"), F.col("item_code"), F.col("category"), F.col("title"), F.col("text"), signals)),
+    })
+    rows = rows.select(F.explode("roles").alias("role"), section_key(F.col("category"), F.col("title")).alias("key"), "section", "category", "title", "passage", "tokens", "e")
+    known = F.array_intersect(F.array(*map(F.lit, terms)).cast("array<string>"), "tokens")
+    rows = rows.select(F.col("role.target").alias("filing"), "role.mode", "role.side", "key", "section", "category", "title", "passage", F.when(F.col("role.side") != 2, F.col("tokens")).alias("tokens"), F.when(F.col("role.side") != 2, known).alias("terms"), F.when(F.col("role.side") == 2, F.col("e")).alias("e"))
+    rows = stored(rows, "filings-sides")
+    now, before = rows.filter("side = 0").drop("side", "e"), rows.filter("side = 1").drop("side", "e")
     by = ["filing", "key"]
-    taken = similar.assign(similar.similar_pairs(now, before, by, ["passage"], "tokens", LEAST), by, "left_passage", "right_passage", "similarity")
+    side = lambda df, name: df.select(*by, F.col("passage").alias(f"{name}_passage"), F.col("tokens").alias(name))
+    met = side(now, "left").join(side(before, "right"), by)
+    near = F.least(F.size("left"), F.size("right")) >= F.greatest(F.size("left"), F.size("right")) * LEAST - 1e-9
+    pairs = met.filter(near).select(*by, "left_passage", "right_passage", text.jaccard(F.col("left"), F.col("right"), 1.0).alias("similarity"))
+    pairs = pairs.filter(F.col("similarity") >= LEAST)
+    taken = similar.assign(pairs, by, "left_passage", "right_passage", "similarity")
+    now, before = now.drop("tokens"), before.drop("tokens")
     n = now.withColumn("left_passage", F.col("passage")).join(taken, [*by, "left_passage"], "left").withColumnRenamed("right_passage", "previous_passage")
-    old = before.select(*by, F.col("passage").alias("previous_passage"), F.col("tokens").alias("old_tokens"))
+    old = before.select(*by, F.col("passage").alias("previous_passage"), F.col("terms").alias("old_terms"))
     n = n.join(old, [*by, "previous_passage"], "left").filter(F.col("similarity").isNull() | (F.col("similarity") < UNCHANGED))
     kind = F.when(F.col("similarity").isNull(), "added").otherwise("modified")
     empty = F.array().cast("array<string>")
     level = lambda k, s, a, b: text.text_change(k, s, F.coalesce(a, empty), F.coalesce(b, empty), list(terms))
     shown = ["filing", "mode", "type", "significance", "category", "title", "similarity", "passage", "previous_passage", "section", "block", "at"]
-    fresh = n.withColumns({"type": kind, "significance": level(kind, F.col("similarity"), F.col("tokens"), F.col("old_tokens")), "similarity": text.rounded(F.col("similarity") * 100), "block": F.lit(0), "at": F.col("passage")}).select(*shown)
+    fresh = n.withColumns({"type": kind, "significance": level(kind, F.col("similarity"), F.col("terms"), F.col("old_terms")), "similarity": text.rounded(F.col("similarity") * 100), "block": F.lit(0), "at": F.col("passage")}).select(*shown)
     gone = before.withColumn("right_passage", F.col("passage")).join(taken.select(*by, "right_passage"), [*by, "right_passage"], "left_anti")
     current = now.groupBy(*by).agg(F.min("section").alias("now_section"))
     gone = gone.join(current, by, "left").select(
         "filing", "mode", F.lit("not_repeated").alias("type"), F.lit("low").alias("significance"), "category", "title", F.lit(None).cast("int").alias("similarity"), F.lit(None).cast(rows.schema["passage"].dataType).alias("passage"),
         F.col("passage").alias("previous_passage"), F.coalesce("now_section", F.col("section") + 1_000_000).alias("section"), F.lit(1).alias("block"), F.col("passage").alias("at"),
     )
-    event = event_policy(F.col("form"), F.col("item_code"), F.col("category"), F.col("title"), F.col("text"), signals)
-    events = rows.join(how.filter("mode = 'event'"), "filing").withColumn("e", event).filter("e.eligible").select(
+    events = rows.filter("side = 2 AND e.eligible").select(
         "filing", "mode", F.lit("new_event").alias("type"), F.when(F.col("e.score") >= 75, "high").when(F.col("e.score") >= 55, "medium").otherwise("low").alias("significance"), F.col("e.category").alias("category"), "title",
         F.lit(None).cast("int").alias("similarity"), "passage", F.lit(None).cast(rows.schema["passage"].dataType).alias("previous_passage"), "section", F.lit(0).alias("block"), F.col("passage").alias("at"),
     )

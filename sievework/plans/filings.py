@@ -33,12 +33,15 @@ def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing"), F.posexplode(text.passages(F.col("text"))).alias("at", "text")).filter(F.length("text") >= 90)
-    parts = parts.withColumn("category", text.most_topic(F.col("text"), rules.PROSE_TOPICS, "other"))
-    own = Window.partitionBy("filing", "category")
-    parts = parts.withColumns({"passage": F.row_number().over(own.orderBy("at")), "first": F.min("at").over(own)})
-    section = F.dense_rank().over(Window.partitionBy("filing").orderBy("first"))
-    return parts.select("filing", section.alias("section"), "category", F.concat(F.lit("About "), "category").alias("title"), F.lit(None).cast("string").alias("item_code"), "passage", "text")
+    """A document's passages by section, numbered where they lie, so that texts do not move for it; sections go in order of their first passages."""
+    topic = lambda t: text.most_topic(t, rules.PROSE_TOPICS, "other")
+    long = F.filter(text.passages(F.col("text")), lambda t: F.length(t) >= 90)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing"), long.alias("long"))
+    rows = rows.withColumn("parts", F.transform("long", lambda t: F.struct(topic(t).alias("category"), t.alias("text"))))
+    own = lambda c: F.transform(F.filter("parts", lambda p: p["category"] == c), lambda p, i: F.struct(p["category"].alias("category"), (i + 1).alias("passage"), p["text"].alias("text")))
+    sections = F.transform(F.array_distinct("parts.category"), own)
+    rows = rows.select("filing", F.posexplode(sections).alias("section", "own")).select("filing", (F.col("section") + 1).alias("section"), F.explode("own").alias("p"))
+    return rows.select("filing", "section", "p.category", F.concat(F.lit("About "), "p.category").alias("title"), F.lit(None).cast("string").alias("item_code"), "p.passage", "p.text")
 
 
 _FILINGS = f"""f0 AS (SELECT doc_id AS filing, doc_id // 8 AS company, {_FORM_SQL} AS form FROM documents), fi AS (SELECT filing, form, lag(filing) OVER (PARTITION BY company, regexp_replace(form, '/A$', '') ORDER BY filing) AS previous,
