@@ -89,7 +89,8 @@ def compare(
     is_event = F.exists("roles", lambda r: r["side"] == 2)
     rows = rows.withColumns({
         "tokens": F.when(F.exists("roles", lambda r: r["side"] != 2), text.tokens(F.col("text"), list(stop))),
-        "e": F.when(is_event, event_policy(F.col("form"), F.col("item_code"), F.col("category"), F.col("title"), F.col("text"), signals)),
+        # of other rows an empty text is rated: inside a condition each pattern would be tried several times
+        "e": event_policy(F.col("form"), F.col("item_code"), F.col("category"), F.col("title"), F.when(is_event, F.col("text")).otherwise(""), signals),
     })
     rows = rows.select(F.explode("roles").alias("role"), section_key(F.col("category"), F.col("title")).alias("key"), "section", "category", "title", "passage", "tokens", "e")
     known = F.array_intersect(F.array(*map(F.lit, terms)).cast("array<string>"), "tokens")
